@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, mixing, packing, url_filter
+from sentrylake.llm import byte_cnn, debruijn, divergence, line_crf, mixing, packing, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,10 +20,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_divergence_rules(spark, sf_dir):
+    return divergence.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op2_line_crf(spark, sf_dir):
+    return line_crf.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_debruijn_dedup(spark, sf_dir):
+    return debruijn.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -36,5 +48,5 @@ def op10_byte_cnn_language(spark, sf_dir):
     return byte_cnn.identify_language(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
 ORACLES: dict[str, str] = {}
