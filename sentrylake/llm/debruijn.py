@@ -22,13 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import buffers, cut, places, sliced, window_hashes, word_hashes, words_of
-from sentrylake.llm.text import SEPARATOR
+from sentrylake.llm.text import SEPARATOR, bit_filter, buffers, cut, inside, places, signed, sliced, window_hashes, word_hashes, words_of
 
 K = 20
 GRAM = 4
-#: Bits of the filters that are broadcast: 16 MB, whatever the input. A full filter only lets more rows through.
-FILTER_BITS = 1 << 27
 _Q, _SECOND = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
@@ -95,26 +92,6 @@ def _again(doc: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _filter_of(keys: DataFrame, column: str):
-    """The keys as a bit filter of fixed size, gathered as at most FILTER_BITS / 64 words."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    # pmod of a negative number differs from the unsigned remainder only by a multiple of 2^64, a multiple of FILTER_BITS
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toArrow()
-    bits[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
-    return keys.sparkSession.sparkContext.broadcast(bits)
-
-
-def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(FILTER_BITS - 1)
-    return (bits[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, th, place, n): runs of n windows from word `place` on, all of which start earlier elsewhere too.
 
@@ -126,10 +103,10 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
         for batch in sliced(batches, "text"):
             w = Windows(batch.column("text"), k, False)
             a, n = np.unique(w.anchor[w.begin], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(a), pa.array(n)], ["a", "n"])
+            yield pa.RecordBatch.from_arrays([signed(a), pa.array(n)], ["a", "n"])
 
     often = base.select("text").mapInArrow(anchors, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
-    some = _filter_of(often, "a")
+    some = bit_filter(often, "a")
     named = base.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +116,13 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
             if not w.n or not len(w.begin):
                 continue
             one, two = w.run_hashes()
-            hit = np.flatnonzero(_inside(bits, w.anchor[w.begin]))
+            hit = np.flatnonzero(inside(bits, w.anchor[w.begin]))
             b = w.begin[hit]
             doc = w.doc[b]
             again = _again(doc, one[hit], two[hit])
             of = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [_signed(w.anchor[b]), _signed(one[hit]), _signed(two[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[b].astype(np.int32)), pa.array(w.count[hit].astype(np.int32)), pa.array(again)],
+                [signed(w.anchor[b]), signed(one[hit]), signed(two[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[b].astype(np.int32)), pa.array(w.count[hit].astype(np.int32)), pa.array(again)],
                 ["a", "one", "two", "doc_id", "th", "place", "n", "again"],
             )
 
@@ -157,7 +134,7 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     later = F.col("again") | F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False))
     straight = pieces.join(state.filter("path").select("a", "source"), "a").filter(later).select("doc_id", "th", "place", "n")
     branched = state.filter("not path").select("a")
-    knots = _filter_of(branched, "a")
+    knots = bit_filter(branched, "a")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = knots.value
@@ -165,12 +142,12 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
             w = Windows(batch.column("text"), k, True)
             if not w.n or not len(w.begin):
                 continue
-            hit = np.flatnonzero(np.repeat(_inside(bits, w.anchor[w.begin]), w.count))
+            hit = np.flatnonzero(np.repeat(inside(bits, w.anchor[w.begin]), w.count))
             doc = w.doc[hit]
             again = _again(doc, w.first[hit], w.check[hit])
             of = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [_signed(w.first[hit]), _signed(w.check[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[hit].astype(np.int32)), pa.array(again)],
+                [signed(w.first[hit]), signed(w.check[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[hit].astype(np.int32)), pa.array(again)],
                 ["one", "two", "doc_id", "th", "place", "again"],
             )
 

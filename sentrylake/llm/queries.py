@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, debruijn, divergence, line_crf, mixing, packing, url_filter
+from sentrylake.llm import byte_cnn, debruijn, divergence, line_crf, mixing, packing, trie_join, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,6 +36,10 @@ def op4_debruijn_dedup(spark, sf_dir):
     return debruijn.dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_trie_jaccard(spark, sf_dir):
+    return trie_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -48,5 +52,5 @@ def op10_byte_cnn_language(spark, sf_dir):
     return byte_cnn.identify_language(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
 ORACLES: dict[str, str] = {}

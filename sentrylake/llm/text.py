@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
+#: Bits of the filters that are broadcast: 16 MB, whatever the input. A full filter only lets more rows through.
+FILTER_BITS = 1 << 27
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -139,3 +141,23 @@ def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For items dealt to groups: each item's group, and its place in the group."""
     group = np.repeat(np.arange(len(counts)), counts)
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def bit_filter(keys: DataFrame, column: str):
+    """The keys as a bit filter of fixed size, gathered as at most FILTER_BITS / 64 words."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    # pmod of a negative number differs from the unsigned remainder only by a multiple of 2^64, a multiple of FILTER_BITS
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    got = words.toArrow()
+    bits[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
