@@ -18,7 +18,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
 ROUNDS = 3
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -26,14 +26,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """Each document's token ids and one end id, cut into pieces of at most `capacity`.
 
     The tokenizer never joins across white space, so each distinct word is encoded
-    once a task and a document's ids are put together from its words'.
+    once a worker and a document's ids are put together from its words'.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        tok, cache = Tokenizer.from_file(tokenizer_path), {}
+        # a Python worker serves many tasks: what it has loaded and encoded stays with the library's module
+        kept = tokenizers.__dict__.setdefault("_sentrylake", {})
+        if tokenizer_path not in kept:
+            kept[tokenizer_path] = tokenizers.Tokenizer.from_file(tokenizer_path), {}
+        tok, cache = kept[tokenizer_path]
         for batch in sliced(batches, "text"):
             body, bounds, counts = words_of(batch.column("text"))
             coded = as_strings(body, bounds).dictionary_encode()
