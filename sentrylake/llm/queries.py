@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, debruijn, divergence, line_crf, mixing, packing, trie_join, url_filter
+from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, line_crf, mixing, packing, topk, trie_join, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,6 +36,14 @@ def op4_debruijn_dedup(spark, sf_dir):
     return debruijn.dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_context_tree(spark, sf_dir):
+    return ctw.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_trie_jaccard(spark, sf_dir):
     return trie_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,15 @@ def op10_byte_cnn_language(spark, sf_dir):
     return byte_cnn.identify_language(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
+ORACLES: dict[str, str] = {
+    "op5_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5
+    """,
+}
