@@ -5,11 +5,12 @@ them. As in minimiser-partitioned graph builders, each edge belongs to the parti
 of its anchor, the greatest GRAM-word sequence inside it, so equal edges meet in one
 partition; a run of consecutive edges of one document with one anchor place is a piece of a
 path; windows of one run are never equal, as the anchor stands at another place in
-each. An anchor that only one run has bears unique edges and goes away. If all runs
-of an anchor are equal, none branches: the run stands for its edges as one compacted
-row. Only anchors whose runs differ (the path branches, starts or ends there) are
-resolved edge by edge. Coordinates of runs and edges carry a second, independent
-hash, so two passages count as equal on 128 bits, never on one hash alone.
+each. An anchor that only one run has bears unique edges and goes away. Equal runs
+of an anchor are one path, compacted to one row: each run but the first goes whole.
+Where an anchor has several paths, the graph branches, and only there edges are
+compared one by one, those of each path's first run. Coordinates of runs and edges
+carry a second, independent hash, so two passages count as equal on 96 bits, never
+on one hash alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from sentrylake.llm.text import SEPARATOR, bit_filter, buffers, cut, inside, places, signed, sliced, window_hashes, word_hashes, words_of
 
 K = 20
-GRAM = 4
+GRAM = 8
 _Q, _SECOND = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
@@ -92,10 +93,15 @@ def _again(doc: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
+def half(x: np.ndarray) -> pa.Array:
+    """The upper half of a hash, as a signed number."""
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, th, place, n): runs of n windows from word `place` on, all of which start earlier elsewhere too.
 
-    th is xxhash64 of the text; with doc_id it names the row.
+    th is a hash of the text; with doc_id it names the row.
     """
     base = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
 
@@ -107,7 +113,7 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
     often = base.select("text").mapInArrow(anchors, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
     some = bit_filter(often, "a")
-    named = base.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    named = base.select("doc_id", "text", F.hash("text").alias("th"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = some.value
@@ -122,36 +128,37 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
             again = _again(doc, one[hit], two[hit])
             of = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [signed(w.anchor[b]), signed(one[hit]), signed(two[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[b].astype(np.int32)), pa.array(w.count[hit].astype(np.int32)), pa.array(again)],
+                [signed(w.anchor[b]), signed(one[hit]), half(two[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[b].astype(np.int32)), pa.array(w.count[hit].astype(np.int32)), pa.array(again)],
                 ["a", "one", "two", "doc_id", "th", "place", "n", "again"],
             )
 
-    pieces = cut(named.mapInArrow(runs, "a long, one long, two long, doc_id long, th long, place int, n int, again boolean"))
-    state = pieces.groupBy("a").agg(
-        F.count("*").alias("times"), F.min("doc_id").alias("source"), ((F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))).alias("path")
-    )
-    state = cut(state.filter("times > 1").drop("times"))
+    pieces = cut(named.mapInArrow(runs, "a long, one long, two int, doc_id long, th int, place int, n int, again boolean"))
+    # equal runs are one path; each but its first goes whole
+    paths = cut(pieces.groupBy("a", "one", "two").agg(F.count("*").alias("times"), F.min("doc_id").alias("source")))
     later = F.col("again") | F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False))
-    straight = pieces.join(state.filter("path").select("a", "source"), "a").filter(later).select("doc_id", "th", "place", "n")
-    branched = state.filter("not path").select("a")
-    knots = bit_filter(branched, "a")
+    shared = paths.filter("times > 1").select("one", "two", "source")
+    straight = pieces.drop("a").join(shared, ["one", "two"]).filter(later).select("doc_id", "th", "place", "n")
+    # where paths of one anchor differ, the edges of each path's first run are compared
+    knots = paths.groupBy("a").agg(F.count("*").alias("paths")).filter("paths > 1").select("a")
+    first_runs = bit_filter(paths.join(knots, "a").select(F.expr("one ^ coalesce(source, 0L)").alias("h")), "h")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = knots.value
+        bits = first_runs.value
         for batch in sliced(batches, "text"):
             w = Windows(batch.column("text"), k, True)
             if not w.n or not len(w.begin):
                 continue
-            hit = np.flatnonzero(np.repeat(inside(bits, w.anchor[w.begin]), w.count))
+            of_doc = np.asarray(pa.compute.fill_null(batch.column("doc_id"), 0), np.int64).view(np.uint64)
+            hit = np.flatnonzero(np.repeat(inside(bits, w.run_hashes()[0] ^ of_doc[w.doc[w.begin]]), w.count))
             doc = w.doc[hit]
             again = _again(doc, w.first[hit], w.check[hit])
             of = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [signed(w.first[hit]), signed(w.check[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[hit].astype(np.int32)), pa.array(again)],
+                [signed(w.first[hit]), half(w.check[hit]), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(w.place[hit].astype(np.int32)), pa.array(again)],
                 ["one", "two", "doc_id", "th", "place", "again"],
             )
 
-    single = named.mapInArrow(edges, "one long, two long, doc_id long, th long, place int, again boolean")
+    single = named.mapInArrow(edges, "one long, two int, doc_id long, th int, place int, again boolean")
     known = single.groupBy("one", "two").agg(F.count("*").alias("times"), F.min("doc_id").alias("source")).filter("times > 1").drop("times")
     crossed = single.join(known, ["one", "two"]).filter(later).select("doc_id", "th", "place", F.lit(1).alias("n"))
     return straight.unionByName(crossed)
@@ -163,18 +170,34 @@ def _covered(counts: np.ndarray, spans: list, k: int) -> np.ndarray:
     begin = np.cumsum(counts) - counts
     for i, own in enumerate(spans):
         if own is not None:
-            at = np.array([[s["place"], s["n"]] for s in own], np.int64)
-            np.add.at(edge, begin[i] + at[:, 0], 1)
-            np.add.at(edge, np.minimum(begin[i] + at[:, 0] + at[:, 1] + k - 1, begin[i] + counts[i]), -1)
+            place, n = np.asarray(own, np.int64) >> 32, np.asarray(own, np.int64) & 0xFFFFFFFF
+            np.add.at(edge, begin[i] + place, 1)
+            np.add.at(edge, np.minimum(begin[i] + place + n + k - 1, begin[i] + counts[i]), -1)
     return np.cumsum(edge)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, k: int) -> DataFrame:
-    """docs under numbered names, each with its spans (an array bounded by the document's own length)."""
-    spans = repeated_spans(docs, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "n")).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_spans")
+def _with_spans(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """docs under numbered names: those that may have spans, with them (an array bounded by the document's own length), and the rest.
+
+    A bit filter of fixed size parts the two, so texts without repeats aren't shuffled.
+    """
+    spans = cut(repeated_spans(docs, k).groupBy("doc_id", "th").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("_spans")))
+    some = bit_filter(spans.select(F.expr("xxhash64(doc_id, th)").alias("h")), "h")
     named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("_text"), F.col("doc_id").alias("_doc_id"))
-    return named.join(spans, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_th")), "left").drop("_id", "_th")
+    named = named.withColumn("_th", F.hash("_text")).withColumn("_h", F.xxhash64("_doc_id", "_th"))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(inside(some.value, np.asarray(batch.column("_h"), np.int64).view(np.uint64)) == wanted))
+
+        return run
+
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of"), "_spans")
+    hit = named.mapInArrow(part(True), named.schema).join(spans, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left")
+    rest = named.mapInArrow(part(False), named.schema).withColumn("_spans", F.lit(None).cast("array<long>"))
+    columns = [c for c in named.columns if c not in ("_th", "_h")] + ["_spans"]
+    return hit.select(columns), rest.select(columns)
 
 
 def dedup_report(docs: DataFrame, k: int = K) -> DataFrame:
@@ -207,7 +230,9 @@ def dedup_report(docs: DataFrame, k: int = K) -> DataFrame:
                 digests.append(hashlib.sha256(joined[ends[a] : ends[b] - 1] if b > a else b"").hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("_doc_id"), pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), k).select("_doc_id", "_text", "_spans").mapInArrow(report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    hit, rest = (df.select("_doc_id", "_text", "_spans").mapInArrow(report, schema) for df in _with_spans(docs.select("doc_id", "text"), k))
+    return hit.unionByName(rest)
 
 
 def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
@@ -246,7 +271,8 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [f"_c{j}" for j in range(len(columns))]).filter(pa.array(whole))
 
     schema = ", ".join(f"_c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
-    out = _with_spans(docs, k).mapInArrow(shorten, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+    hit, rest = (df.mapInArrow(shorten, schema) for df in _with_spans(docs, k))
+    out = hit.unionByName(rest).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*columns)

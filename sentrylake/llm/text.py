@@ -161,3 +161,22 @@ def bit_filter(keys: DataFrame, column: str):
 def inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & np.uint64(FILTER_BITS - 1)
     return (bits[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of docs whose doc_id is in keys (doc_id), and perhaps a few more: a first sieve before a join on doc_id.
+
+    The sieve is a bit filter of fixed size, so only the rows that pass are shuffled.
+    """
+    some = bit_filter(keys.select(F.xxhash64("doc_id").alias("h")), "h")
+    kinds = dict(docs.dtypes)
+
+    def sieve(batches):
+        for batch in batches:
+            h = np.asarray(batch.column("_h"), np.int64).view(np.uint64)
+            batch = batch.filter(pa.array(inside(some.value, h)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+
+    named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], F.xxhash64("doc_id").alias("_h"))
+    out = named.mapInArrow(sieve, ", ".join(f"_c{i} {kinds[c]}" for i, c in enumerate(columns)))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])

@@ -9,9 +9,10 @@ node, and leaves a subtree when what remains of either side can't reach the
 threshold.
 
 Not all pairs that meet are compared. First each meets one hub of its point and size
-band; links found so make components. Only points where different components still
-meet are joined in full, and there only across components. Points with the same
-members are joined once.
+band; links found so make components. Then, at points where different components
+still meet, pairs across components are candidates if their sizes and what remains
+of both after the point allow the threshold. Candidates are gathered by one of the
+two, and its set traverses the trie of the others. Only texts of candidates move.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import bit_filter, cut, inside, places, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import bit_filter, cut, inside, places, rows_of, sliced, window_hashes, word_hashes, words_of
 
 N = 4
 PERCENT = 85
 #: The frequent n-grams that go last in the global order: a table of bounded size, which only speeds the join.
 FREQUENT, OFTEN = 65536, 3
-#: Sets in one task's trie; larger meeting points are split into pairs of blocks.
-BLOCK = 256
+#: Sets in one trie; a hub with more candidates has several. Sets in one task.
+BLOCK, GROUP = 256, 1024
 _TOP = np.uint64(1 << 63)
 
 
@@ -124,10 +125,6 @@ class Trie:
         return found
 
 
-def _unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column]
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that links (a, b) reach, by alternating large and small stars.
 
@@ -150,12 +147,12 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class, grams, meets) of each document.
+def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
+    """((doc_id, n_shingles, class, meets, at) of each document, the broadcast frequent n-grams).
 
-    class, grams and meets are null unless some prefix n-gram is in another
-    document's prefix too. class: 128-bit hash of the set; grams: its keys; meets:
-    the prefix keys that others have too (and perhaps some that none has).
+    class, meets and at are null unless some prefix n-gram is in another document's
+    prefix too. class: 128-bit hash of the set; meets: the prefix keys that others
+    have too (and perhaps some that none has); at: their places in the order.
     """
     texts = docs.select("text").filter(F.col("text").isNotNull())
     none = np.zeros((2, 0), np.uint64)
@@ -183,99 +180,76 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = gram_sets(batch.column("text"), n, frequent.value)
-            name, grams, meets = [], [], []
+            name, meets, at = [], [], []
             for s in sets:
                 p = s[: prefix_length(len(s), percent)] if len(s) else s
-                p = p[inside(shared.value, p)]
-                if len(p):
+                place = np.flatnonzero(inside(shared.value, p))
+                if len(place):
                     with np.errstate(over="ignore"):
                         power = np.cumprod(np.full(len(s), 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
                         other = np.cumprod(np.full(len(s), 0xA3B195354A39B70D, np.uint64), dtype=np.uint64)
                         name.append(np.array([(s * power).sum(), (s * other).sum()], np.uint64).tobytes())
-                    grams.append(s.tobytes())
-                    meets.append(p.view(np.int64))
+                    meets.append(p[place].view(np.int64))
+                    at.append(place.astype(np.int32))
                 else:
                     name.append(None)
-                    grams.append(None)
                     meets.append(None)
+                    at.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(grams, pa.binary()), pa.array(meets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "class", "grams", "meets"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(meets, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
+                ["doc_id", "n_shingles", "class", "meets", "at"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, class binary, grams binary, meets array<long>")
-
-
-def _star(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hub = pdf["is_hub"].to_numpy()
-        member = pdf[~hub]
-        ids = member["doc_id"].to_numpy()
-        trie = Trie(_unpack(member["grams"]))
-        found = {i for q in _unpack(pdf[hub]["grams"]) for i in trie.search(q, percent)}
-        at = sorted(found)
-        return pd.DataFrame({"a": ids[at], "b": pdf["hub"].iloc[0]})
-
-    return run
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, class binary, meets array<long>, at array<int>"), frequent
 
 
-def _across(percent: int):
-    """Links between sets of different components in one block, or between two blocks."""
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
+    """Of the candidate pairs (doc_id, hub) the links (a, b), by each hub's set in a trie of its candidates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets, side = pdf["doc_id"].to_numpy(), _unpack(pdf["grams"]), pdf["side"].to_numpy()
-        parent = {c: c for c in pdf["component"]}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        comp, a, b = pdf["component"].to_numpy(), [], []
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(right)
-        stored = left if alone else right
-        trie = Trie([sets[i] for i in stored])
-        for i in left:
-            own = root(comp[i])
-            for j in trie.search(sets[i], percent, lambda j: (alone and stored[j] <= i) or root(comp[stored[j]]) == own):
-                a.append(ids[i])
-                b.append(ids[stored[j]])
-                parent[root(comp[stored[j]])] = root(comp[i])
-                own = root(comp[i])
+        sets = gram_sets(pa.array(pdf["text"], pa.string()), n, frequent.value)
+        ids, a, b = pdf["doc_id"].to_numpy(), [], []
+        for (hub, _), rows in pdf.groupby(["hub", "part"]).indices.items():
+            centre = [i for i in rows if ids[i] == hub]
+            others = [i for i in rows if ids[i] != hub]
+            trie = Trie([sets[i] for i in others])
+            for j in sorted({j for i in centre for j in trie.search(sets[i], percent)}):
+                a.append(ids[others[j]])
+                b.append(hub)
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return run
-
-
-def jaccard_links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect all documents of reps (doc_id, n_shingles, grams, meets) that similarity connects."""
-    member = reps.select("doc_id", "n_shingles", F.explode("meets").alias("key"))
-    member = member.withColumn("band", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)))).cast("int"))
+    size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sent = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id")
+    centres = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"))
+    sent = cut(sent.unionByName(centres))
+    groups = max(1, -(-sent.count() // GROUP))
+    texts = rows_of(docs, sent, "doc_id", "text")
+    sent = sent.join(texts, "doc_id").withColumn("group", F.pmod(F.xxhash64("hub", "part"), F.lit(groups)))
+    return cut(sent.groupBy("group").applyInPandas(run, "a long, b long"))
+
+
+def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, frequent) -> DataFrame:
+    """Links (a, b) that connect all documents of reps (doc_id, n_shingles, meets, at) that similarity connects."""
+    member = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("meets", "at")).alias("m")).select("doc_id", "n", F.col("m.meets").alias("key"), F.col("m.at").alias("at"))
+    # two sizes that can link are in one band or in neighbouring ones
+    member = cut(member.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")))
     hubs = member.groupBy("key", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    pairs = cut(member.join(hubs, ["key", "band"]).filter("doc_id <> hub").select("doc_id", "hub").distinct())
-    size = pairs.groupBy("hub").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int"))
-    grams = reps.select("doc_id", "grams")
-    sent = pairs.join(size.select("hub", "parts"), "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    members = sent.join(grams, "doc_id").select("hub", "part", "doc_id", "grams", F.lit(False).alias("is_hub"))
-    centres = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(grams.withColumnRenamed("doc_id", "hub"), "hub")
-    centres = centres.select("hub", "part", F.col("hub").alias("doc_id"), "grams", F.lit(True).alias("is_hub"))
-    links = cut(members.unionByName(centres).groupBy("hub", "part").applyInPandas(_star(percent), "a long, b long"))
+    pairs = member.join(hubs, ["key", "band"]).filter("doc_id <> hub").select("doc_id", "hub").distinct()
+    links = verified(docs, cut(pairs), n, percent, frequent)
 
     found = components(links)
-    placed = member.join(found, member.doc_id == found.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    point = placed.groupBy("key").agg(
-        F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "doc_id"), 24)).alias("s2"),
-    )
-    point = point.filter("low <> high").groupBy("k", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    meet = placed.join(cut(point), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meet = meet.select("key", "doc_id", "component", "block", other.alias("with"))
-    meet = meet.select("key", "doc_id", "component", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), (F.col("block") > F.col("with")).cast("int").alias("side"))
-    full = meet.join(grams, "doc_id").groupBy("key", "one", "two").applyInPandas(_across(percent), "a long, b long")
-    return links.unionByName(cut(full))
+    placed = member.join(found, member.doc_id == found.node, "left").select("key", "doc_id", "n", "at", "band", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    placed = cut(placed.join(mixed, "key"))
+    x = placed.select(F.col("key"), F.col("doc_id").alias("hub"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("of_x"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"))
+    fits = (
+        (F.col("of_x") != F.col("component"))
+        & ((F.col("n_x") > F.col("n")) | ((F.col("n_x") == F.col("n")) & (F.col("hub") < F.col("doc_id"))))
+        & (100 * F.col("n") >= percent * F.col("n_x"))
+        & ((100 + percent) * F.least(F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")) >= percent * (F.col("n_x") + F.col("n")))
+    )
+    pairs = x.join(placed, ["key", "band"]).filter(fits).select("doc_id", "hub").distinct()
+    return links.unionByName(verified(docs, cut(pairs), n, percent, frequent))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -286,11 +260,12 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     class, whose least doc_id stands for it in the join. Rows of null doc_id come
     back with a null component and link with nothing.
     """
-    every = cut(jaccard_sets(docs, n, percent))
+    sets, frequent = jaccard_sets(docs, n, percent)
+    every = cut(sets)
     known = every.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("rep")))
-    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).select("doc_id", "n_shingles", "grams", "meets")
-    found = components(jaccard_links(reps, percent))
+    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).select("doc_id", "n_shingles", "meets", "at")
+    found = components(jaccard_links(docs, reps, n, percent, frequent))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
     alone = every.filter(F.col("class").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
