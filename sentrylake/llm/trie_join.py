@@ -9,10 +9,11 @@ node, and leaves a subtree when what remains of either side can't reach the
 threshold.
 
 Not all pairs that meet are compared. First each meets one hub of its point and size
-band; links found so make components. Then, at points where different components
-still meet, pairs across components are candidates if their sizes and what remains
-of both after the point allow the threshold. Candidates are gathered by one of the
-two, and its set traverses the trie of the others. Only texts of candidates move.
+band, the least of its points' hubs; links found so make components. Then, at points
+where different components still meet, a document is a candidate for a larger
+component if their sizes and what remains of both after the point allow the
+threshold, and its set traverses the tries of that whole component. Pairs are never
+listed, and only texts of candidates move.
 """
 
 from __future__ import annotations
@@ -203,25 +204,29 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, class binary, meets array<long>, at array<int>"), frequent
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """Of the candidate pairs (doc_id, hub) the links (a, b), by each hub's set in a trie of its candidates."""
+def verified(docs: DataFrame, stored: DataFrame, asked: DataFrame, n: int, percent: int, frequent) -> DataFrame:
+    """Links (a, b) of asked sets (hub, doc_id) to the sets stored under the same hub (hub, doc_id).
+
+    Stored sets are dealt into tries of about BLOCK; each asked set traverses all tries of its hub.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = gram_sets(pa.array(pdf["text"], pa.string()), n, frequent.value)
-        ids, a, b = pdf["doc_id"].to_numpy(), [], []
-        for (hub, _), rows in pdf.groupby(["hub", "part"]).indices.items():
-            centre = [i for i in rows if ids[i] == hub]
-            others = [i for i in rows if ids[i] != hub]
+        ids, asks, a, b = pdf["doc_id"].to_numpy(), pdf["asks"].to_numpy(), [], []
+        for rows in pdf.groupby(["hub", "part"]).indices.values():
+            others = [i for i in rows if not asks[i]]
             trie = Trie([sets[i] for i in others])
-            for j in sorted({j for i in centre for j in trie.search(sets[i], percent)}):
-                a.append(ids[others[j]])
-                b.append(hub)
+            for i in rows:
+                if asks[i]:
+                    for j in trie.search(sets[i], percent):
+                        a.append(ids[i])
+                        b.append(ids[others[j]])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    sent = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id")
-    centres = size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"))
-    sent = cut(sent.unionByName(centres))
+    parts = stored.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    kept = stored.join(parts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", F.lit(False).alias("asks"))
+    asking = asked.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", F.lit(True).alias("asks"))
+    sent = cut(kept.unionByName(asking))
     groups = max(1, -(-sent.count() // GROUP))
     texts = rows_of(docs, sent, "doc_id", "text")
     sent = sent.join(texts, "doc_id").withColumn("group", F.pmod(F.xxhash64("hub", "part"), F.lit(groups)))
@@ -234,22 +239,29 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
     # two sizes that can link are in one band or in neighbouring ones
     member = cut(member.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")))
     hubs = member.groupBy("key", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    pairs = member.join(hubs, ["key", "band"]).filter("doc_id <> hub").select("doc_id", "hub").distinct()
-    links = verified(docs, cut(pairs), n, percent, frequent)
+    star = cut(member.join(hubs, ["key", "band"]).groupBy("doc_id").agg(F.min("hub").alias("hub")).filter("doc_id <> hub"))
+    centre = star.select("hub").distinct().select("hub", F.col("hub").alias("doc_id"))
+    links = verified(docs, star.select("hub", "doc_id"), centre, n, percent, frequent)
 
+    # what a point may still connect: a document with a larger component (or an equal one of lesser name)
     found = components(links)
-    placed = member.join(found, member.doc_id == found.node, "left").select("key", "doc_id", "n", "at", "band", F.coalesce("component", "doc_id").alias("component"))
+    part = member.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    part = cut(part)
+    part = cut(part.join(part.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    placed = member.join(part, "doc_id")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     placed = cut(placed.join(mixed, "key"))
-    x = placed.select(F.col("key"), F.col("doc_id").alias("hub"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("of_x"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"))
+    other = placed.groupBy("key", "band", F.col("component").alias("hub"), F.col("size").alias("hub_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    own = placed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     fits = (
-        (F.col("of_x") != F.col("component"))
-        & ((F.col("n_x") > F.col("n")) | ((F.col("n_x") == F.col("n")) & (F.col("hub") < F.col("doc_id"))))
-        & (100 * F.col("n") >= percent * F.col("n_x"))
-        & ((100 + percent) * F.least(F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")) >= percent * (F.col("n_x") + F.col("n")))
+        (F.col("hub") != F.col("component"))
+        & ((F.col("hub_size") > F.col("size")) | ((F.col("hub_size") == F.col("size")) & (F.col("hub") < F.col("component"))))
+        & (100 * F.least("n", "most") >= percent * F.greatest("n", "least"))
+        & ((100 + percent) * F.least(F.col("n") - F.col("at"), "rest") >= percent * (F.col("n") + F.col("least")))
     )
-    pairs = x.join(placed, ["key", "band"]).filter(fits).select("doc_id", "hub").distinct()
-    return links.unionByName(verified(docs, cut(pairs), n, percent, frequent))
+    asked = cut(own.join(other, ["key", "band"]).filter(fits).select("hub", "doc_id").distinct())
+    stored = part.select(F.col("component").alias("hub"), "doc_id").join(asked.select("hub").distinct(), "hub")
+    return links.unionByName(verified(docs, stored, asked, n, percent, frequent))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
