@@ -2,7 +2,7 @@
 
 Edges of the graph are k-word windows, its nodes the (k - 1)-word sequences between
 them. As in minimiser-partitioned graph builders, each edge belongs to the partition
-of its anchor, the greatest GRAM-word sequence inside it, so equal edges meet in one
+of its anchor, the GRAM-word sequence of least hash inside it, so equal edges meet in one
 partition; a run of consecutive edges of one document with one anchor place is a piece of a
 path; windows of one run are never equal, as the anchor stands at another place in
 each. An anchor that only one run has bears unique edges and goes away. Equal runs
@@ -30,14 +30,9 @@ GRAM = 8
 _Q, _SECOND = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
-def _anchors(wh: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of k words the least key of its GRAM-word sequences, and where it first stands.
-
-    Longer sequences, which are rarer, have lesser keys.
-    """
-    grams = window_hashes(wh, GRAM)
-    size = np.minimum(bounds[GRAM : GRAM + len(grams)] - bounds[: len(grams)], 255).astype(np.uint64)
-    key = ((np.uint64(255) - size) << np.uint64(56)) | (grams >> np.uint64(8))
+def _anchors(wh: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of k words the least hash of its GRAM-word sequences, and where it first stands."""
+    key = window_hashes(wh, GRAM)
     need, span = k - GRAM + 1, 1
     low, at = key, np.arange(len(key), dtype=np.int32)
 
@@ -67,7 +62,7 @@ class Windows:
         group, place = places(counts)
         self.at = np.flatnonzero(place[: self.n] + k <= counts[group[: self.n]])
         self.doc, self.place = group[self.at], place[self.at]
-        anchor, where = _anchors(wh, bounds, k)
+        anchor, where = _anchors(wh, k)
         self.anchor, where = anchor[self.at], where[self.at]
         new = np.ones(len(self.at), bool)
         new[1:] = (where[1:] != where[:-1]) | (self.doc[1:] != self.doc[:-1])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bits of the filters that are broadcast: 16 MB, whatever the input. A full filter only lets more rows through.
 FILTER_BITS = 1 << 27
 SEPARATOR = np.zeros(256, bool)
