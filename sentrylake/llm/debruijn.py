@@ -178,20 +178,25 @@ def _with_spans(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """
     spans = cut(repeated_spans(docs, k).groupBy("doc_id", "th").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("_spans")))
     some = bit_filter(spans.select(F.expr("xxhash64(doc_id, th)").alias("h")), "h")
-    named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("_text"), F.col("doc_id").alias("_doc_id"))
-    named = named.withColumn("_th", F.hash("_text")).withColumn("_h", F.xxhash64("_doc_id", "_th"))
+    named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    text, doc_id = F.col(f"_c{docs.columns.index('text')}"), F.col(f"_c{docs.columns.index('doc_id')}")
+    hashed = named.withColumn("_th", F.hash(text)).withColumn("_h", F.xxhash64(doc_id, "_th"))
+
+    sized = f"_c{docs.columns.index('text')}"
 
     def part(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(inside(some.value, np.asarray(batch.column("_h"), np.int64).view(np.uint64)) == wanted))
+            for batch in sliced(batches, sized, 4 << 20):
+                batch = batch.filter(pa.array(inside(some.value, np.asarray(batch.column("_h"), np.int64).view(np.uint64)) == wanted))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
 
         return run
 
+    kept = hashed.drop("_h").schema
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of"), "_spans")
-    hit = named.mapInArrow(part(True), named.schema).join(spans, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left")
-    rest = named.mapInArrow(part(False), named.schema).withColumn("_spans", F.lit(None).cast("array<long>"))
-    columns = [c for c in named.columns if c not in ("_th", "_h")] + ["_spans"]
+    hit = hashed.mapInArrow(part(True), kept).join(spans, doc_id.eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left")
+    rest = hashed.mapInArrow(part(False), kept).withColumn("_spans", F.lit(None).cast("array<long>"))
+    columns = [*named.columns, "_spans"]
     return hit.select(columns), rest.select(columns)
 
 
@@ -206,8 +211,8 @@ def dedup_report(docs: DataFrame, k: int = K) -> DataFrame:
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
-            body, bounds, counts = words_of(batch.column("_text"))
+        for batch in sliced(batches, "_c1"):
+            body, bounds, counts = words_of(batch.column("_c1"))
             gone = _covered(counts, batch.column("_spans").to_pylist(), k)
             sizes = np.diff(bounds)
             kept = ~gone
@@ -223,10 +228,10 @@ def dedup_report(docs: DataFrame, k: int = K) -> DataFrame:
                 a, b = total[begin[i]], total[begin[i] + counts[i]]
                 removed[i] = counts[i] - (b - a)
                 digests.append(hashlib.sha256(joined[ends[a] : ends[b] - 1] if b > a else b"").hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("_doc_id"), pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("_c0"), pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    hit, rest = (df.select("_doc_id", "_text", "_spans").mapInArrow(report, schema) for df in _with_spans(docs.select("doc_id", "text"), k))
+    hit, rest = (df.mapInArrow(report, schema) for df in _with_spans(docs.select("doc_id", "text"), k))
     return hit.unionByName(rest)
 
 
@@ -240,8 +245,8 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     text_at = columns.index("text")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
-            texts = batch.column("_text")
+        for batch in sliced(batches, f"_c{text_at}"):
+            texts = batch.column(f"_c{text_at}")
             data, off = buffers(texts)
             _, bounds, counts = words_of(texts)
             spans = batch.column("_spans").to_pylist()

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
-#: Bits of the filters that are broadcast: 16 MB, whatever the input. A full filter only lets more rows through.
-FILTER_BITS = 1 << 27
+#: Bits of the filters that are broadcast: 8 MB, whatever the input. A full filter only lets more rows through.
+FILTER_BITS = 1 << 26
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -11,8 +11,8 @@ threshold.
 Not all pairs that meet are compared. First each meets one hub of its point and size
 band, the least of its points' hubs; links found so make components. Then, at points
 where different components still meet, a document is a candidate for a larger
-component if their sizes and what remains of both after the point allow the
-threshold, and its set traverses the tries of that whole component. Pairs are never
+component if their sizes, what remains of both after the point, and the number of
+such points allow the threshold, and its set traverses the tries of that whole component. Pairs are never
 listed, and only texts of candidates move.
 """
 
@@ -33,7 +33,9 @@ PERCENT = 85
 #: The frequent n-grams that go last in the global order: a table of bounded size, which only speeds the join.
 FREQUENT, OFTEN = 65536, 3
 #: Sets in one trie; a hub with more candidates has several. Sets in one task.
-BLOCK, GROUP = 256, 1024
+BLOCK, GROUP = 256, 512
+#: Meeting points beyond the first that a candidate must have, where its size leaves room for them.
+MORE = 8
 _TOP = np.uint64(1 << 63)
 
 
@@ -257,9 +259,14 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
         (F.col("hub") != F.col("component"))
         & ((F.col("hub_size") > F.col("size")) | ((F.col("hub_size") == F.col("size")) & (F.col("hub") < F.col("component"))))
         & (100 * F.least("n", "most") >= percent * F.greatest("n", "least"))
-        & ((100 + percent) * F.least(F.col("n") - F.col("at"), "rest") >= percent * (F.col("n") + F.col("least")))
+        & ((100 + percent) * (F.least(F.col("n") - F.col("at"), "rest") + MORE) >= percent * (F.col("n") + F.col("least")))
     )
-    asked = cut(own.join(other, ["key", "band"]).filter(fits).select("hub", "doc_id").distinct())
+    # sets that link share need n-grams; from the m-th shared one on need - m + 1 remain, so the first
+    # MORE + 1 shared ones all pass the test above, and lie in both prefixes as far as `room` says
+    need = percent * (F.col("n") + F.col("least")) / (100 + percent)
+    room = F.floor(need - F.lit(percent) * F.greatest("n", "most") / 100).cast("int") - 1
+    met = own.join(other, ["key", "band"]).filter(fits).select("hub", "doc_id", F.greatest(F.lit(0), F.least(F.lit(MORE), room)).alias("room"))
+    asked = cut(met.groupBy("hub", "doc_id").agg(F.count("*").alias("k"), F.min("room").alias("room")).filter("k > room").select("hub", "doc_id"))
     stored = part.select(F.col("component").alias("hub"), "doc_id").join(asked.select("hub").distinct(), "hub")
     return links.unionByName(verified(docs, stored, asked, n, percent, frequent))
 
