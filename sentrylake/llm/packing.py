@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import as_strings, cut, places, sliced, words_of
+from sentrylake.llm.text import as_strings, cut, kept_here, places, sliced, words_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,8 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        # a Python worker serves many tasks: what it has loaded and encoded stays with the library's module
-        kept = tokenizers.__dict__.setdefault("_sentrylake", {})
+        kept = kept_here()  # a Python worker serves many tasks
         if tokenizer_path not in kept:
             kept[tokenizer_path] = tokenizers.Tokenizer.from_file(tokenizer_path), {}
         tok, cache = kept[tokenizer_path]

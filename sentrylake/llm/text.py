@@ -7,7 +7,9 @@ those bytes inside a longer character, so words can be found on raw bytes.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -103,16 +105,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+def kept_here() -> dict:
+    """What this process keeps between tasks. Not a global of this module, as those travel with functions sent to executors."""
+    return sys.modules.setdefault("_sentrylake_kept", types.ModuleType("_sentrylake_kept")).__dict__
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    have = kept_here().get(f"power {base}")
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
             have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), np.uint64(base), np.uint64)]), dtype=np.uint64)
-        if len(have) < 1 << 24:
-            _powers[base] = have
+        if len(have) < 1 << 22:
+            kept_here()[f"power {base}"] = have
     return have[:n]
 
 
