@@ -63,7 +63,7 @@ def op10_byte_cnn_language(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
 ORACLES: dict[str, str] = {
     "op5_topk_search": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
         s AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -71,4 +71,51 @@ ORACLES: dict[str, str] = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op4_debruijn_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, w FROM d WHERE len(w) >= 20),
+        h AS (SELECT doc_id, pos, sha256(array_to_string(w[pos : pos + 19], ' ')) AS key FROM p),
+        f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS later FROM h),
+        g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM f WHERE later),
+        o AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+        k AS (SELECT o.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS gone, string_agg(o.word, ' ' ORDER BY o.pos) FILTER (g.pos IS NULL) AS kept
+            FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.pos = g.pos GROUP BY o.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op7_trie_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+        a AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS pos FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[pos : pos + 3], ' ') AS g FROM a),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+    """,
+    "op8_url_filter": r"""
+        WITH t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+        u AS (SELECT page_id, translate(regexp_extract(coalesce(tail, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+        v AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+            list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS seg FROM u),
+        p AS (SELECT *, CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'com/de/' THEN 'block' WHEN 'com/fr/' THEN 'allow' WHEN 'org/' THEN 'allow' END AS ruled,
+            coalesce(seg[1], '') AS s1, coalesce(seg[2], '') AS s2, greatest(len(seg) - 2, 0) AS more FROM v),
+        one AS (SELECT host, s1, count(*) AS n1 FROM p GROUP BY ALL),
+        h0 AS (SELECT host, sum(n1) AS n0, count(*) FILTER (s1 NOT IN ('', '*')) AS kids FROM one GROUP BY ALL),
+        g1 AS (SELECT host, s1, CASE WHEN kids >= 20 AND n1 < 0.02 * n0 AND s1 <> '' THEN '*' ELSE s1 END AS g1 FROM one JOIN h0 USING (host)),
+        two AS (SELECT host, g1, s2, count(*) AS n2 FROM p JOIN g1 USING (host, s1) GROUP BY ALL),
+        h1 AS (SELECT host, g1, sum(n2) AS n1, count(*) FILTER (s2 NOT IN ('', '*')) AS kids FROM two GROUP BY ALL),
+        g2 AS (SELECT host, g1, s2, CASE WHEN kids >= 20 AND n2 < 0.02 * n1 AND s2 <> '' THEN '*' ELSE s2 END AS g2 FROM two JOIN h1 USING (host, g1)),
+        q AS (SELECT p.*, g1, g2 FROM p JOIN g1 USING (host, s1) JOIN g2 USING (host, g1, s2)),
+        al AS (SELECT least(0.5, (count(*) FILTER (ruled = 'block') + 1) / (count(ruled) + 2)) AS p_all FROM q),
+        ho AS (SELECT host, (count(*) FILTER (ruled = 'block') + 10.0 * (SELECT p_all FROM al)) / (count(ruled) + 10.0) AS p_host FROM q GROUP BY host),
+        br AS (SELECT host, g1, p_host, count(ruled) AS l1, count(*) FILTER (ruled = 'block') AS b1 FROM q JOIN ho USING (host) GROUP BY ALL),
+        bn AS (SELECT *, CASE WHEN abs(b1 - l1 * p_host) <= 1.96 * sqrt(l1 * p_host * (1 - p_host)) THEN '~' ELSE g1 END AS branch FROM br),
+        me AS (SELECT host, branch, (sum(b1) + 10.0 * max(p_host)) / (sum(l1) + 10.0) AS p_branch FROM bn GROUP BY ALL),
+        z AS (SELECT q.*, branch FROM q JOIN bn USING (host, g1)),
+        te AS (SELECT host, branch, g2, more, (count(*) FILTER (ruled = 'block') + 10.0 * max(p_branch)) / (count(ruled) + 10.0) AS purity FROM z JOIN me USING (host, branch) GROUP BY ALL)
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, '/' || branch || '/' || g2 || repeat('/*', more) AS template, purity
+        FROM z JOIN te USING (host, branch, g2, more)
+    """,
 }
