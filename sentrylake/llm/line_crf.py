@@ -204,10 +204,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list
     rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in training_sample(docs, labels, train_on).limit(4 * SAMPLE_DOCS).collect()))
     model = train([t for _, t, _ in rows], [q for *_, q in rows]) if len({q for *_, q in rows}) == 2 else None
     carry = list(carry or [])
+    text = f"_c{carry.index('text')}" if "text" in carry else "_text"  # one copy of a text in a batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 2 << 20):
-            x, length, counts = line_features(batch.column("_text"))
+        for batch in sliced(batches, text, 1 << 20):
+            x, length, counts = line_features(batch.column(text))
             if model is None:
                 p, score = np.full(len(x), 0.5), np.full(len(counts), 0.5)
             else:
@@ -218,7 +219,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list
             more = [batch.column(f"_c{i}") for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays(fixed + more, ["doc_id", "held_out", "score", "predicted", "n_lines", "bad_lines", *[f"_c{i}" for i in range(len(carry))]])
 
-    base = docs.select(F.col("doc_id").alias("_id"), held_out("doc_id", 5, 0).alias("_held"), F.col("text").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    base = docs.select(F.col("doc_id").alias("_id"), held_out("doc_id", 5, 0).alias("_held"), *([F.col("text").alias("_text")] if text == "_text" else []), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     kinds = dict(docs.dtypes)
     schema = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_lines long" + "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(carry))
     return base.mapInArrow(run, schema)

@@ -74,23 +74,24 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[fl
     base = docs.select(
         "doc_id", F.col("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry]
     )
-    cell = ["source", "_class", "_h"]
+    # null sources as a flag beside a text, so that the window and the join below share one partitioning
+    cell = ["_s", "_n", "_class", "_h"]
+    base = base.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     base = base.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 2).cast("int")).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(HASH_CELLS)).cast("int"))
     cells = cut(base.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("tokens")))
-    sources = source_plan(cells.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, cap)
+    named = cells.withColumn("source", F.when(~F.col("_n"), F.col("_s")))
+    sources = source_plan(named.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("_class", "_h").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*cell, "before").alias("o")
-    plan = offsets.join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.*", "source_size", "target", "rate")
-    ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.xxhash64("doc_id", "size"), "doc_id"))).alias("d")
-    plan = plan.alias("p")
-    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._class") == F.col("p._class")) & (F.col("d._h") == F.col("p._h"))
-    out = ranked.join(plan, same)
+    offsets = named.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", *cell, "before").alias("o")
+    plan = offsets.join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select(*cell, "before", "source_size", "target", "rate")
+    ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.xxhash64("doc_id", "size"), "doc_id")))
+    out = ranked.join(plan, cell)
     k, frac = F.col("before") + F.col("_rank"), F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + F.floor(frac * k + 0.5) - F.floor(frac * (k - 1) + 0.5)
     out = out.withColumn("copies", copies.cast("long"))
     return out.select(
-        F.col("d.doc_id"), F.col("d.size"), F.col("d.source"), "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("d.size")).alias("taken"), *[F.col(f"_carry_{c}") for c in carry],
+        "doc_id", "size", "source", "source_size", "target", "rate", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_carry_{c}") for c in carry],
     )
 
 
