@@ -238,7 +238,7 @@ def verified(docs: DataFrame, stored: DataFrame, asked: DataFrame, n: int, perce
 def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     """Links (a, b) that connect all documents of reps (doc_id, n_shingles, meets, at) that similarity connects."""
     member = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("meets", "at")).alias("m")).select("doc_id", "n", F.col("m.meets").alias("key"), F.col("m.at").alias("at"))
-    # two sizes that can link are in one band or in neighbouring ones
+    # sizes in one band can link
     member = cut(member.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")))
     hubs = member.groupBy("key", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
     star = cut(member.join(hubs, ["key", "band"]).groupBy("doc_id").agg(F.min("hub").alias("hub")).filter("doc_id <> hub"))
@@ -254,7 +254,7 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     placed = cut(placed.join(mixed, "key"))
     other = placed.groupBy("key", "band", F.col("component").alias("hub"), F.col("size").alias("hub_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
-    own = placed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    own = placed.drop("band")
     fits = (
         (F.col("hub") != F.col("component"))
         & ((F.col("hub_size") > F.col("size")) | ((F.col("hub_size") == F.col("size")) & (F.col("hub") < F.col("component"))))
@@ -265,7 +265,7 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
     # MORE + 1 shared ones all pass the test above, and lie in both prefixes as far as `room` says
     need = percent * (F.col("n") + F.col("least")) / (100 + percent)
     room = F.floor(need - F.lit(percent) * F.greatest("n", "most") / 100).cast("int") - 1
-    met = own.join(other, ["key", "band"]).filter(fits).select("hub", "doc_id", F.greatest(F.lit(0), F.least(F.lit(MORE), room)).alias("room"))
+    met = own.join(other, "key").filter(fits).select("hub", "doc_id", F.greatest(F.lit(0), F.least(F.lit(MORE), room)).alias("room"))
     asked = cut(met.groupBy("hub", "doc_id").agg(F.count("*").alias("k"), F.min("room").alias("room")).filter("k > room").select("hub", "doc_id"))
     stored = part.select(F.col("component").alias("hub"), "doc_id").join(asked.select("hub").distinct(), "hub")
     return links.unionByName(verified(docs, stored, asked, n, percent, frequent))
