@@ -18,7 +18,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 8192
 ROUNDS = 3
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,14 +41,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             body, bounds, counts = words_of(batch.column("text"))
             coded = as_strings(body, bounds).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            new = [w for w in distinct if w not in cache]
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = distinct
+            new, fresh = [w for w in distinct if w not in cache], {}
             for i in range(0, len(new), 4096):
                 for w, e in zip(new[i : i + 4096], tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                    cache[w] = np.asarray(e.ids, np.uint32).tobytes()
-            own = [cache[w] for w in distinct]
+                    fresh[w] = np.asarray(e.ids, np.uint32).tobytes()
+            own = [cache[w] if w in cache else fresh[w] for w in distinct]
+            if len(cache) + len(fresh) <= CACHED_WORDS:  # the words seen first are mostly the common ones
+                cache.update(fresh)
             sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
             ids, at = np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes
             codes = np.asarray(coded.indices)
