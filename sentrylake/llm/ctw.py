@@ -1,19 +1,20 @@
 """Operator 6: language-model scores by context-tree weighting over bytes.
 
-A text is its lower-cased words, each spelled as bytes and closed by a space, and one
-end mark. A byte is eight binary decisions; a decision's contexts are the 0 to DEPTH
-bytes before it inside its word (spaces before the word's start). Every node
+A text is its lower-cased words, each closed by a space, and one end mark. A byte is
+eight binary decisions; a decision's contexts are the 0 to DEPTH bytes before it in the
+text's running stream, across words (spaces before the text's start). Every node
 estimates by Krichevsky-Trofimov; weighting mixes the estimates of all depths.
 
-The work is over distinct spellings, not over positions of the corpus: documents are
-put into blocks with a vocabulary each, and blocks only exchange words, spellings
-and their values. Keys hold the newest context byte first, so a node at any depth is a
-prefix of the key; subtrees below the newest two bytes are built side by side, and
-what lies above them has at most 65,536 contexts and is finished on the driver.
+Documents are put into blocks. A block counts its distinct (context, byte) keys and its
+distinct words for each tree first, and sends them packed, one row for each bucket of
+contexts; a bucket sends every block the values of the block's own keys. Keys hold the
+newest context byte first, so a node at any depth is a prefix of the key; a bucket holds
+whole subtrees of the newest two bytes, and what lies above them has at most 65,536
+contexts and is finished on the driver.
 
-Texts in several languages share few spellings, so each language that the training
-rows name has a tree of its own, and a text's probability is the mean of what the
-trees give to the whole text, weighted by their shares of the training documents.
+Each language that the training rows name has a tree of its own, rows without a language
+have one together, and a text's probability is the mean of what the trees give to the
+whole text, weighted by their shares of the training documents.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import as_strings, cut, held_out, places, sliced, word_hashes, words_of
+from sentrylake.llm.text import LOWER, SEPARATOR, buffers, cut, held_out, kept_here, sliced, word_hashes
 
-DEPTH = 4
-CLASSES = 8
-GROUP = 50_000
-BLOCK_BYTES = 14 << 20
-SLICE = 1 << 16
+DEPTH = 6
+BLOCK_BYTES = 32 << 20
+#: Parts that contexts and words are dealt to.
+BUCKETS, WORD_BUCKETS = 256, 32
+#: Slices of text that one row of a block holds.
+SLICES = 4
+EXACT = 1 << 14
 LN10 = float(np.log(10))
 
 
@@ -49,30 +53,60 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
-
-
-def spellings(body: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each spelled byte, the word it is of): newest context byte on top, the byte itself at the bottom."""
-    keys, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for i in range(0, len(bounds) - 1, SLICE):  # keeps the work space small
-        own = bounds[i : i + SLICE + 1]
-        sizes = np.diff(own)
-        word, place = places(sizes + depth + 1)
-        text = np.full(len(word), 32, np.uint8)
-        text[(place >= depth) & (place < depth + sizes[word])] = body[own[0] : own[-1]]
-        at = np.flatnonzero(place >= depth)
-        key = text[at].astype(np.int64)
-        for j in range(1, depth + 1):
-            key |= text[at - j].astype(np.int64) << (8 * (depth + 1 - j))
-        keys.append(key)
-        of.append((word[at] + i).astype(np.int32))
-    return np.concatenate(keys), np.concatenate(of)
-
-
-def end_key(depth: int = DEPTH) -> int:
-    return int.from_bytes(b" " * depth + b"\n", "big")
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones; the first EXACT values are looked up."""
+    kept = kept_here()
+    if "ctw gamma" not in kept:
+        n = np.arange(EXACT, dtype=float)
+        kept["ctw gamma"] = log_gamma(n + 0.5), log_gamma(n + 1.0)
+    half, whole = kept["ctw gamma"]
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    n = a + b
+    out = half[np.minimum(a, EXACT - 1)] + half[np.minimum(b, EXACT - 1)] - whole[np.minimum(n, EXACT - 1)] - np.log(np.pi)
+    far = np.flatnonzero(n >= EXACT)
+    out[far] = log_gamma(a[far] + 0.5) + log_gamma(b[far] + 0.5) - np.log(np.pi) - log_gamma(n[far] + 1.0)
+    return out
+
+
+def spellings(body: np.ndarray, bounds: np.ndarray, depth: int = DEPTH, close: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each byte of each text and of its closing byte, the text it is of): newest context byte on top, the byte itself at the bottom."""
+    sizes = np.diff(bounds)
+    n, wide = len(sizes), sizes + depth + 1
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    ends = np.cumsum(wide)
+    own = np.ones(ends[-1], bool)
+    own[((ends - wide)[:, None] + np.arange(depth)).ravel()] = False
+    inner = own.copy()
+    inner[ends - 1] = False
+    text = np.full(ends[-1] + 8, 32, np.uint8)  # eight more, as eight bytes are read at once
+    text[8:][inner] = body[bounds[0] : bounds[-1]]
+    text[8:][ends - 1] = close
+    # backwards, the eight bytes from a place on are the byte before it, and older ones
+    back = np.ascontiguousarray(text[::-1])
+    eight = np.ndarray((ends[-1],), ">u8", back, 1, (1,))[::-1]
+    keys = (eight[own].astype(np.uint64) >> np.uint64(8 * (8 - depth)) << np.uint64(8)).view(np.int64)
+    return keys | text[8:][own], np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+
+
+def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-cased words of all texts, each closed by a space; bounds of the texts in it)."""
+    data, off = buffers(pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.string()), "", " "))
+    gap = SEPARATOR[data]
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]
+    total = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    gap = gap[keep]
+    body = LOWER[data[keep]]
+    body[gap] = 32
+    return body, total[off]
+
+
+def words_in(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of a stream, the text of each)."""
+    gap = body == 32
+    ends = np.flatnonzero(gap)
+    stops = ends - np.arange(len(ends))
+    return word_hashes(body[~gap], np.concatenate([[0], stops]).astype(np.int64)).view(np.int64), np.searchsorted(bounds, ends, "right") - 1
 
 
 class Subtrees:
@@ -122,30 +156,18 @@ class Subtrees:
         return out
 
 
-def spelling_model(pairs: DataFrame, classes: int, depth: int = DEPTH) -> DataFrame:
-    """(key, logp): log10 probability of each spelled byte in its context by the tree of each class, an array.
+def top_nodes(keys: np.ndarray, counts: list[np.ndarray], depth: int) -> pd.DataFrame:
+    """For each class, newest byte and node: zeros, ones and ln Pw of the nodes of two bytes of context, summed."""
+    tree, parts = Subtrees(keys, 2, depth), [pd.DataFrame(columns=["of", "newest", "node", "zeros", "ones", "pw"], dtype=float)]
+    for c, n in enumerate(counts):
+        for levels, fitted in zip(tree.levels, tree.fit(n), strict=True):
+            zeros, ones, _, pw = fitted[0]
+            parts.append(pd.DataFrame({"of": c, "newest": levels[0][0] >> 16, "node": levels[0][0] & 255, "zeros": zeros, "ones": ones, "pw": pw})[zeros + ones > 0])
+    return pd.concat([p for p in parts if len(p)] or parts[:1]).groupby(["of", "newest", "node"], as_index=False).sum()
 
-    pairs: (key, n), n an array with the training count of each class, 0 too.
-    """
-    low = 8 * (depth - 1)
-    sums = [F.sum(F.get("n", F.lit(c))).alias(f"n{c}") for c in range(classes)]
-    pairs = cut(pairs.groupBy("key").agg(*sums))
-    groups = max(1, -(-pairs.count() // GROUP))  # whole subtrees of the newest two bytes, many to a group
-    pairs = pairs.withColumn("root", F.pmod(F.xxhash64(F.shiftright("key", low)), F.lit(groups)))
-
-    def tops(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        tree = Subtrees(pdf["key"].to_numpy(), 2, depth)
-        parts = []
-        for c in range(classes):
-            for levels, fitted in zip(tree.levels, tree.fit(pdf[f"n{c}"].to_numpy()), strict=True):
-                zeros, ones, _, pw = fitted[0]
-                parts.append(pd.DataFrame({"of": c, "newest": levels[0][0] >> 16, "node": levels[0][0] & 255, "zeros": zeros, "ones": ones, "pw": pw}))
-        return pd.concat(parts)
-
-    top = pairs.groupBy("root").applyInPandas(tops, "of long, newest long, node long, zeros double, ones double, pw double")
-    top = top.groupBy("of", "newest", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("pw")).toPandas().to_numpy(float).reshape(-1, 6)
-    # depths 1 and 0, as tables by (class, newest byte, node), the root at 256: estimate of a one, and weight
+
+def above_of(top: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depths 1 and 0 as tables by (class, newest byte, node), the root at 256: estimate of a one, and weight."""
     one, weight = np.full((classes, 257, 256), 0.5), np.full((classes, 257, 256), 0.5)
     of, at, node, zeros, ones = top[:, 0].astype(int), top[:, 1].astype(int), top[:, 2].astype(int), top[:, 3], top[:, 4]
     pe = log_kt(zeros, ones)
@@ -154,90 +176,188 @@ def spelling_model(pairs: DataFrame, classes: int, depth: int = DEPTH) -> DataFr
     z, o, s = (np.bincount(of * 256 + node, x, 256 * classes).reshape(classes, 256) for x in (zeros, ones, pw))
     pe = log_kt(z.ravel(), o.ravel()).reshape(classes, 256)
     one[:, 256], weight[:, 256] = (o + 0.5) / (z + o + 1), np.exp(pe - np.log(2) - (np.logaddexp(pe, s) - np.log(2)))
-    above = pairs.sparkSession.sparkContext.broadcast((one, weight))
+    return one, weight
+
+
+def log10_values(keys: np.ndarray, counts: list[np.ndarray], above: tuple[np.ndarray, np.ndarray], depth: int) -> Iterator[np.ndarray]:
+    """For each class: log10 probability of each key's byte in its context."""
+    tree, newest = Subtrees(keys, 2, depth), keys >> (8 * depth)
+    for c, n in enumerate(counts):
+        one, weight = above[0][c], above[1][c]
+        mixed, left = np.zeros((8, len(keys))), np.ones((8, len(keys)))
+        for b in range(8):
+            bit, prefix = (tree.byte >> (7 - b)) & 1, (1 << b) | (tree.byte >> (8 - b))
+            for row in (256, newest):
+                p = one[row, prefix]
+                mixed[b] += left[b] * weight[row, prefix] * np.where(bit == 1, p, 1 - p)
+                left[b] *= 1 - weight[row, prefix]
+        yield tree.log_probability(tree.fit(n), mixed, left) / LN10
+
+
+TOP = "of long, newest long, node long, zeros double, ones double, pw double"
+
+
+def gathered(top: DataFrame) -> np.ndarray:
+    return top.groupBy("of", "newest", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("pw")).toPandas().to_numpy(float).reshape(-1, 6)
+
+
+def spelling_model(pairs: DataFrame, classes: int, depth: int = DEPTH) -> DataFrame:
+    """(key, logp): log10 probability of each spelled byte in its context by the tree of each class, an array.
+
+    pairs: (key, n), n an array with the training count of each class, 0 too. The same
+    model as in score_texts, for keys that lie in a table.
+    """
+    pairs = cut(pairs.groupBy("key").agg(*[F.sum(F.get("n", F.lit(c))).alias(f"n{c}") for c in range(classes)]))
+    pairs = pairs.withColumn("root", F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - 1))), F.lit(BUCKETS)))
+    counts = lambda pdf: [pdf[f"n{c}"].to_numpy() for c in range(classes)]
+    above = above_of(gathered(pairs.groupBy("root").applyInPandas(lambda pdf: top_nodes(pdf["key"].to_numpy(), counts(pdf), depth), TOP)), classes)
+    above = pairs.sparkSession.sparkContext.broadcast(above)
 
     def spell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        keys = pdf["key"].to_numpy()
-        tree, newest, out = Subtrees(keys, 2, depth), keys >> (8 * depth), []
-        for c in range(classes):
-            one, weight = above.value[0][c], above.value[1][c]
-            mixed, left = np.zeros((8, len(keys))), np.ones((8, len(keys)))
-            for b in range(8):
-                bit, prefix = (tree.byte >> (7 - b)) & 1, (1 << b) | (tree.byte >> (8 - b))
-                for row in (256, newest):
-                    p = one[row, prefix]
-                    mixed[b] += left[b] * weight[row, prefix] * np.where(bit == 1, p, 1 - p)
-                    left[b] *= 1 - weight[row, prefix]
-            out.append(tree.log_probability(tree.fit(pdf[f"n{c}"].to_numpy()), mixed, left) / LN10)
-        return pd.DataFrame({"key": keys, "logp": list(np.stack(out, 1))})
+        return pd.DataFrame({"key": pdf["key"], "logp": list(np.stack(list(log10_values(pdf["key"].to_numpy(), counts(pdf), above.value, depth)), 1))})
 
     return pairs.groupBy("root").applyInPandas(spell, "key long, logp array<double>")
 
 
-BLOCK = "block long, ids array<long>, held array<boolean>, counts array<int>, codes binary, hashes array<long>, train array<long>, keys array<long>, key_train array<array<long>>, words binary, train_docs long"
+class Tally:
+    """Distinct keys, sorted, and how often each was added."""
+
+    def __init__(self):
+        self.keys, self.counts, self.wait, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys = np.sort(keys)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            keys, counts = keys[first], np.diff(np.append(first, len(keys)))
+        self.wait.append((keys, counts))
+        self.size += len(keys)
+        if self.size > len(self.keys) // 4 + (1 << 20):
+            self.merge()
+
+    def merge(self) -> Tally:
+        if self.wait:
+            keys, counts = (np.concatenate([x, *[w[i] for w in self.wait]]) for i, x in enumerate((self.keys, self.counts)))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.counts = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+            self.wait, self.size = [], 0
+        return self
 
 
-def blocks_of(docs: DataFrame, classes: int, depth: int = DEPTH) -> DataFrame:
-    """Documents (doc_id, text, class, -1 if not learned from) in blocks of about BLOCK_BYTES, as codes into each block's own vocabulary."""
+def _pack(a: np.ndarray) -> bytes:
+    """An array, the first bytes of all its items first."""
+    a = np.ascontiguousarray(a)
+    return a.nbytes.to_bytes(8, "big") + (pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), "zstd", asbytes=True) if a.nbytes else b"")
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    size, kind = int.from_bytes(data[:8], "big"), np.dtype(kind)
+    if not size:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.int64))
+
+
+BLOCK = "block long, bucket int, ids array<binary>, texts array<binary>, sizes array<binary>, held array<binary>, train_docs long, train_words long, keys binary, classes array<int>, counts array<binary>"
+
+
+def bucket_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    """A key's bucket, by its newest two bytes."""
+    root = (keys >> (8 * (depth - 1))).astype(np.uint64)
+    return (root * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def dealt(tallies: dict[int, Tally], place) -> Iterator[tuple[int, bytes, list[int], list[bytes]]]:
+    """(bucket, keys, classes, counts of each) of a block; class -1 brings keys only."""
+    every = Tally()
+    for t in tallies.values():
+        every.add(t.merge().keys, t.counts)
+    keys = every.merge().keys
+    bucket = place(keys).astype(np.int16)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]))) if len(keys) else []
+    at = {c: np.searchsorted(keys, t.keys) for c, t in tallies.items() if c >= 0}
+    dense = {}
+    for c, t in tallies.items():
+        if c >= 0:
+            dense[c] = np.zeros(len(keys), np.uint32)
+            dense[c][at[c]] = t.counts
+    for own in np.split(order, cuts[1:]) if len(keys) else []:
+        having = [c for c, d in dense.items() if d[own].any()]
+        yield int(bucket[own[0]]), _steps(keys[own]), having, [_pack(dense[c][own]) for c in having]
+
+
+def blocks_of(docs: DataFrame, names: pa.Array, classes: int, depth: int = DEPTH) -> DataFrame:
+    """Documents (doc_id, text, lang, learn) in blocks of about BLOCK_BYTES: rows with the texts, and one for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        parts, size = [], 0
+        parts, size, tallies, words = [], 0, {}, {}
         for batch in sliced(batches, "text"):
-            body, bounds, n = words_of(batch.column("text"), lower=True)
-            coded = as_strings(body, bounds).dictionary_encode()
-            parts.append((coded.dictionary, np.array(coded.indices), n, batch.column("doc_id").to_pylist(), np.array(batch.column("class"))))
+            body, bounds = stream(batch.column("text"))
+            of_doc = np.asarray(pc.index_in(batch.column("lang"), names).fill_null(classes - 1))
+            of_doc = np.where(batch.column("learn").to_numpy(zero_copy_only=False), of_doc, -1)
+            keys, doc = spellings(body, bounds, depth, 10)
+            hashes, word_doc = words_in(body, bounds)
+            of, of_word = of_doc[doc], of_doc[word_doc]
+            for c in np.unique(of_doc).tolist():
+                tallies.setdefault(c, Tally()).add(keys[of == c])
+            for c in {min(int(c), 0) for c in of_doc}:
+                words.setdefault(c, Tally()).add(hashes[(of_word >= 0) == (c >= 0)])
+            parts.append((_pack(np.asarray(batch.column("doc_id").fill_null(0), np.int64)) + np.packbits(np.asarray(batch.column("doc_id").is_null())).tobytes(), _pack(body), _pack(np.diff(bounds)), _pack((of_doc < 0).astype(np.uint8)), int((of_doc >= 0).sum()), int((of_word >= 0).sum())))
             size += len(body)
+            if len(parts) == SLICES:
+                yield texts_row(parts, number)
+                parts = []
             if size >= BLOCK_BYTES:
-                yield block(parts, number)
-                number, parts, size = number + 1, [], 0
-        if parts:
-            yield block(parts, number)
-
-    def block(parts: list[tuple], number: int) -> pa.RecordBatch:
-        vocabularies, codes, counts = ([p[i] for p in parts] for i in range(3))
-        joined = pa.concat_arrays(vocabularies).dictionary_encode()
-        to, at = np.asarray(joined.indices), 0
-        for i, v in enumerate(vocabularies):
-            codes[i] = to[at : at + len(v)][codes[i]] if len(v) else codes[i]
-            at += len(v)
-        codes, counts, words = np.concatenate(codes).astype(np.int32), np.concatenate(counts), joined.dictionary
-        of_doc = np.concatenate([p[4] for p in parts])
-        held = of_doc < 0
-        by_word = np.repeat(of_doc.astype(np.int8), counts)
-        each = [np.bincount(codes[by_word == c], minlength=len(words)) for c in range(classes)]
-        train = np.sum(each, axis=0, dtype=np.int64)
-        body, bounds, one = words_of(words)
-        keys, of = spellings(body, bounds, depth)
-        keys = np.append(keys, end_key(depth))
-        distinct, spelled = np.unique(keys, return_inverse=True)
-        key_train = np.stack([np.bincount(spelled, np.append(e[of], (of_doc == c).sum()), len(distinct)) for c, e in enumerate(each)], 1).astype(np.int64)
-        key_train = pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1, dtype=np.int32) * classes), pa.array(key_train.ravel()))
-        sizes = np.diff(bounds).astype(np.int32)
-        row = [
-            [number], [[i for p in parts for i in p[3]]], [held.tolist()], [counts.astype(np.int32)],
-            [_pack(codes)], [word_hashes(body, bounds).view(np.int64)], [train], [distinct], None,
-            [_pack(body) + _pack(sizes)], [int((~held).sum())],
-        ]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.int64()]
-        arrays = [pa.ListArray.from_arrays(pa.array([0, len(key_train)], pa.int32()), key_train) if v is None else pa.array(v, t) for v, t in zip(row, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in BLOCK.split(", ")])
+                yield from block(parts, tallies, words, number)
+                number, parts, size, tallies, words = number + 1, [], 0, {}, {}
+        if tallies:
+            yield from block(parts, tallies, words, number)
 
-    return docs.mapInArrow(run, BLOCK)
+    def texts_row(parts: list[tuple], number: int) -> pa.RecordBatch:
+        ids, texts, sizes, held, docs_, words_ = zip(*parts, strict=True)
+        return row(number, -1, ids, texts, sizes, held, sum(docs_), sum(words_), None, [], [])
 
+    def block(parts: list[tuple], tallies: dict, words: dict, number: int) -> Iterator[pa.RecordBatch]:
+        if parts:
+            yield texts_row(parts, number)
+        for bucket, *more in dealt(tallies, lambda k: bucket_of(k, depth)):
+            yield row(number, bucket, [], [], [], [], 0, 0, *more)
+        for bucket, *more in dealt(words, lambda k: BUCKETS + k % WORD_BUCKETS):
+            yield row(number, bucket, [], [], [], [], 0, 0, *more)
 
-def _pack(a: np.ndarray) -> bytes:
-    data = pa.compress(a.tobytes(), "zstd", asbytes=True)
-    return a.nbytes.to_bytes(8, "big") + len(data).to_bytes(8, "big") + data
+    def row(*values) -> pa.RecordBatch:
+        many = pa.list_(pa.binary())
+        kinds = [pa.int64(), pa.int32(), many, many, many, many, pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), many]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
+
+    return docs.mapInArrow(run, BLOCK)
 
 
-def _unpack(data: bytes, kind) -> tuple[np.ndarray, bytes]:
-    """The first packed array, and the bytes after it."""
-    size, n = int.from_bytes(data[:8], "big"), int.from_bytes(data[8:16], "big")
-    return np.frombuffer(pa.decompress(data[16 : 16 + n], size, "zstd", asbytes=True), kind), data[16 + n :]
+def merged(rows: pa.Table, classes: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All keys of a bucket's rows, and the training count of each class."""
+    every = Tally()
+    for packed in rows.column("keys"):
+        keys = _from_steps(packed.as_py())
+        every.add(keys, np.ones(len(keys), np.int64))
+    keys, counts = every.merge().keys, [np.zeros(len(every.keys), np.int64) for _ in range(classes)]
+    for packed, having, each in zip(rows.column("keys"), rows.column("classes"), rows.column("counts"), strict=True):
+        at = np.searchsorted(keys, _from_steps(packed.as_py()))
+        for c, n in zip(having.as_py(), each, strict=True):
+            counts[c][at] += _unpack(n.as_py(), np.uint32)
+    return keys, counts
 
 
 def score_texts(docs: DataFrame, learn_from=None, depth: int = DEPTH) -> DataFrame:
@@ -245,65 +365,87 @@ def score_texts(docs: DataFrame, learn_from=None, depth: int = DEPTH) -> DataFra
 
     Learns from the rows that `learn_from` allows (default: crc32(doc_id) mod 7 is
     not 2). Null text is empty: its one token is the end. A word never seen still
-    has a score, by its spelling. With nothing to learn from, all estimates are even.
+    has a score, by its bytes. With nothing to learn from, all estimates are even.
     Repeated rows each count and each return a row. bits_per_byte is the code length
-    of the text as it is spelled here. Trees are those of the CLASSES - 1 languages
-    with the most training documents, and one for all other rows and null languages;
-    the language of a text that is scored isn't used.
+    of the text as its stream here. Trees are those of all languages with training
+    rows, and one for training rows without a language; the language of a text that
+    is scored isn't used. Depth is 7 bytes at most.
     """
     learn_from = ~held_out("doc_id", 7, 2) if learn_from is None else learn_from
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    share = docs.filter(learn_from).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("lang").isNull(), F.desc("n"), "lang")
-    share = [(r["lang"], r["n"]) for r in share.limit(CLASSES).collect()]
-    named = [x for x, _ in share if x is not None][: CLASSES - 1]
-    which = F.lit(len(named))
-    for i, x in enumerate(named):
-        which = F.when(lang == x, i).otherwise(which)
-    classes = len(named) + 1
-    few = docs.coalesce(max(1, docs.rdd.getNumPartitions() // 2))  # larger blocks share more words
-    blocks = cut(blocks_of(few.select("doc_id", "text", F.when(learn_from, which).otherwise(-1).cast("int").alias("class")), classes, depth))
-    share = {r["class"]: r["n"] for r in docs.filter(learn_from).groupBy(which.alias("class")).agg(F.count("*").alias("n")).collect()}
-    total_docs = sum(share.values())
-    prior = np.array([np.log10((share.get(c, 0) + 0.5) / (total_docs + classes / 2)) for c in range(classes)])
-    words = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "train"))).select("block", F.col("pos").alias("at"), F.col("col.hashes").alias("h"), F.col("col.train").alias("n"))
-    keys = blocks.select("block", F.posexplode(F.arrays_zip("keys", "key_train"))).select("block", F.col("pos").alias("at"), F.col("col.keys").alias("key"), F.col("col.key_train").alias("n"))
-    counts = cut(words.groupBy("h").agg(F.sum("n").alias("c")))
-    known, tokens = counts.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
-    ends = blocks.agg(F.sum("train_docs")).first()[0] or 0
-    total, distinct = (tokens or 0) + ends, (known or 0) + (ends > 0)
+    share = {r["lang"]: r["n"] for r in docs.filter(learn_from).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}
+    trees = sorted(x for x in share if x is not None) + [None] * (None in share or not share)
+    classes = len(trees)
+    prior = np.log10(np.array([share.get(x, 0) + 0.5 for x in trees]) / (sum(share.values()) + classes / 2))
+    names = pa.array([x for x in trees if x is not None], pa.string())
+    few = docs.coalesce(max(1, docs.rdd.getNumPartitions() // 2))  # larger blocks share more keys
+    few = few.select("doc_id", "text", lang.alias("lang"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
+    blocks = cut(blocks_of(few, names, classes, depth))
+    packed = blocks.filter("bucket >= 0").select("block", "bucket", "keys", "classes", "counts")
+
+    def tops(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() >= BUCKETS:
+            known = int((merged(rows, 1)[1][0] > 0).sum())
+            out = pd.DataFrame({"of": [-1], "newest": [0], "node": [0], "zeros": [float(known)], "ones": [0.0], "pw": [0.0]})
+        else:
+            out = top_nodes(*merged(rows, classes), depth)
+        schema = pa.schema([("of", pa.int64()), ("newest", pa.int64()), ("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("pw", pa.float64())])
+        return pa.Table.from_pandas(out, schema, preserve_index=False)
+
+    top = gathered(packed.groupBy("bucket").applyInArrow(tops, TOP))
+    known = int(top[top[:, 0] < 0, 3].sum())
+    above = docs.sparkSession.sparkContext.broadcast(above_of(top[top[:, 0] >= 0], classes))
+    ends, tokens = (x or 0 for x in blocks.filter("bucket < 0").agg(F.sum("train_docs"), F.sum("train_words")).first())
+    total, distinct = tokens + ends, known + (ends > 0)
     floor = total + distinct + 1.0
-    model = spelling_model(keys.select("key", "n"), classes, depth)
-    value = words.join(counts, "h").select("block", F.lit(0).alias("kind"), "at", F.array(F.col("c").cast("double")).alias("v"))
-    value = value.unionByName(keys.join(model, "key").select("block", F.lit(1).alias("kind"), "at", F.col("logp").alias("v")))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
+    def values(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        words = bucket >= BUCKETS
+        keys, counts = merged(rows, 1 if words else classes)
+        each = counts if words else [v.astype(np.float32) for v in log10_values(keys, counts, above.value, depth)]
+        out = []
+        for own in rows.column("keys"):
+            at = np.searchsorted(keys, _from_steps(own.as_py()))
+            out.append([_pack(v[at]) for v in each])
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "keys": rows.column("keys"), "v": pa.array(out, pa.list_(pa.binary()))})
+
+    value = packed.groupBy("bucket").applyInArrow(values, "block long, bucket int, keys binary, v array<binary>")
 
     def finish(block: pa.Table, values: pa.Table) -> pa.Table:
-        kind, at = np.asarray(values.column("kind")), np.asarray(values.column("at"))
-        v = values.column("v").combine_chunks()
-        first = np.cumsum(np.where(kind == 0, 1, classes)) - np.where(kind == 0, 1, classes)
-        v = np.asarray(v.flatten())
-        row = block.slice(0, 1).to_pydict()
-        counts = np.asarray(row["counts"][0], np.int64)
-        body, rest = _unpack(row["words"][0], np.uint8)
-        sizes = _unpack(rest, np.int32)[0].astype(np.int64)
-        spelled, of = spellings(body, np.concatenate([[0], np.cumsum(sizes)]), depth)
-        distinct, spelled = np.unique(np.append(spelled, end_key(depth)), return_inverse=True)
-        sizes = sizes + 1
-        codes = _unpack(row["codes"][0], np.int32)[0]
-        c, logp = np.zeros(len(sizes)), np.zeros((classes, len(distinct)))
-        c[at[kind == 0]] = v[first[kind == 0]]
-        for i in range(classes):
-            logp[i, at[kind == 1]] = v[first[kind == 1] + i]
-        doc = np.repeat(np.arange(len(counts)), counts)
-        n = len(counts)
-        base = np.bincount(doc, np.log10((c + 1) / floor)[codes], n) + np.log10((ends + 1) / floor)
-        each = np.stack([np.bincount(doc, np.bincount(of, own[spelled[:-1]], len(sizes))[codes], n) + own[spelled[-1]] for own in logp]) + prior[:, None]
-        score = np.logaddexp.reduce(each * LN10, axis=0) / LN10
-        bytes_ = np.bincount(doc, sizes[codes], n) + 1
-        seen = np.bincount(doc, (c > 0)[codes], n).astype(np.int64) + int(ends > 0)
-        arrays = [pa.array(row["ids"][0], pa.int64()), pa.array(row["held"][0]), pa.array(counts + 1), pa.array(seen), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / bytes_)]
-        return pa.Table.from_arrays(arrays, names)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    rows = blocks.select(F.col("block").alias("number"), "ids", "held", "counts", "codes", "words")
-    return rows.groupBy("number").cogroup(value.groupBy("block")).applyInArrow(finish, schema)
+        is_word = np.asarray(values.column("bucket")) >= BUCKETS
+        own = lambda mask: [values.column("keys")[int(i)].as_py() for i in np.flatnonzero(mask)]
+        joined = lambda mask, c, kind: np.concatenate([np.zeros(0, kind), *[_unpack(values.column("v")[int(i)][c].as_py(), kind) for i in np.flatnonzero(mask)]])
+        words = pd.Index(np.concatenate([np.zeros(0, np.int64), *map(_from_steps, own(is_word))]))
+        keys = pd.Index(np.concatenate([np.zeros(0, np.int64), *map(_from_steps, own(~is_word))]))
+        seen = joined(is_word, 0, np.int64)
+        logp = [joined(~is_word, c, np.float32) for c in range(classes)]
+        parts = []
+        for ids, text, sizes, held in zip(*[(x for row in block.column(f) for x in row) for f in ("ids", "texts", "sizes", "held")], strict=True):
+            body, sizes = _unpack(text.as_py(), np.uint8), _unpack(sizes.as_py(), np.int64)
+            bounds, n = np.concatenate([[0], np.cumsum(sizes)]), len(sizes)
+            spelled, doc = spellings(body, bounds, depth, 10)
+            hashes, word_doc = words_in(body, bounds)
+            c, at = seen[words.get_indexer(hashes)], keys.get_indexer(spelled)
+            base = np.bincount(word_doc, np.log10((c + 1) / floor), n) + np.log10((ends + 1) / floor)
+            each = np.stack([np.bincount(doc, p[at], n) for p in logp]) + prior[:, None]
+            score = np.logaddexp.reduce(each * LN10, axis=0) / LN10
+            parts.append(pa.table([
+                _ids(ids.as_py(), n), pa.array(_unpack(held.as_py(), np.uint8).astype(bool)), pa.array(np.bincount(word_doc, minlength=n) + 1),
+                pa.array(np.bincount(word_doc, c > 0, n).astype(np.int64) + int(ends > 0)), pa.array(np.full(n, total, np.int64)),
+                pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / (sizes + 1)),
+            ], [f.split()[0] for f in SCORES.split(", ")]))
+        return pa.concat_tables(parts).combine_chunks()
+
+    rows = blocks.filter("bucket < 0").select(F.col("block").alias("number"), "ids", "held", "texts", "sizes")
+    return rows.groupBy("number").cogroup(value.groupBy("block")).applyInArrow(finish, SCORES)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def _ids(data: bytes, n: int) -> pa.Array:
+    """Ids, null where the bits at the end say so."""
+    bits = -(-n // 8)
+    null = np.unpackbits(np.frombuffer(data[-bits:], np.uint8))[:n].astype(bool)
+    return pa.array(_unpack(data[:-bits], np.int64), mask=null)

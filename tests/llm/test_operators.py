@@ -359,3 +359,23 @@ def test_byte_cnn(spark, empty):
     held = [x for x in data[:300] if zlib.crc32(str(x[0]).encode()) % 3 == 1]
     assert all(got[x[0]].held_out for x in held) and sum(got[x[0]].lang_pred == x[2] for x in held) >= 0.95 * len(held)
     assert all(0 <= x.score <= 1 for x in got.values()) and byte_cnn.identify_language(empty).count() == 0
+
+
+def test_context_tree_crosses_words_at_its_depth(spark):
+    """The order of words counts, and so does a byte six places back; every language has a tree."""
+    assert ctw.DEPTH >= 6
+    langs = [f"l{i}" for i in range(12)]
+    rows = [(i, "one two three four " * 20, langs[i % 12]) for i in range(36)] + [(100, "one two three four", None), (101, "four two one three", None)]
+    got = {r.doc_id: r for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100).collect()}
+    assert len(got) == 38 and got[100].score > got[101].score + 1 and math.isclose(got[100].base_score, got[101].base_score)
+    rows = [(i, t, None) for i, t in enumerate(["x bcdef1", "y bcdef2"] * 40)] + [(100, "x bcdef1", None), (101, "x bcdef2", None)]
+    got = {r.doc_id: r.score for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100, 7).collect()}
+    assert got[100] > got[101] + 1
+
+
+def test_context_tree_keeps_a_tree_of_every_language(spark):
+    """Twelve languages that continue one prefix in their own ways: each whole text is likely by its own tree."""
+    rows = [(i, "common " * 3 + chr(97 + i % 12) * 30, f"l{i % 12:02d}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r.bits_per_byte for r in ctw.score_texts(docs, F.lit(True)).collect()]
+    assert len(got) == 240 and max(got) - min(got) < 0.05
