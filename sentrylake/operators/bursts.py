@@ -170,8 +170,8 @@ def console_failure(record: Column) -> Column:
 def cloud_failure_unit(records: DataFrame, shape: ShapeConfig = ShapeConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """All failed console logins as one unit (or one for each of `keys`, event fields).
 
-    Its nested list keeps the first `shape.max_nested` records; correlation reads
-    the failure records themselves, not this list.
+    Its nested list keeps the first `shape.max_nested` records, for display;
+    detect(), label_cloud() and cloud_rules correlate with the failure records themselves.
     """
     source = F.lit("cloud_audit")
     failed = records.filter(console_failure(F.col("event")))

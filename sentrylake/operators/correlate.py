@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.config import RuleConfig
 from sentrylake.functions.text import filled, iso_time
+from sentrylake.operators.bursts import console_failure
 
 
 def windows_field(raw: Column, name: str) -> Column:
@@ -28,11 +29,19 @@ def preceded_by_burst(units: DataFrame, config: RuleConfig = RuleConfig()) -> Da
     return line.withColumn("after_burst", F.max("burst").over(w)).filter("made").select("id", "after_burst")
 
 
-def console_failures(units: DataFrame) -> DataFrame:
-    """(at, username, source_ip) of each failed console login, from single units and from aggregated ones."""
+def console_failures(units: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(at, username, source_ip) of each failed console login, from single units and from aggregated ones.
+
+    An aggregated unit lists its first records only; `records` (line_no, event), the
+    cloud records behind the units, give all of them.
+    """
     r = F.col("raw")
     failed = units.filter((F.col("source") == "cloud_audit") & (F.col("action") == "console_login") & (F.lower("status") == "failure"))
     nested = failed.filter(F.size(r["events"]) > 0).select("timestamp", F.explode(r["events"]).alias("e"))
+    if records is not None:
+        every = records.filter(console_failure(F.col("event")))
+        first = every.agg(iso_time(F.min_by("event.timestamp", "line_no")).alias("timestamp"))  # the aggregated unit's time
+        nested = every.select(F.col("event").alias("e")).crossJoin(F.broadcast(first))
     nested = nested.select(iso_time(F.col("e.timestamp"), F.col("timestamp")).alias("at"), F.col("e.username").alias("username"), F.col("e.source_ip").alias("source_ip"))
     single = failed.filter(~F.coalesce(F.size(r["events"]) > 0, F.lit(False)))
     single = single.select(F.col("timestamp").alias("at"), F.coalesce(filled(r["event"]["username"]), F.col("target")).alias("username"), F.coalesce(filled(r["event"]["source_ip"]), F.col("actor")).alias("source_ip"))

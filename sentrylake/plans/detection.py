@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentrylake.config import RuleConfig, ShapeConfig
 from sentrylake.operators.bursts import access_units, auth_units, cloud_units, windows_units
+from sentrylake.operators.correlate import console_failures
 from sentrylake.operators.numbering import number_units
 from sentrylake.operators.parse import access_records, auth_records
 from sentrylake.operators.rules import rule_verdicts
@@ -29,15 +30,19 @@ def units_of(auth: DataFrame | None = None, access: DataFrame | None = None, win
     return number_units(out)
 
 
+def lines_in(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    lines = numbered_lines(spark, folder)
+    return lines.filter(source_of(lines["file"]) == source).withColumn("source", source_of(lines["file"]))
+
+
 def units_in(spark: SparkSession, folder: str, year: int = 2026, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """Numbered units of every log in a folder; both access logs are one source."""
-    lines = numbered_lines(spark, folder)
-    lines = lines.withColumn("source", source_of(lines["file"]))
-    own = lambda s: lines.filter(lines["source"] == s)
+    own = lambda s: lines_in(spark, folder, s)
     return units_of(own("linux_auth"), own("nginx_access"), own("windows_security"), own("cloud_audit"), year, shape)
 
 
 def detect(spark: SparkSession, folder: str, rules: RuleConfig = RuleConfig(), year: int = 2026) -> tuple[DataFrame, DataFrame]:
     """(units, rule verdicts) of a folder."""
     units = units_in(spark, folder, year)
-    return units, rule_verdicts(units, rules)
+    failures = console_failures(units, json_records(lines_in(spark, folder, "cloud_audit")))
+    return units, rule_verdicts(units, rules, failures)
