@@ -8,15 +8,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import SEPARATOR, as_strings, buffers, places, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import SEPARATOR, as_strings, buffers, cut, places, sliced, window_hashes, word_hashes, words_of
 
-#: Words that make a language's word histogram, and the share of its words that makes one a candidate.
-COMMON, SHARE = 40, 0.002
-CANDIDATES = 2000
-LANGUAGES = 64
+#: Words that make a language's word histogram.
+COMMON = 40
+#: References that a text is held against at a time, and bytes of text whose counts a task adds up.
+REFERENCES, GATHER_BYTES = 64, 16 << 20
 #: Guards: a histogram of fewer characters or words is too noisy to judge by.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document.
@@ -113,67 +113,58 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame) -> tuple[list[str], list[list[str]], np.ndarray, np.ndarray]:
-    """(languages, their common words, class counts, word counts with the rest last), over all documents.
+    """(languages, their common words, class counts, word counts with the rest last), of every language and over all documents.
 
-    Two passes, both combined before the shuffle: any word with at least SHARE of a
-    language's words has that share in some chunk, so the first pass gathers from
-    each chunk only such words; the second counts those exactly.
+    Each task adds up some chunks' counts of (language, word) before the shuffle; a
+    language's COMMON words are ranked by their whole counts.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in sliced(batches, "text"):
             lang = batch.column("lang").dictionary_encode()
-            names, of = lang.dictionary.to_pylist(), np.asarray(lang.indices)
+            names, of = lang.dictionary, np.asarray(lang.indices)
             data, off = buffers(batch.column("text"))
-            classes = class_counts(data, off)
             body, bounds, counts = words_of(batch.column("text"))
             coded = as_strings(body, bounds).dictionary_encode()
             v = len(coded.dictionary)
-            have = np.bincount(np.repeat(of, counts) * v + np.asarray(coded.indices), minlength=len(names) * v).reshape(len(names), -1) if v else np.zeros((len(names), 0), np.int64)
-            rows = [(names[i], None, j, int(c)) for i in range(len(names)) for j, c in enumerate(classes[of == i].sum(0))]
-            for i, name in enumerate(names):
-                total = int(have[i].sum())
-                rows.append((name, None, KINDS, total))
-                heavy = np.flatnonzero((have[i] >= SHARE * total) & (have[i] > 0))
-                rows += [(name, w, -1, int(have[i][k])) for w, k in zip(coded.dictionary.take(heavy).to_pylist(), heavy, strict=True)]
-            a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.string()), pa.array(c, pa.int32()), pa.array(d, pa.int64())], ["lang", "word", "kind", "n"])
-
-    found = known.mapInArrow(first, "lang string, word string, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")).persist()
-    sizes = found.filter(F.col("kind") == KINDS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    totals = {r["lang"]: r["n"] for r in sizes}
-    classes = np.zeros((len(languages), KINDS))
-    for r in found.filter(F.col("lang").isin(languages) & F.col("word").isNull() & (F.col("kind") < KINDS)).collect():
-        classes[languages.index(r["lang"]), r["kind"]] = r["n"]
-    heavy = {lang: [r["word"] for r in found.filter((F.col("lang") == lang) & F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()] for lang in languages}
-    found.unpersist()
-    vocabulary = sorted({w for ws in heavy.values() for w in ws})
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            of = np.asarray(pc.index_in(batch.column("lang"), pa.array(languages)).fill_null(-1))
-            body, bounds, counts = words_of(batch.column("text"))
-            at = word_index(body, bounds, vocabulary)
-            lang = np.repeat(of, counts)
-            ok = (at >= 0) & (lang >= 0)
-            have = np.bincount(lang[ok] * len(vocabulary) + at[ok], minlength=len(languages) * len(vocabulary))
-            k = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(have[k])], ["at", "n"])
-
-    counted = np.zeros(len(languages) * len(vocabulary))
-    if vocabulary:
-        for r in known.mapInArrow(second, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-            counted[r["at"]] = r["n"]
-    counted = counted.reshape(len(languages), -1) if languages else counted.reshape(0, 0)
-    common, words = [], np.zeros((len(languages), COMMON + 1))
+            at, n = np.unique(np.repeat(of, counts).astype(np.int64) * max(1, v) + np.asarray(coded.indices), return_counts=True)
+            kinds = np.zeros((len(names), KINDS + 1), np.int64)
+            np.add.at(kinds[:, :KINDS], of, class_counts(data, off))
+            np.add.at(kinds[:, KINDS], of, counts)
+            who = np.concatenate([at // max(1, v), np.repeat(np.arange(len(names)), KINDS + 1)])
+            words = pa.concat_arrays([coded.dictionary.take(pa.array(at % max(1, v))), pa.nulls(kinds.size, coded.dictionary.type)])
+            kind = np.concatenate([np.full(len(at), -1), np.tile(np.arange(KINDS + 1), len(names))]).astype(np.int32)
+            parts.append(pa.table({"lang": names.take(pa.array(who)), "word": words, "kind": pa.array(kind), "n": pa.array(np.concatenate([n, kinds.ravel()]))}))
+            size += batch.num_rows and int(off[-1])
+            if size >= GATHER_BYTES:
+                yield from added(parts)
+                parts, size = [], 0
+        if parts:
+            yield from added(parts)
+
+    def added(parts: list[pa.Table]) -> list[pa.RecordBatch]:
+        t = pa.concat_tables(parts).group_by(["lang", "word", "kind"]).aggregate([("n", "sum")])
+        return t.rename_columns({"n_sum": "n"}).select(["lang", "word", "kind", "n"]).to_batches(max_chunksize=1 << 16)
+
+    found = cut(known.mapInArrow(count, "lang string, word string, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")))
+    classes, totals = {}, {}
+    for r in found.filter(F.col("word").isNull()).collect():
+        if r["kind"] == KINDS:
+            totals[r["lang"]] = r["n"]
+        else:
+            classes.setdefault(r["lang"], np.zeros(KINDS))[r["kind"]] = r["n"]
+    languages = sorted(totals)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    best: dict[str, list] = {lang: [] for lang in languages}
+    for r in found.filter(F.col("word").isNotNull()).withColumn("place", place).filter(F.col("place") <= COMMON).orderBy("lang", "place").collect():
+        best[r["lang"]].append((r["word"], r["n"]))
+    words = np.zeros((len(languages), COMMON + 1))
     for i, lang in enumerate(languages):
-        best = sorted(((-counted[i][j], w) for j, w in enumerate(vocabulary) if counted[i][j]))[:COMMON]
-        common.append([w for _, w in best])
-        words[i, : len(best)] = [-c for c, _ in best]
+        words[i, : len(best[lang])] = [n for _, n in best[lang]]
         words[i, COMMON] = totals[lang] - words[i, :COMMON].sum()
-    return languages, common, classes, words
+    return languages, [[w for w, _ in best[lang]] for lang in languages], np.array([classes[lang] for lang in languages]).reshape(-1, KINDS), words
 
 
 def word_index(body: np.ndarray, bounds: np.ndarray, vocabulary: list[str]) -> np.ndarray:
@@ -222,13 +213,18 @@ def quality_rules(docs: DataFrame, most_class: float = MOST_CLASS, most_word: fl
             failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
             kept, cj, wj, name = ~failed, np.full(len(out), np.nan), np.full(len(out), np.nan), np.full(len(out), None, object)
             if languages:
-                by_class, by_word = distances(texts, common, classes, words)
                 short_c = (_per_text(KIND[data] != INNER, off) < LEAST_CHARS)[:, None]
                 short_w = (out["n_words"].to_numpy() < LEAST_WORDS)[:, None]
-                near = ((by_class <= most_class) | short_c) & ((by_word <= most_word) | short_w)
-                best = (by_class + by_word).argmin(1)
-                row = np.arange(len(out))
-                kept, cj, wj, name = kept & near.any(1), by_class[row, best], by_word[row, best], np.array(languages, object)[best]
+                row, any_near, cj, wj, at = np.arange(len(out)), np.zeros(len(out), bool), np.full(len(out), np.inf), np.full(len(out), np.inf), np.zeros(len(out), int)
+                for i in range(0, len(languages), REFERENCES):
+                    own = slice(i, i + REFERENCES)
+                    by_class, by_word = distances(texts, common[own], classes[own], words[own])
+                    any_near |= (((by_class <= most_class) | short_c) & ((by_word <= most_word) | short_w)).any(1)
+                    best = (by_class + by_word).argmin(1)
+                    c, w = by_class[row, best], by_word[row, best]
+                    less = c + w < cj + wj
+                    cj, wj, at = np.where(less, c, cj), np.where(less, w, wj), np.where(less, best + i, at)
+                kept, name = kept & any_near, np.array(languages, object)[at]
             arrays = [batch.column("doc_id"), *[pa.array(out[c]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]]
             arrays += [pa.array(np.asarray(failed)), pa.array(np.asarray(kept)), pa.array(cj, from_pandas=True), pa.array(wj, from_pandas=True), pa.array(list(name), pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")])

@@ -379,3 +379,13 @@ def test_context_tree_keeps_a_tree_of_every_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [r.bits_per_byte for r in ctw.score_texts(docs, F.lit(True)).collect()]
     assert len(got) == 240 and max(got) - min(got) < 0.05
+
+
+def test_divergence_has_a_reference_of_every_language(spark):
+    """Eighty languages with words of their own: the rarest have references too, and common words go by whole counts."""
+    rows = [(i * 100 + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 20)}q" for k in range(120)), f"l{i:02d}") for i in range(80) for j in range(1 + (i < 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = divergence.quality_rules(docs).collect()
+    assert len(got) == len(rows) and {r.nearest for r in got} == {f"l{i:02d}" for i in range(80)}
+    languages, common, _, words = divergence.language_references(docs)
+    assert len(languages) == 80 and all(len(c) == 20 for c in common) and words[79][0] == 6
