@@ -15,10 +15,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 DIM = 8
-#: Bounds of the training sample: documents of each language, and characters of each.
-SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 1024
-LANGUAGES = 64
+#: Bounds of the training sample: documents of each language, of all together (but one of each language), and pieces of a text, WINDOW characters each.
+SAMPLE_DOCS, ALL_DOCS = 1500, 96_000
+PIECES = 4
 PAD = 256
 
 
@@ -107,31 +106,34 @@ def windows_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sample(docs: DataFrame, languages: list[str], counts: dict[str, int], most: int = SAMPLE_DOCS) -> DataFrame:
-    """About `most` documents of each language, those of least hash; a bounded training sample."""
-    picked = F.lit(False)
-    for lang in languages:
-        part = min(1.0, most / counts[lang])
-        picked = picked | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))))
-    return docs.filter(picked).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    """About `most` documents of each language, those of least hash; a bounded training sample.
+
+    A text longer than PIECES windows gives PIECES of them, from its start to its end at even distances.
+    """
+    parts = docs.sparkSession.createDataFrame([(x, int(min(1.0, most / counts[x]) * (1 << 30))) for x in languages], "lang string, part long")
+    picked = docs.join(F.broadcast(parts), "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.col("part"))
+    size = F.length("text")
+    pieces = [F.substring("text", F.floor((size - WINDOW) * i / (PIECES - 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(PIECES)]
+    return picked.select("lang", F.explode(F.when(size > PIECES * WINDOW, F.array(*pieces)).otherwise(F.array("text"))).alias("text"))
 
 
 def identify_language(docs: DataFrame, train_on=None) -> DataFrame:
     """lang_pred and score for every whole text.
 
     Training: rows where `train_on` (default: crc32(doc_id) mod 3 is not 1) with a
-    language and a text; of each of the LANGUAGES most frequent languages a sample
-    of SAMPLE_DOCS documents and the first SAMPLE_CHARS characters of each, which
-    bounds what the driver holds. Prediction: the whole text in windows of WINDOW
+    language and a text; of every language a sample of SAMPLE_DOCS documents, fewer
+    where all would be more than ALL_DOCS, and windows spread over each whole text. Prediction: the whole text in windows of WINDOW
     bytes; log probabilities are averaged over windows, weighted by their bytes.
 
     Null text and text without a letter give ``und`` with score 0; so does every
     text if nothing can be learned from. Repeated rows each return a row.
     """
     train_on = ~held_out("doc_id", 3, 1) if train_on is None else train_on
-    known = docs.filter(train_on & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    known = docs.filter(train_on & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
-    rows = sample(known.filter(F.col("text").rlike(r"\p{L}")), languages, counts).limit(2 * SAMPLE_DOCS * LANGUAGES).collect() if languages else []
+    most = min(SAMPLE_DOCS, max(1, ALL_DOCS // max(1, len(languages))))
+    rows = sample(known, languages, counts, most).collect() if languages else []
     rows = sorted((r["lang"], r["text"]) for r in rows)
     model = tables = None
     if rows:

@@ -389,3 +389,11 @@ def test_divergence_has_a_reference_of_every_language(spark):
     assert len(got) == len(rows) and {r.nearest for r in got} == {f"l{i:02d}" for i in range(80)}
     languages, common, _, words = divergence.language_references(docs)
     assert len(languages) == 80 and all(len(c) == 20 for c in common) and words[79][0] == 6
+
+
+def test_byte_cnn_learns_every_language_from_whole_texts(spark):
+    rows = [(i, "same licence head " * 80 + "zz" * 800, f"l{i % 70:02d}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = sorted({r[2] for r in rows})
+    got = byte_cnn.sample(docs, langs, dict.fromkeys(langs, 2)).collect()
+    assert {r.lang for r in got} == set(langs) and sum(r.text == "z" * byte_cnn.WINDOW for r in got) >= 140
