@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are turned into arrays at a time; bounds what a task holds beside its batch.
+CHUNK_BYTES = 1 << 18
 #: Bits of the filters that are broadcast: 8 MB, whatever the input. A full filter only lets more rows through.
 FILTER_BITS = 1 << 26
 SEPARATOR = np.zeros(256, bool)
@@ -31,9 +32,9 @@ _P1, _P2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SENTRYLAKE_SCRATCH")
     if not path:
-        path = os.environ.setdefault("SENTRYLAKE_SCRATCH", tempfile.mkdtemp(prefix="spark-"))
+        path = os.environ["SENTRYLAKE_SCRATCH"] = tempfile.mkdtemp(prefix="spark-")
     return path.rstrip("/")
 
 
@@ -87,8 +88,8 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     body = data[keep]
     if lower:
         body = LOWER[body]
-    before = np.cumsum(keep, dtype=np.int64) - keep
-    bounds = np.append(before[starts], len(body)).astype(np.int64)
+    before = np.cumsum(keep, dtype=np.int32 if len(keep) < 1 << 31 else np.int64)  # a word's first byte counts itself
+    bounds = np.append(before[starts].astype(np.int64) - 1, len(body))
     return body, bounds, np.diff(np.searchsorted(starts, off))
 
 
@@ -110,23 +111,41 @@ def kept_here() -> dict:
     return sys.modules.setdefault("_sentrylake_kept", types.ModuleType("_sentrylake_kept")).__dict__
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1) - 1, np.uint64(base), np.uint64)]), dtype=np.uint64)
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    have = kept_here().get(f"power {base}")
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), np.uint64(base), np.uint64)]), dtype=np.uint64)
-        if len(have) < 1 << 22:
-            kept_here()[f"power {base}"] = have
-    return have[:n]
+    """The first n powers of base modulo 2^64; those that a chunk needs are kept."""
+    if n > CHUNK_BYTES + 1:
+        return _powers(base, n)
+    kept = kept_here()
+    if f"power {base}" not in kept:
+        kept[f"power {base}"] = _powers(base, CHUNK_BYTES + 1)
+    return kept[f"power {base}"][:n]
 
 
 def word_hashes(body: np.ndarray, bounds: np.ndarray, base: int = _P1) -> np.ndarray:
-    """A uint64 for each word, from a polynomial of its bytes modulo 2^64."""
+    """A uint64 for each word, from a polynomial of its bytes modulo 2^64.
+
+    The polynomial starts at the word, so words can be taken in stretches of
+    CHUNK_BYTES and a very long text needs no more memory than its bytes.
+    """
+    inverse, n = pow(base, -1, 1 << 64), len(bounds) - 1
+    out, at = np.empty(n, np.uint64), 0
     with np.errstate(over="ignore"):
-        inverse = pow(base, -1, 1 << 64)
-        total = np.concatenate([[np.uint64(0)], np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _power(base, len(body)), dtype=np.uint64)])
-        lengths = np.diff(bounds).astype(np.uint64)
-        return mix64((total[bounds[1:]] - total[bounds[:-1]]) * _power(inverse, len(body) + 1)[bounds[:-1]] + lengths * np.uint64(_P2))
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
+            own = bounds[at : end + 1] - bounds[at]
+            part = body[bounds[at] : bounds[end]].astype(np.uint64)
+            part += np.uint64(1)
+            part *= _power(base, len(part))
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part, out=total[1:])
+            out[at:end] = (total[own[1:]] - total[own[:-1]]) * _power(inverse, len(part) + 1)[own[:-1]]
+            at = end
+        return mix64(out + np.diff(bounds).astype(np.uint64) * np.uint64(_P2))
 
 
 def window_hashes(words: np.ndarray, k: int, base: int = _P2) -> np.ndarray:

@@ -14,6 +14,11 @@ where different components still meet, a document is a candidate for a larger
 component if their sizes, what remains of both after the point, and the number of
 such points allow the threshold, and its set traverses the tries of that whole component. Pairs are never
 listed, and only texts of candidates move.
+
+Before texts move, parities part most sets that meet by chance. A set's parity is a
+bitmap, about a bit for each n-gram, in which each n-gram flips one bit. Two bitmaps
+differ in no more bits than the sets differ in n-grams, so too many such bits prove
+that two sets don't link; no link is lost.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import bit_filter, cut, inside, places, rows_of, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import bit_filter, cut, inside, mix64, places, rows_of, sliced, window_hashes, word_hashes, words_of
 
 N = 4
 PERCENT = 85
@@ -36,6 +41,8 @@ FREQUENT, OFTEN = 65536, 3
 BLOCK, GROUP = 256, 512
 #: Meeting points beyond the first that a candidate must have, where its size leaves room for them.
 MORE = 8
+#: Most words of 64 bits in a parity; longer ones would tell no more of sets of usual size.
+PARITY_WORDS = 1024
 _TOP = np.uint64(1 << 63)
 
 
@@ -128,6 +135,34 @@ class Trie:
         return found
 
 
+def parity(keys: np.ndarray) -> np.ndarray:
+    """A set's parity bitmap, as a power of two of 64-bit words."""
+    words = min(PARITY_WORDS, max(1, 1 << (len(keys) - 1).bit_length() >> 6)) if len(keys) else 1
+    odd = np.bincount((mix64(keys) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many bits two parities differ, the longer one folded to the length of the other."""
+    words = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) == words, x).otherwise(F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(x) - 1, words), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(x, j)))))
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+
+
+def within_parity(pairs: DataFrame, signs: DataFrame, percent: int, reach: DataFrame | None = None) -> DataFrame:
+    """The pairs (hub, doc_id) that may link by their parities; signs: (doc_id, n, parity).
+
+    reach: (hub, radius, most): how far, in bits, the farthest member of a component is
+    from its hub and how large the largest is; others are their hub alone.
+    """
+    own = pairs.join(signs, "doc_id")
+    both = own.join(signs.select(F.col("doc_id").alias("hub"), F.col("n").alias("_n"), F.col("parity").alias("_parity")), "hub")
+    both = both.withColumn("_bits", differing(F.col("parity"), F.col("_parity")))
+    if reach is not None:
+        both = both.join(reach, "hub", "left").withColumn("_bits", F.col("_bits") - F.coalesce("radius", F.lit(0))).withColumn("_n", F.coalesce("most", "_n"))
+    return both.filter((100 + percent) * F.col("_bits") <= (100 - percent) * (F.col("n") + F.col("_n"))).select("hub", "doc_id")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that links (a, b) reach, by alternating large and small stars.
 
@@ -151,9 +186,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
-    """((doc_id, n_shingles, class, meets, at) of each document, the broadcast frequent n-grams).
+    """((doc_id, n_shingles, class, meets, at, parity) of each document, the broadcast frequent n-grams).
 
-    class, meets and at are null unless some prefix n-gram is in another document's
+    class, meets, at and parity are null unless some prefix n-gram is in another document's
     prefix too. class: 128-bit hash of the set; meets: the prefix keys that others
     have too (and perhaps some that none has); at: their places in the order.
     """
@@ -183,7 +218,7 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = gram_sets(batch.column("text"), n, frequent.value)
-            name, meets, at = [], [], []
+            name, meets, at, bits = [], [], [], []
             for s in sets:
                 p = s[: prefix_length(len(s), percent)] if len(s) else s
                 place = np.flatnonzero(inside(shared.value, p))
@@ -194,16 +229,16 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
                         name.append(np.array([(s * power).sum(), (s * other).sum()], np.uint64).tobytes())
                     meets.append(p[place].view(np.int64))
                     at.append(place.astype(np.int32))
+                    bits.append(parity(s))
                 else:
-                    name.append(None)
-                    meets.append(None)
-                    at.append(None)
+                    for out in (name, meets, at, bits):
+                        out.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(meets, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "class", "meets", "at"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(meets, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "class", "meets", "at", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, class binary, meets array<long>, at array<int>"), frequent
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, class binary, meets array<long>, at array<int>, parity array<long>"), frequent
 
 
 def verified(docs: DataFrame, stored: DataFrame, asked: DataFrame, n: int, percent: int, frequent) -> DataFrame:
@@ -236,12 +271,14 @@ def verified(docs: DataFrame, stored: DataFrame, asked: DataFrame, n: int, perce
 
 
 def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """Links (a, b) that connect all documents of reps (doc_id, n_shingles, meets, at) that similarity connects."""
+    """Links (a, b) that connect all documents of reps (doc_id, n_shingles, meets, at, parity) that similarity connects."""
+    signs = cut(reps.select("doc_id", F.col("n_shingles").alias("n"), "parity"))
     member = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("meets", "at")).alias("m")).select("doc_id", "n", F.col("m.meets").alias("key"), F.col("m.at").alias("at"))
     # sizes in one band can link
     member = cut(member.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")))
     hubs = member.groupBy("key", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    star = cut(member.join(hubs, ["key", "band"]).groupBy("doc_id").agg(F.min("hub").alias("hub")).filter("doc_id <> hub"))
+    star = member.join(hubs, ["key", "band"]).groupBy("doc_id").agg(F.min("hub").alias("hub")).filter("doc_id <> hub")
+    star = cut(within_parity(star, signs, percent))
     centre = star.select("hub").distinct().select("hub", F.col("hub").alias("doc_id"))
     links = verified(docs, star.select("hub", "doc_id"), centre, n, percent, frequent)
 
@@ -266,7 +303,11 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
     need = percent * (F.col("n") + F.col("least")) / (100 + percent)
     room = F.floor(need - F.lit(percent) * F.greatest("n", "most") / 100).cast("int") - 1
     met = own.join(other, "key").filter(fits).select("hub", "doc_id", F.greatest(F.lit(0), F.least(F.lit(MORE), room)).alias("room"))
-    asked = cut(met.groupBy("hub", "doc_id").agg(F.count("*").alias("k"), F.min("room").alias("room")).filter("k > room").select("hub", "doc_id"))
+    asked = met.groupBy("hub", "doc_id").agg(F.count("*").alias("k"), F.min("room").alias("room")).filter("k > room").select("hub", "doc_id")
+    several = part.filter("size > 1").select("doc_id", F.col("component").alias("hub")).join(signs, "doc_id")
+    several = several.join(signs.select(F.col("doc_id").alias("hub"), F.col("parity").alias("_parity")), "hub")
+    reach = several.groupBy("hub").agg(F.max(differing(F.col("parity"), F.col("_parity"))).alias("radius"), F.max("n").alias("most"))
+    asked = cut(within_parity(asked, signs, percent, reach))
     stored = part.select(F.col("component").alias("hub"), "doc_id").join(asked.select("hub").distinct(), "hub")
     return links.unionByName(verified(docs, stored, asked, n, percent, frequent))
 
@@ -283,7 +324,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     every = cut(sets)
     known = every.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("rep")))
-    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).select("doc_id", "n_shingles", "meets", "at")
+    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"])).select("doc_id", "n_shingles", "meets", "at", "parity")
     found = components(jaccard_links(docs, reps, n, percent, frequent))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
