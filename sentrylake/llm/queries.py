@@ -94,28 +94,30 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
     """,
     "op8_url_filter": r"""
-        WITH t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+        WITH RECURSIVE t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
         u AS (SELECT page_id, translate(regexp_extract(coalesce(tail, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM t),
         v AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
             WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
             list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS seg FROM u),
-        p AS (SELECT *, CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'com/de/' THEN 'block' WHEN 'com/fr/' THEN 'allow' WHEN 'org/' THEN 'allow' END AS ruled,
-            coalesce(seg[1], '') AS s1, coalesce(seg[2], '') AS s2, greatest(len(seg) - 2, 0) AS more FROM v),
-        one AS (SELECT host, s1, count(*) AS n1 FROM p GROUP BY ALL),
-        h0 AS (SELECT host, sum(n1) AS n0, count(*) FILTER (s1 NOT IN ('', '*')) AS kids FROM one GROUP BY ALL),
-        g1 AS (SELECT host, s1, CASE WHEN kids >= 20 AND n1 < 0.02 * n0 AND s1 <> '' THEN '*' ELSE s1 END AS g1 FROM one JOIN h0 USING (host)),
-        two AS (SELECT host, g1, s2, count(*) AS n2 FROM p JOIN g1 USING (host, s1) GROUP BY ALL),
-        h1 AS (SELECT host, g1, sum(n2) AS n1, count(*) FILTER (s2 NOT IN ('', '*')) AS kids FROM two GROUP BY ALL),
-        g2 AS (SELECT host, g1, s2, CASE WHEN kids >= 20 AND n2 < 0.02 * n1 AND s2 <> '' THEN '*' ELSE s2 END AS g2 FROM two JOIN h1 USING (host, g1)),
-        q AS (SELECT p.*, g1, g2 FROM p JOIN g1 USING (host, s1) JOIN g2 USING (host, g1, s2)),
-        al AS (SELECT least(0.5, (count(*) FILTER (ruled = 'block') + 1) / (count(ruled) + 2)) AS p_all FROM q),
-        ho AS (SELECT host, (count(*) FILTER (ruled = 'block') + 10.0 * (SELECT p_all FROM al)) / (count(ruled) + 10.0) AS p_host FROM q GROUP BY host),
-        br AS (SELECT host, g1, p_host, count(ruled) AS l1, count(*) FILTER (ruled = 'block') AS b1 FROM q JOIN ho USING (host) GROUP BY ALL),
-        bn AS (SELECT *, CASE WHEN abs(b1 - l1 * p_host) <= 1.96 * sqrt(l1 * p_host * (1 - p_host)) THEN '~' ELSE g1 END AS branch FROM br),
-        me AS (SELECT host, branch, (sum(b1) + 10.0 * max(p_host)) / (sum(l1) + 10.0) AS p_branch FROM bn GROUP BY ALL),
-        z AS (SELECT q.*, branch FROM q JOIN bn USING (host, g1)),
-        te AS (SELECT host, branch, g2, more, (count(*) FILTER (ruled = 'block') + 10.0 * max(p_branch)) / (count(ruled) + 10.0) AS purity FROM z JOIN me USING (host, branch) GROUP BY ALL)
-        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, '/' || branch || '/' || g2 || repeat('/*', more) AS template, purity
-        FROM z JOIN te USING (host, branch, g2, more)
+        q AS (SELECT *, CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'com/de/' THEN 'block' WHEN 'com/fr/' THEN 'allow' WHEN 'org/' THEN 'allow' END AS ruled FROM v),
+        leaf AS (SELECT host, seg, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b FROM q GROUP BY ALL),
+        lv AS (SELECT host, seg, n, unnest(range(1, len(seg) + 1)) AS i FROM leaf),
+        sib AS (SELECT host, i, seg[1 : i - 1] AS par, seg[i] AS s, sum(n) AS n FROM lv GROUP BY ALL),
+        tot AS (SELECT host, i, par, sum(n) AS a, count(*) FILTER (s <> '*') AS kids FROM sib GROUP BY ALL),
+        wild AS (SELECT host, i, par, s FROM sib JOIN tot USING (host, i, par) WHERE kids >= 20 AND s <> '*' AND n < 0.02 * a),
+        gs AS (SELECT lv.host, lv.seg, list(CASE WHEN w.s IS NULL THEN lv.seg[lv.i] ELSE '*' END ORDER BY lv.i) AS g FROM lv LEFT JOIN wild w ON w.host = lv.host AND w.i = lv.i AND w.par = lv.seg[1 : lv.i - 1] AND w.s = lv.seg[lv.i] GROUP BY lv.host, lv.seg),
+        named AS (SELECT leaf.host, leaf.seg, l, b, coalesce(g, []) AS g FROM leaf LEFT JOIN gs ON gs.host = leaf.host AND gs.seg = leaf.seg),
+        tm AS (SELECT host, g, sum(l) AS l, sum(b) AS b FROM named GROUP BY ALL),
+        al AS (SELECT least(0.5, (sum(b) + 1) / (sum(l) + 2)) AS p_all FROM tm),
+        ho AS (SELECT host, (sum(b) + 2.0::DOUBLE * (SELECT p_all FROM al)) / (sum(l) + 2.0::DOUBLE) AS p FROM tm GROUP BY host),
+        nd AS (SELECT host, g, l, b, unnest(range(1, len(g) + 1)) AS i FROM tm),
+        cn AS (SELECT host, i, g[1 : i - 1] AS par, g[1 : i] AS node, sum(l) AS l, sum(b) AS b FROM nd GROUP BY ALL),
+        pr AS (SELECT host, i, par, sum(l) AS lp, sum(b) / nullif(sum(l), 0) AS rate FROM cn GROUP BY ALL),
+        sm AS (SELECT cn.*, coalesce(abs(b - l * rate) <= 1.96::DOUBLE * sqrt(l * rate * (1 - rate)), TRUE) AS alike FROM cn JOIN pr USING (host, i, par)),
+        ef AS (SELECT host, i, node, CASE WHEN alike THEN sum(l) OVER w ELSE l END AS l, CASE WHEN alike THEN sum(b) OVER w ELSE b END AS b FROM sm WINDOW w AS (PARTITION BY host, i, par, alike)),
+        pu AS (SELECT tm.host, tm.g, 0::BIGINT AS i, ho.p FROM tm JOIN ho USING (host)
+            UNION ALL SELECT pu.host, pu.g, pu.i + 1, (e.b + 2.0::DOUBLE * pu.p) / (e.l + 2.0::DOUBLE) FROM pu JOIN ef e ON e.host = pu.host AND e.i = pu.i + 1 AND e.node = pu.g[1 : pu.i + 1] WHERE pu.i < len(pu.g))
+        SELECT q.page_id, q.host, q.path, q.rule, coalesce(ruled, CASE WHEN pu.p >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(named.g, '/') AS template, pu.p AS purity
+        FROM q JOIN named ON named.host = q.host AND named.seg = q.seg JOIN pu ON pu.host = named.host AND pu.g = named.g AND pu.i = len(named.g)
     """,
 }

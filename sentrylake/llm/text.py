@@ -6,6 +6,8 @@ those bytes inside a longer character, so words can be found on raw bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import tempfile
@@ -63,6 +65,14 @@ def sliced(batches, column: str, most: int = CHUNK_BYTES):
             end = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+    release()
+
+
+def release() -> None:
+    """Give what this worker has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RARE_SHARE = 0.02
 LEAST_CHILDREN = 20
-STRENGTH = 10.0
+STRENGTH = 2.0
 PURITY = 0.8
 Z = 1.96
 
@@ -45,64 +45,78 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return name, verdict
 
 
+def wildcards(leaves: DataFrame) -> DataFrame:
+    """(leaf, g): each leaf's segments with the rare ones of many siblings as wildcards.
+
+    leaves: (leaf, host, segments, n). Siblings are the segments after one beginning of
+    a host's paths, at whatever depth.
+    """
+    each = leaves.select("leaf", "host", "n", "segments", F.posexplode("segments").alias("i", "s"))
+    each = each.select("leaf", "host", "n", "i", "s", F.xxhash64(F.slice("segments", 1, F.col("i"))).alias("parent"))
+    siblings = each.groupBy("host", "i", "parent", "s").agg(F.sum("n").alias("n"))
+    every = siblings.groupBy("host", "i", "parent").agg(F.sum("n").alias("all"), F.count_if(F.col("s") != "*").alias("kids")).filter(F.col("kids") >= LEAST_CHILDREN)
+    rare = siblings.join(every, ["host", "i", "parent"]).filter((F.col("s") != "*") & (F.col("n") < RARE_SHARE * F.col("all"))).select("host", "i", "parent", "s", F.lit("*").alias("g"))
+    named = each.join(rare, ["host", "i", "parent", "s"], "left").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("g", "s").alias("g")))).alias("g"))
+    return leaves.select("leaf").join(named, "leaf", "left").select("leaf", F.coalesce(F.transform("g", lambda x: x["g"]), F.array().cast("array<string>")).alias("g"))
+
+
+def purities(templates: DataFrame, p_all: float, strength: float) -> DataFrame:
+    """(template, purity) from (template, host, g, labelled, blocked), g the template's segments."""
+    m = F.lit(float(strength))
+    hosts = templates.groupBy("host").agg(((F.sum("blocked") + m * F.lit(p_all)) / (F.sum("labelled") + m)).alias("p"))
+    at = templates.select("template", "host", "g", "labelled", "blocked", F.posexplode("g").alias("i", "_")).select(
+        "template", "host", "i", F.xxhash64(F.slice("g", 1, F.col("i"))).alias("parent"), F.xxhash64(F.slice("g", 1, F.col("i") + 1)).alias("node"), "labelled", "blocked"
+    )
+    nodes = at.groupBy("host", "i", "parent", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    # siblings that the rate of all of them explains are one branch
+    rate = F.try_divide("b_all", "l_all")
+    spread = F.lit(Z) * F.sqrt(F.col("l") * rate * (1 - rate))
+    like = F.coalesce(F.abs(F.col("b") - F.col("l") * rate) <= spread, F.lit(True))
+    nodes = nodes.join(nodes.groupBy("host", "i", "parent").agg(F.sum("l").alias("l_all"), F.sum("b").alias("b_all")), ["host", "i", "parent"]).withColumn("like", like)
+    merged = nodes.groupBy("host", "i", "parent", "like").agg(F.sum("l").alias("l_like"), F.sum("b").alias("b_like"))
+    nodes = nodes.join(merged, ["host", "i", "parent", "like"]).select(
+        "host", "i", "node", F.when(F.col("like"), F.col("l_like")).otherwise(F.col("l")).alias("l"), F.when(F.col("like"), F.col("b_like")).otherwise(F.col("b")).alias("b")
+    )
+    path = at.select("template", "host", "i", "node").join(nodes, ["host", "i", "node"]).groupBy("template").agg(F.sort_array(F.collect_list(F.struct("i", "l", "b"))).alias("path"))
+    every = templates.select("template", "host").join(hosts, "host").join(path, "template", "left")
+    purity = F.aggregate(F.coalesce("path", F.array().cast("array<struct<i:int,l:bigint,b:bigint>>")), F.col("p"), lambda p, x: (x["b"] + m * p) / (x["l"] + m))
+    return every.select("template", purity.alias("purity"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", strength: float = STRENGTH, purity: float = PURITY) -> DataFrame:
     """Verdict for each page, by rule, or by its path template where no rule fits.
 
-    Pages that a rule judges are the labelled ones. Each host has a tree: the
-    first two path segments and how many follow. A segment with a digit is a
-    wildcard at once; one of at least LEAST_CHILDREN literal siblings becomes a
-    wildcard too if fewer than RARE_SHARE of the pages under their parent have
-    it. A host's first-level branches whose labelled block counts lie within Z
-    standard deviations of the host's own rate are merged into one branch ``~``.
-    A template's purity is its share of blocked labelled pages, drawn towards its
-    branch's, that to its host's, that to the whole table's (at most a half), with
-    `strength` pseudo-pages at each step; at `purity` or more the template is rejected.
+    Pages that a rule judges are the labelled ones. Each host has a tree of its whole
+    paths, a level for each segment. A segment with a digit is a wildcard at once; one
+    of at least LEAST_CHILDREN literal siblings becomes a wildcard too if fewer than
+    RARE_SHARE of the pages under their parent have it. Sibling branches whose
+    labelled block counts lie within Z standard deviations of the rate of all of them
+    are merged: they share their counts. A node's purity is its share of blocked
+    labelled pages, drawn towards its parent's, and so on up to the host's and the whole
+    table's (at most a half), with `strength` pseudo-pages at each step; a template
+    whose last node has `purity` or more is rejected.
 
     Null urls and urls without ``://`` have an empty host and path and are judged
-    as templates of that host. Repeated rows each count and each return a row.
-    Only counts are grouped (combined before the shuffle), so a hot host is a hot
-    key of a joined table only, which adaptive execution splits.
+    as templates of that host; an empty table gives an empty result. Long urls have
+    trees as deep as they are. Repeated rows each count and each return a row. Columns
+    of other names, or of the names that come back, are not looked at. Only counts are
+    grouped (combined before the shuffle), so a hot host is a hot key of a joined table
+    only, which adaptive execution splits.
     """
     u = F.col(url)
     base = pages.select("page_id", host_of(u).alias("host"), path_of(u).alias("path"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("ruled", ruled)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
     general = lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)
-    base = base.withColumn("_seg", F.transform(segments, general))
-    base = base.withColumn("s1", F.coalesce(F.get("_seg", F.lit(0)), F.lit(""))).withColumn("s2", F.coalesce(F.get("_seg", F.lit(1)), F.lit("")))
-    base = base.withColumn("more", F.greatest(F.size("_seg") - 2, F.lit(0))).drop("_seg")
-
-    leaves = cut(
-        base.groupBy("host", "s1", "s2", "more").agg(
-            F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
-        )
-    )
-    # wildcards, level by level: literal siblings that are many and rare
-    one = leaves.groupBy("host", "s1").agg(F.sum("n").alias("n1"))
-    host = one.groupBy("host").agg(F.sum("n1").alias("n0"), F.count_if(~F.col("s1").isin("", "*")).alias("kids1"))
-    one = one.join(host, "host").withColumn("g1", F.when((F.col("kids1") >= LEAST_CHILDREN) & (F.col("n1") < RARE_SHARE * F.col("n0")) & (F.col("s1") != ""), "*").otherwise(F.col("s1"))).select("host", "s1", "g1")
-    two = leaves.join(one, ["host", "s1"]).groupBy("host", "g1", "s2").agg(F.sum("n").alias("n2"))
-    above = two.groupBy("host", "g1").agg(F.sum("n2").alias("n1"), F.count_if(~F.col("s2").isin("", "*")).alias("kids2"))
-    two = two.join(above, ["host", "g1"]).withColumn("g2", F.when((F.col("kids2") >= LEAST_CHILDREN) & (F.col("n2") < RARE_SHARE * F.col("n1")) & (F.col("s2") != ""), "*").otherwise(F.col("s2"))).select("host", "g1", "s2", "g2")
-    named = cut(leaves.join(one, ["host", "s1"]).join(two, ["host", "g1", "s2"]))
-
-    # purity, from the whole table down
+    base = base.withColumn("segments", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), general))
+    found = base.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    leaves = cut(found.withColumn("leaf", F.monotonically_increasing_id()))
     blocked, labelled = leaves.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()  # two numbers
-    p_all, m = F.lit(min(0.5, (blocked + 1) / (labelled + 2))), F.lit(float(strength))  # without labels of its own nothing is rejected
-    hosts = named.groupBy("host").agg(F.sum("labelled").alias("l0"), F.sum("blocked").alias("b0"))
-    hosts = hosts.select("host", ((F.col("b0") + m * p_all) / (F.col("l0") + m)).alias("p_host"))
-    branch = named.groupBy("host", "g1").agg(F.sum("labelled").alias("l1"), F.sum("blocked").alias("b1")).join(hosts, "host")
-    spread = F.lit(Z) * F.sqrt(F.col("l1") * F.col("p_host") * (1 - F.col("p_host")))
-    branch = cut(branch.withColumn("branch", F.when(F.abs(F.col("b1") - F.col("l1") * F.col("p_host")) <= spread, "~").otherwise(F.col("g1"))))
-    merged = branch.groupBy("host", "branch").agg(F.sum("l1").alias("lb"), F.sum("b1").alias("bb"), F.max("p_host").alias("p_host"))
-    merged = merged.select("host", "branch", ((F.col("bb") + m * F.col("p_host")) / (F.col("lb") + m)).alias("p_branch"))
-    template = named.join(branch.select("host", "g1", "branch"), ["host", "g1"])
-    rates = template.groupBy("host", "branch", "g2", "more").agg(F.sum("labelled").alias("lt"), F.sum("blocked").alias("bt")).join(merged, ["host", "branch"])
-    rates = rates.select("host", "branch", "g2", "more", ((F.col("bt") + m * F.col("p_branch")) / (F.col("lt") + m)).alias("purity"))
-    judged = template.join(rates, ["host", "branch", "g2", "more"]).select(
-        "host", "s1", "s2", "more", "purity", F.concat(F.lit("/"), F.concat_ws("/", "branch", "g2"), F.repeat(F.lit("/*"), F.col("more"))).alias("template")
-    )
-    out = base.join(judged, ["host", "s1", "s2", "more"])
+    p_all = min(0.5, (blocked + 1) / (labelled + 2))  # without labels of its own nothing is rejected
+    named = cut(leaves.join(wildcards(leaves), "leaf"))
+    templates = cut(named.groupBy("host", "g").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("template", F.monotonically_increasing_id()))
+    rated = templates.join(purities(templates, p_all, strength), "template").select("host", "g", "purity")
+    judged = named.join(rated, ["host", "g"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("g", "/")).alias("template"), "purity")
+    out = base.join(judged, ["host", "segments"])
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("purity") >= purity, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
