@@ -14,13 +14,11 @@ STEMS = {
     "windows_security": "windows_security",
     "cloud_audit": "cloud_audit",
 }
-SYSLOG_HEAD = r"^(\w+\s+\d+\s+[\d:]+)\s+(\S+)\s+"
-SSH_FAILED = SYSLOG_HEAD + r"sshd\[\d+\]:\s+Failed password for(?: invalid user)?\s+(\S+)\s+from\s+(\S+)"
-SSH_INVALID = SYSLOG_HEAD + r"sshd\[\d+\]:\s+Invalid user\s+(\S+)\s+from\s+(\S+)"
-SSH_ACCEPTED = SYSLOG_HEAD + r"sshd\[\d+\]:\s+Accepted password for\s+(\S+)\s+from\s+(\S+)"
-SUDO_DENIED = SYSLOG_HEAD + r"sudo\s*:\s+(\S+)\s+:.*NOT in sudoers"
-SUDO_COMMAND = SYSLOG_HEAD + r"sudo\s*:\s+(\S+)\s+:.*COMMAND=(.*)"
-ACCESS_LINE = r'^(\S+)\s+-\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d+)\s+\d+\s+"[^"]*"\s+"([^"]*)"'
+SYSLOG_LINE = (
+    r"^(\w+\s+\d+\s+[\d:]+)\s+(\S+)\s+(?:sshd\[\d+\]:\s+(?:Failed password for(?: invalid user)?\s+(\S+)\s+from\s+(\S+)|Invalid user\s+(\S+)\s+from\s+(\S+)"
+    r"|Accepted password for\s+(\S+)\s+from\s+(\S+))|sudo\s*:\s+(\S+)\s+:(?:(?=.*(NOT in sudoers))|.*(COMMAND=)(.*))).*$"
+)
+ACCESS_LINE = r'^(\S+)\s+-\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d+)\s+\d+\s+"[^"]*"\s+"([^"]*)".*$'
 JNDI = "${jndi:"
 SHAPING_PAYLOADS = ("union select", "or '1'='1", "../", "/etc/passwd", ";whoami", "${jndi:")
 EXPLOIT_PAYLOADS = (
@@ -61,6 +59,17 @@ LOGIN_GUESSERS = (("203.0.113.77", "T1110", "Many failed web logins from one add
 LOGON_GUESSERS = (("WIN-SERVER01", "192.0.2.150", "T1110.001", "Burst of failed Windows logons before a new account appears."),)
 
 
+@dataclass(frozen=True)
+class Scenario:
+    """Who is known to have attacked: rows of entity (or host and address), technique, rationale."""
+
+    ssh: tuple = SSH_ATTACKERS
+    compromised: tuple = COMPROMISED
+    scanners: tuple = WEB_SCANNERS
+    web_logins: tuple = LOGIN_GUESSERS
+    logons: tuple = LOGON_GUESSERS
+
+
 @dataclass(frozen=True)
 class RuleConfig:
     """Thresholds; counts must exceed them."""

@@ -140,7 +140,10 @@ def evidence(u: Column) -> Column:
     head.append(F.when(raw["window_start"].isNotNull() & raw["window_end"].isNotNull(), F.concat(F.lit("window: "), stamp(raw["window_start"]), F.lit(" .. "), stamp(raw["window_end"]))))
     for key, name in EVIDENCE:
         if key in ("distinct_users", "status_sequence", "user_agents", "sample_paths"):
-            head.append(F.when(F.size(raw[key]) > 0, F.concat(F.lit(f"{name}: "), listed(raw[key]))))
+            values = F.when(F.size(raw[key]) > 0, raw[key])
+            if key == "distinct_users":
+                values = F.coalesce(values, F.when(F.size(raw["distinct_targets"]) > 0, raw["distinct_targets"]))
+            head.append(F.concat(F.lit(f"{name}: "), listed(values)))
         else:
             head.append(F.concat(F.lit(f"{name}: "), filled(raw[key].cast("string"))))
     head += [F.concat(F.lit(f"{k}: "), filled(raw["event"][k])) for k in NESTED_EVIDENCE]

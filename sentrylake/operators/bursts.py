@@ -1,7 +1,9 @@
 """Records to analysis units: one login, one request, or one whole burst.
 
-Bursts keep a few sample lines only. Lines are ranked inside their burst first and
-just the leading ones are collected, so a hot address costs a sort, not a huge list.
+Counts of a burst are plain aggregates, added up before the shuffle. The few lines a
+burst keeps come from a rank that is cut to those few, which each task does for its
+own rows first, so a hot address sends a few lines from each task and is never sorted
+whole. Records are written once, as several steps read them.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from pyspark.sql import functions as F
 from sentrylake.config import ShapeConfig
 from sentrylake.functions.text import filled, iso_time, login_like, web_payload
 from sentrylake.schemas import raw, unit
+from sentrylake.sources.scratch import stored
 
 
-def ranked(records: DataFrame, *keys: str, order: tuple = ("ts", "line_no")) -> DataFrame:
-    """Adds rn, the place of a record in its burst; ties stay in file order."""
-    return records.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
-def leading(value: Column, most: int) -> Column:
-    """Aggregate: the values of the first `most` ranks, in order."""
-    return F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", value.alias("v"))))), lambda x: x["v"])
+def leading(records: DataFrame, keys: list[str], most: int, *columns: str, order: tuple = ("ts", "line_no")) -> DataFrame:
+    """Of each burst (keys), the columns as lists over its first `most` records, in order; ties stay in file order."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = records.select(*keys, *dict.fromkeys([*order, *columns])).withColumn("rn", rank).filter(F.col("rn") <= most)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(c).alias("v")))), lambda x: x["v"]).alias(f"first_{c}")
+    return first.groupBy(*keys).agg(*[listed(c) for c in columns])
 
 
 def samples(lines: Column, count: Column, most: int) -> Column:
@@ -33,16 +34,17 @@ def samples(lines: Column, count: Column, most: int) -> Column:
 def auth_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """One unit for all failures of an address, even a single one; other records one each."""
     source = F.lit("linux_auth")
-    fails = ranked(records.filter(F.col("kind").isin("ssh_fail", "ssh_invalid")), "ip")
+    records = stored(records, "auth")
+    fails = records.filter(F.col("kind").isin("ssh_fail", "ssh_invalid"))
     burst = fails.groupBy("ip").agg(
-        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.sort_array(F.collect_set("user")).alias("users"),
-        leading(F.col("line"), shape.samples).alias("lines"), F.min("line_no").alias("line_no"),
+        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.sort_array(F.collect_set("user")).alias("users"), F.min("line_no").alias("line_no"),
     )
+    burst = burst.join(leading(fails, ["ip"], shape.samples, "line"), "ip")
     target = F.concat(F.array_join(F.slice("users", 1, 5), ", "), F.when(F.size("users") > 5, " ...").otherwise(""))
     bursts = burst.select(
         *unit(
             source=source, timestamp=F.col("t0"), actor=F.col("ip"), action=F.lit("ssh_failed_password"), target=target, status=F.lit("failure"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("lines"), F.col("n"), shape.samples), distinct_users=F.col("users"), source=source),
+            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("first_line"), F.col("n"), shape.samples), distinct_users=F.col("users"), source=source),
         )
     )
     kind = F.col("kind")
@@ -78,40 +80,46 @@ def web_point(source: Column = None) -> list[Column]:
 
 def login_bursts(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """One unit for each address of records that are all login posts, with all statuses in order."""
-    most = shape.max_sequence
-    status = F.when(F.col("rn") <= most, F.struct("rn", "status")) if most else F.struct("rn", "status")
-    g = ranked(records, "ip").groupBy("ip").agg(
-        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), leading(F.col("line"), shape.samples).alias("lines"),
-        F.transform(F.array_sort(F.collect_list(status)), lambda x: x["status"]).alias("seq"), F.min_by("path", "rn").alias("path"),
-        F.min_by("status", "rn").alias("first"), F.max_by("status", "rn").alias("last"), F.min("line_no").alias("line_no"),
+    at = F.struct("ts", "line_no")
+    g = records.groupBy("ip").agg(
+        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min_by("path", at).alias("path"),
+        F.min_by("status", at).alias("first"), F.max_by("status", at).alias("last"), F.min("line_no").alias("line_no"),
     )
+    g = g.join(leading(records, ["ip"], shape.samples, "line"), "ip")
+    if shape.max_sequence:
+        seq = leading(records, ["ip"], shape.max_sequence, "status").withColumnRenamed("first_status", "seq")
+    else:  # the whole list: what a burst's statuses are is part of its unit
+        seq = records.groupBy("ip").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "line_no", "status"))), lambda x: x["status"]).alias("seq"))
+    g = g.join(seq, "ip")
     source = F.lit("nginx_access")
     return g.select(
         *unit(
             source=source, timestamp=F.col("t0"), actor=F.col("ip"), action=F.lit("http_post"), target=F.col("path"), status=F.col("first"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("lines"), F.col("n"), shape.samples), status_sequence=F.col("seq"), final_status=F.col("last"), source=source),
+            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("first_line"), F.col("n"), shape.samples), status_sequence=F.col("seq"), final_status=F.col("last"), source=source),
         )
     )
 
 
 def scan_bursts(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """One unit for each address, with its agents, its first paths and how many it has."""
-    g = ranked(records, "ip").groupBy("ip").agg(
-        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), leading(F.col("line"), shape.samples).alias("lines"),
-        leading(F.col("path"), shape.sample_paths).alias("paths"), F.count_distinct("path").alias("k"), F.sort_array(F.collect_set("ua")).alias("uas"),
-        F.max_by("status", "rn").alias("last"), F.min("line_no").alias("line_no"),
+    g = records.groupBy("ip").agg(
+        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count_distinct("path").alias("k"),
+        F.max_by("status", F.struct("ts", "line_no")).alias("last"), F.min("line_no").alias("line_no"),
     )
+    g = g.join(records.groupBy("ip").agg(F.sort_array(F.collect_set("ua")).alias("uas")), "ip")
+    g = g.join(leading(records, ["ip"], shape.samples, "line"), "ip").join(leading(records, ["ip"], shape.sample_paths, "path"), "ip")
     source = F.lit("nginx_access")
     return g.select(
         *unit(
             source=source, timestamp=F.col("t0"), actor=F.col("ip"), action=F.lit("http_get"), line_no=F.col("line_no"), status=F.col("last"),
-            target=F.when(F.col("k") == 1, F.get("paths", F.lit(0))).otherwise(F.concat(F.col("k").cast("string"), F.lit(" paths"))),
-            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("lines"), F.col("n"), shape.samples), user_agents=F.col("uas"), sample_paths=F.col("paths"), source=source),
+            target=F.when(F.col("k") == 1, F.get("first_path", F.lit(0))).otherwise(F.concat(F.col("k").cast("string"), F.lit(" paths"))),
+            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("first_line"), F.col("n"), shape.samples), user_agents=F.col("uas"), sample_paths=F.col("first_path"), source=source),
         )
     )
 
 
 def access_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+    records = stored(records, "access")
     routed = records.join(web_profile(records, shape).select("ip", "route"), "ip")
     post = (F.upper("method") == "POST") & login_like(F.col("path"))
     points = routed.filter((F.col("route") == "points") | ((F.col("route") == "login") & ~post))
@@ -138,20 +146,22 @@ def failed_logons(records: DataFrame) -> DataFrame:
 def logon_bursts(grouped: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """One unit for each (host, address), in file order."""
     source = F.lit("windows_security")
-    g = ranked(grouped, "ghost", "gip", order=("line_no",)).groupBy("ghost", "gip").agg(
-        F.count("*").alias("n"), F.min_by("event.timestamp", "rn").alias("t"), F.min_by("event.source_ip", "rn").alias("ip"),
-        F.sort_array(F.collect_set(filled(F.col("event.username")))).alias("users"), leading(F.col("line"), shape.samples).alias("lines"), F.min("line_no").alias("line_no"),
+    g = grouped.groupBy("ghost", "gip").agg(
+        F.count("*").alias("n"), F.min_by("event.timestamp", "line_no").alias("t"), F.min_by("event.source_ip", "line_no").alias("ip"),
+        F.sort_array(F.collect_set(filled(F.col("event.username")))).alias("users"), F.min("line_no").alias("line_no"),
     )
+    g = g.join(leading(grouped, ["ghost", "gip"], shape.samples, "line", order=("line_no",)), ["ghost", "gip"])
     return g.select(
         *unit(
             source=source, timestamp=iso_time(F.col("t")), actor=F.col("ip"), action=F.lit("logon_failure"), target=F.array_join("users", ", "), status=F.lit("failure"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), event_code=F.lit("4625"), host=F.col("ghost"), distinct_users=F.col("users"), sample_lines=F.col("lines"), source=source),
+            raw=raw(count=F.col("n"), event_code=F.lit("4625"), host=F.col("ghost"), distinct_users=F.col("users"), sample_lines=F.col("first_line"), source=source),
         )
     )
 
 
 def windows_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """records: line, line_no, event. Failed logons of one host and address make one unit from `shape.windows` on."""
+    records = stored(records, "windows")
     failed = failed_logons(records)
     sizes = failed.groupBy("ghost", "gip").agg(F.count("*").alias("size"))
     failed = failed.join(sizes, ["ghost", "gip"])
@@ -170,31 +180,30 @@ def console_failure(record: Column) -> Column:
 def cloud_failure_unit(records: DataFrame, shape: ShapeConfig = ShapeConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """All failed console logins as one unit (or one for each of `keys`, event fields).
 
-    Its nested list keeps the first `shape.max_nested` records, for display;
-    detect(), label_cloud() and cloud_rules correlate with the failure records themselves.
+    A unit for each key lists all its records; the one unit of all lists the first
+    `shape.max_nested`, for display, and counts the rest. detect(), label_cloud() and
+    cloud_rules correlate with the failure records themselves.
     """
     source = F.lit("cloud_audit")
     failed = records.filter(console_failure(F.col("event")))
     by = [F.col(f"event.{k}").alias(f"k_{k}") for k in keys]
     first = lambda f: F.min_by(f"event.{f}", "line_no")
-    head = F.array_sort(F.collect_list(F.when(F.col("rn") <= shape.max_nested, F.struct("rn", "event"))))
-    few = failed.withColumn("rn", F.lit(0)) if not shape.max_nested else failed.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("line_no"))) if by else _first_rows(failed, shape.max_nested)
-    g = few.groupBy(*by).agg(F.count("*").alias("n"), first("timestamp").alias("t"), first("source_ip").alias("ip"), first("username").alias("user"), head.alias("list"), F.min("line_no").alias("line_no")).filter("n > 0")
+    g = failed.groupBy(*by).agg(F.count("*").alias("n"), first("timestamp").alias("t"), first("source_ip").alias("ip"), first("username").alias("user"), F.min("line_no").alias("line_no")).filter("n > 0")
+    nested = failed if keys else failed.orderBy("line_no").limit(shape.max_nested)
+    events = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "event"))), lambda x: x["event"]).alias("events")
+    nested = nested.groupBy(*[F.col(f"event.{k}").alias(f"m_{k}") for k in keys]).agg(events)
+    on = [F.col(f"k_{k}").eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    g = g.join(nested, on) if keys else g.crossJoin(nested)  # a row and a row
     return g.select(
         *unit(
             source=source, timestamp=iso_time(F.col("t")), actor=F.col("ip"), action=F.lit("console_login"), target=F.col("user"), status=F.lit("failure"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), events=F.transform("list", lambda x: x["event"]), source=source),
+            raw=raw(count=F.col("n"), events=F.col("events"), source=source),
         )
     )
 
 
-def _first_rows(df: DataFrame, most: int) -> DataFrame:
-    """rn for the first `most` rows by line_no, null for the others, without a sort of the whole table in one task."""
-    first = df.select("line_no").orderBy("line_no").limit(most).withColumn("rn", F.row_number().over(Window.orderBy("line_no")))
-    return df.join(first, "line_no", "left")
-
-
 def cloud_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+    records = stored(records, "cloud")
     e = F.col("event")
     target = (
         F.when(e["action"] == "security_group_rule_added", F.concat(F.lit("port "), F.coalesce(e["port"], F.lit("None")), F.lit(" <- "), F.coalesce(e["cidr"], F.lit("None"))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake import config as C
-from sentrylake.config import ShapeConfig
+from sentrylake.config import Scenario, ShapeConfig
 from sentrylake.functions.text import any_of, percent_decoded
 from sentrylake.operators.bursts import auth_units, cloud_units, failed_logons, login_bursts, logon_bursts, scan_bursts, web_point, windows_points, windows_units
 from sentrylake.operators.correlate import console_failures
@@ -34,14 +34,14 @@ def _benign(df: DataFrame, why: str) -> DataFrame:
     return marked(df, F.lit(None).cast("string"), F.lit(why))
 
 
-def label_auth(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+def label_auth(records: DataFrame, shape: ShapeConfig = ShapeConfig(), scenario: Scenario = Scenario()) -> DataFrame:
     """Bursts by known attackers, logins by those who got in; all else benign."""
     units = auth_units(records, shape)
     burst, login = F.col("action") == "ssh_failed_password", F.col("action") == "ssh_accepted_password"
-    a = known(units.filter(burst), F.col("actor"), C.SSH_ATTACKERS)
+    a = known(units.filter(burst), F.col("actor"), scenario.ssh)
     few = F.concat(F.lit("Only "), F.col("raw.count").cast("string"), F.lit(" failed SSH attempts from an address that isn't a known attacker."))
     a = marked(a, F.col("technique"), F.coalesce("rationale", few))
-    b = known(units.filter(login), F.col("actor"), C.COMPROMISED)
+    b = known(units.filter(login), F.col("actor"), scenario.compromised)
     b = marked(b, F.col("technique"), F.coalesce("rationale", F.lit("Routine login without any guessing before.")))
     return a.unionByName(b).unionByName(_benign(units.filter(~burst & ~login), "A sudo event that alone is no incident."))
 
@@ -53,18 +53,18 @@ def request_class(path: Column, agent: Column) -> tuple[Column, Column]:
     return F.when(attack, "T1190").when(scan, "T1595.002"), F.when(attack, "Attack payload in the request.").when(scan, F.concat(F.lit("Known scanner's user-agent: "), agent))
 
 
-def label_access(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+def label_access(records: DataFrame, shape: ShapeConfig = ShapeConfig(), scenario: Scenario = Scenario()) -> DataFrame:
     """Known scanners as one unit each; else requests by their payload; a browser's long run of 404 as one benign unit; else benign requests."""
     technique, why = request_class(F.col("path"), F.col("ua"))
     r = records.withColumn("_t", technique).withColumn("_why", why)
     first_ua = F.min_by("ua", F.struct("ts", "line_no"))
     profile = r.groupBy("ip").agg(F.max(F.col("_t").isNotNull()).alias("attack"), F.count("*").alias("n"), F.min(F.col("status") == "404").alias("lost"), first_ua.alias("ua0"))
-    profile = known(profile, F.col("ip"), C.WEB_SCANNERS)
+    profile = known(profile, F.col("ip"), scenario.scanners)
     crawl = F.col("lost") & (F.col("n") >= 20) & F.lower("ua0").startswith("mozilla")
     route = F.when(F.col("technique").isNotNull(), "scan").when(F.col("attack"), "requests").when(crawl, "crawl").otherwise("plain")
     r = r.join(profile.select("ip", route.alias("route")), "ip")
     scans = scan_bursts(r.filter("route = 'scan'"), shape)
-    scans = known(scans, F.col("actor"), C.WEB_SCANNERS)
+    scans = known(scans, F.col("actor"), scenario.scanners)
     scans = marked(scans, F.col("technique"), F.col("rationale"))
     crawls = _benign(scan_bursts(r.filter("route = 'crawl'"), shape), "Many 404 from a browser on sequential pages: a broken-link crawl.")
     crawls = crawls.withColumn("target", F.concat(F.col("raw.count").cast("string"), F.lit(" sequential paths")))
@@ -73,18 +73,18 @@ def label_access(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> Data
     return scans.unionByName(crawls).unionByName(single)
 
 
-def label_login_posts(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+def label_login_posts(records: DataFrame, shape: ShapeConfig = ShapeConfig(), scenario: Scenario = Scenario()) -> DataFrame:
     """Known guessers' requests as one unit each, others benign."""
-    r = known(records, F.col("ip"), C.LOGIN_GUESSERS)
-    bursts = known(login_bursts(r.filter("technique is not null").drop("technique", "rationale"), shape), F.col("actor"), C.LOGIN_GUESSERS)
+    r = known(records, F.col("ip"), scenario.web_logins)
+    bursts = known(login_bursts(r.filter("technique is not null").drop("technique", "rationale"), shape), F.col("actor"), scenario.web_logins)
     bursts = marked(bursts.withColumn("status", F.lit("401")), F.col("technique"), F.col("rationale"))
     return bursts.unionByName(_benign(r.filter("technique is null").select(*web_point()), "Ordinary web request."))
 
 
-def label_windows(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+def label_windows(records: DataFrame, shape: ShapeConfig = ShapeConfig(), scenario: Scenario = Scenario()) -> DataFrame:
     """Known groups of failed logons, encoded or downloading command lines, new accounts; all else benign."""
-    failed = known(failed_logons(records), F.col("ghost"), C.LOGON_GUESSERS, F.col("gip"))
-    bursts = known(logon_bursts(failed.filter("technique is not null").drop("technique", "rationale"), shape), F.col("raw.host"), C.LOGON_GUESSERS, F.col("actor"))
+    failed = known(failed_logons(records), F.col("ghost"), scenario.logons, F.col("gip"))
+    bursts = known(logon_bursts(failed.filter("technique is not null").drop("technique", "rationale"), shape), F.col("raw.host"), scenario.logons, F.col("actor"))
     bursts = marked(bursts, F.col("technique"), F.col("rationale"))
     single = windows_points(failed.filter("technique is null"), F.lit("logon_failure"), F.col("event.host"), F.lit("failure"))
     rest = windows_units(records.filter("event.event_code <> '4625'"), shape).filter("action <> 'logoff'")

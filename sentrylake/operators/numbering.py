@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.config import ID_PREFIX
+from sentrylake.sources.scratch import scratch_path
 
 ORDER = ("timestamp", "action", "_target", "line_no")
 
@@ -18,7 +19,13 @@ def _id(n: Column) -> Column:
 
 
 def number_units(units: DataFrame) -> DataFrame:
-    """Ids by a window over each source; for tables whose sources fit a task each."""
+    """Ids of all units, by two passes over ranges in the folder that executors share; as many ranges as the session has shuffle partitions."""
+    spark = units.sparkSession
+    return number_units_at_scale(units, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, "units"))
+
+
+def number_units_in_window(units: DataFrame) -> DataFrame:
+    """The same ids by a window over each source; for tables whose sources fit a task each."""
     w = Window.partitionBy("source").orderBy(*ORDER)
     return _final(units.withColumn("_target", F.coalesce("target", F.lit("None"))).withColumn("_n", F.row_number().over(w)))
 

@@ -1,4 +1,9 @@
-"""Seven rules over units, the first that fits deciding."""
+"""Seven rules over units, the first that fits deciding.
+
+Each source meets only its own rules. What several rules ask of a unit is worked out
+once, then the number of the rule that decides; technique, confidence and reason
+follow from that number.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +14,17 @@ from sentrylake import config as C
 from sentrylake.config import RuleConfig
 from sentrylake.functions.text import confidence_by_count, filled, first_of, percent_decoded
 from sentrylake.operators.correlate import preceded_by_burst, preceded_by_failure, windows_field
-from sentrylake.schemas import verdict
-
-RAW = F.col
 
 
 def _count() -> Column:
     return F.coalesce(F.col("raw.count"), F.lit(1))
 
 
-def candidate_paths(lower: bool = True) -> Column:
+def candidate_paths() -> Column:
     """The decoded paths of a web unit: its own, its samples, and its target unless that only says how many."""
     target = F.when(~F.col("target").endswith("paths"), filled(F.col("target")))
     some = F.flatten(F.array(F.array(filled(F.col("raw.path"))), F.coalesce(F.col("raw.sample_paths"), F.array().cast("array<string>")), F.array(target)))
-    decoded = F.transform(F.array_compact(some), percent_decoded)
-    return F.transform(decoded, F.lower) if lower else decoded
+    return F.transform(F.array_compact(some), percent_decoded)
 
 
 def candidate_agents() -> Column:
@@ -48,81 +49,85 @@ def _text(*parts) -> Column:
     return F.concat(*[F.coalesce(p.cast("string"), F.lit("None")) if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def ssh_brute_force(cfg: RuleConfig) -> Column:
-    n = _count()
-    fits = (F.col("source") == "linux_auth") & (F.col("action") == "ssh_failed_password") & (n > cfg.ssh)
-    why = _text("SSH Brute Force: ", n, " failed SSH password attempts from ", F.col("actor"), f" (> {cfg.ssh} in window); target users ", F.col("target"), ".")
-    return F.when(fits, verdict(True, "T1110.001", confidence_by_count(n, 0.75, 0.9, 0.99), why))
-
-
-def web_login_brute_force(cfg: RuleConfig) -> Column:
-    n = _count()
-    login = F.exists(F.col("_paths"), lambda p: first_of(p, C.LOGIN_PATHS).isNotNull())
-    fits = (F.col("source") == "nginx_access") & login & F.arrays_overlap(F.col("_statuses"), F.array(*map(F.lit, C.AUTH_FAIL_STATUSES))) & (n > cfg.web_login)
-    why = _text("Web Login Brute Force: ", n, " failed web logins from ", F.col("actor"), " to ", F.col("target"), f" (> {cfg.web_login} in window).")
-    return F.when(fits, verdict(True, "T1110", confidence_by_count(n, 0.8, 0.9, 0.97), why))
-
-
-def web_exploit(cfg: RuleConfig) -> Column:
-    payload = _first(F.col("_paths"), C.EXPLOIT_PAYLOADS)
-    jndi = F.exists(F.concat(F.col("_paths"), F.col("_agents")), lambda x: x.contains(C.JNDI))
-    command = F.exists(F.col("_raw_paths"), lambda x: x.rlike(C.COMMAND_INJECTION))
-    detail = F.when(payload.isNotNull(), _text("payload signature '", payload, "' in path")).when(jndi, "Log4Shell/JNDI marker").when(command, "OS command-injection pattern in path")
-    why = _text("Web Exploit Attempt: ", detail, " from ", F.col("actor"), " against ", F.col("target"), ".")
-    return F.when((F.col("source") == "nginx_access") & detail.isNotNull(), verdict(True, "T1190", 0.95, why))
-
-
-def web_scan(cfg: RuleConfig) -> Column:
-    n, web = _count(), F.col("source") == "nginx_access"
-    scanner = _first(F.col("_agents"), C.SCANNERS)
-    hit = _first(F.col("_paths"), C.SENSITIVE_PATHS)
-    found = F.arrays_overlap(F.col("_statuses"), F.array(*map(F.lit, C.FOUND_STATUSES)))
-    lost = (F.col("status") == "404") & (n > cfg.not_found)
-    return (
-        F.when(web & scanner.isNotNull(), verdict(True, "T1595.002", 0.9, _text("Web Scanning: known scanner User-Agent '", scanner, "' from ", F.col("actor"), ".")))
-        .when(web & lost, verdict(True, "T1595.002", confidence_by_count(n, 0.7, 0.85, 0.95), _text("Web Scanning: ", n, " HTTP 404 responses from ", F.col("actor"), f" (> {cfg.not_found} in window), consistent with directory brute force.")))
-        .when(web & hit.isNotNull() & found, verdict(True, "T1083", 0.75, _text("Sensitive Path Access: request to '", hit, "' returned a found status from ", F.col("actor"), ", consistent with file/directory discovery.")))
-    )
-
-
-def account_after_failures(cfg: RuleConfig) -> Column:
-    r = F.col("raw")
-    name = F.coalesce(filled(r["event"]["new_account"]), F.col("target"))
-    why = _text("Account Created After Failed Logons: new account '", name, "' on ", windows_field(r, "host"), f" within {cfg.account_minutes}m of a failed-logon burst.")
-    return F.when(F.coalesce(F.col("after_burst"), F.lit(False)), verdict(True, "T1136.001", 0.9, why))
-
-
 def port_of(c: Column) -> Column:
     """A port as an integer; numbers with a fraction are cut, text that is no number is -1."""
     return F.coalesce(c.try_cast("int"), F.floor(F.when(c.rlike(r"^\d+\.\d+$"), c.try_cast("double"))).cast("int"), F.lit(-1))
 
 
-def security_group_open(cfg: RuleConfig) -> Column:
-    e = F.col("raw.event")
-    port = port_of(e["port"])
-    data = port.isin(*C.DATABASE_PORTS)
-    fits = (F.col("source") == "cloud_audit") & F.col("action").contains("security_group_rule") & (e["cidr"] == C.OPEN_CIDR) & port.isin(*C.SENSITIVE_PORTS)
-    who = F.coalesce(filled(e["username"]), F.col("actor"))
-    why = _text("Security Group Opened to Internet: ", F.when(data, "database").otherwise("remote-access"), " port ", port, f" exposed to {C.OPEN_CIDR} by ", who, ".")
-    return F.when(fits, verdict(True, "T1562.007", F.when(data, 0.95).otherwise(0.9), why))
+def _decided(df: DataFrame, *cases: tuple[Column, str, Column | float, Column]) -> DataFrame:
+    """(unit_id, is_incident, technique, confidence, reason) by the first case (condition, technique, confidence, reason) that fits."""
+    rule = technique = confidence = reason = None
+    for i, (fits, what, sure, why) in enumerate(cases):
+        here = F.col("_rule") == i
+        sure = sure if isinstance(sure, Column) else F.lit(sure)
+        rule = F.when(fits, i) if rule is None else rule.when(fits, i)
+        technique = F.when(here, what) if technique is None else technique.when(here, what)
+        confidence = F.when(here, sure) if confidence is None else confidence.when(here, sure)
+        reason = F.when(here, why) if reason is None else reason.when(here, why)
+    return df.withColumn("_rule", rule).select(
+        F.col("id").alias("unit_id"), F.col("_rule").isNotNull().alias("is_incident"), technique.cast("string").alias("technique"),
+        F.coalesce(confidence.cast("double"), F.lit(0.5)).alias("confidence"), F.coalesce(reason, F.lit("No rule matched.")).alias("reason"),
+    )
 
 
-def iam_after_failure(cfg: RuleConfig) -> Column:
-    e = F.col("raw.event")
-    why = _text("IAM Change After Login Failure: ", F.col("action"), " by ", F.coalesce(filled(e["username"]), e["source_ip"]), " which had recent console-login failures.")
-    return F.when(F.coalesce(F.col("after_failure"), F.lit(False)), verdict(True, "T1098", 0.8, why))
+# Reason texts are fixed values: they say what they must for a verdict's reader.
+def auth_verdicts(units: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    df = units.select("id", "actor", "action", "target", _count().alias("n"))
+    n, fits = F.col("n"), (F.col("action") == "ssh_failed_password") & (F.col("n") > cfg.ssh)
+    why = _text("SSH Brute Force: ", n, " failed SSH password attempts from ", F.col("actor"), f" (> {cfg.ssh} in window); target users ", F.col("target"), ".")
+    return _decided(df, (fits, "T1110.001", confidence_by_count(n, 0.75, 0.9, 0.99), why))
+
+
+def web_verdicts(units: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """An exploit's payload, then guessed logins, then a scanner, then a run of 404, then a sensitive path that was found."""
+    df = units.select("id", "actor", "target", "status", _count().alias("n"), candidate_paths().alias("_raw"), candidate_agents().alias("_agents"), statuses().alias("_statuses"))
+    df = df.withColumn("_paths", F.transform("_raw", F.lower))
+    detail = F.coalesce(
+        F.concat(F.lit("payload signature '"), _first(F.col("_paths"), C.EXPLOIT_PAYLOADS), F.lit("' in path")),
+        F.when(F.exists(F.concat("_paths", "_agents"), lambda x: x.contains(C.JNDI)), "Log4Shell/JNDI marker"),
+        F.when(F.exists("_raw", lambda x: x.rlike(C.COMMAND_INJECTION)), "OS command-injection pattern in path"),
+    )
+    said = lambda words: F.arrays_overlap("_statuses", F.array(*map(F.lit, words)))
+    df = df.select(
+        "id", "actor", "target", "status", "n", detail.alias("detail"), F.exists("_paths", lambda p: first_of(p, C.LOGIN_PATHS).isNotNull()).alias("login"),
+        said(C.AUTH_FAIL_STATUSES).alias("refused"), said(C.FOUND_STATUSES).alias("found"), _first(F.col("_agents"), C.SCANNERS).alias("scanner"), _first(F.col("_paths"), C.SENSITIVE_PATHS).alias("hit"),
+    )
+    n, who, what = F.col("n"), F.col("actor"), F.col("target")
+    return _decided(
+        df,
+        (F.col("detail").isNotNull(), "T1190", 0.95, _text("Web Exploit Attempt: ", F.col("detail"), " from ", who, " against ", what, ".")),
+        (F.col("login") & F.col("refused") & (n > cfg.web_login), "T1110", confidence_by_count(n, 0.8, 0.9, 0.97), _text("Web Login Brute Force: ", n, " failed web logins from ", who, " to ", what, f" (> {cfg.web_login} in window).")),
+        (F.col("scanner").isNotNull(), "T1595.002", 0.9, _text("Web Scanning: known scanner User-Agent '", F.col("scanner"), "' from ", who, ".")),
+        ((F.col("status") == "404") & (n > cfg.not_found), "T1595.002", confidence_by_count(n, 0.7, 0.85, 0.95), _text("Web Scanning: ", n, " HTTP 404 responses from ", who, f" (> {cfg.not_found} in window), consistent with directory brute force.")),
+        (F.col("hit").isNotNull() & F.col("found"), "T1083", 0.75, _text("Sensitive Path Access: request to '", F.col("hit"), "' returned a found status from ", who, ", consistent with file/directory discovery.")),
+    )
+
 
+def windows_verdicts(units: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    df = units.select("id", F.coalesce(filled(F.col("raw.event.new_account")), F.col("target")).alias("name"), windows_field(F.col("raw"), "host").alias("host"))
+    df = df.join(preceded_by_burst(units, cfg), "id", "left")
+    why = _text("Account Created After Failed Logons: new account '", F.col("name"), "' on ", F.col("host"), f" within {cfg.account_minutes}m of a failed-logon burst.")
+    return _decided(df, (F.coalesce("after_burst", F.lit(False)), "T1136.001", 0.9, why))
 
-ORDER = (web_exploit, web_login_brute_force, ssh_brute_force, account_after_failures, security_group_open, iam_after_failure, web_scan)
+
+def cloud_verdicts(units: DataFrame, cfg: RuleConfig = RuleConfig(), failures: DataFrame | None = None) -> DataFrame:
+    """A sensitive port opened to all addresses, then an IAM change after a failed login."""
+    e = F.col("raw.event")
+    df = units.select("id", "actor", "action", filled(e["username"]).alias("user"), e["source_ip"].alias("ip"), e["cidr"].alias("cidr"), port_of(e["port"]).alias("port"))
+    df = df.join(preceded_by_failure(units, failures), "id", "left")
+    data = F.col("port").isin(*C.DATABASE_PORTS)
+    opened = F.col("action").contains("security_group_rule") & (F.col("cidr") == C.OPEN_CIDR) & F.col("port").isin(*C.SENSITIVE_PORTS)
+    by_whom = _text("Security Group Opened to Internet: ", F.when(data, "database").otherwise("remote-access"), " port ", F.col("port"), f" exposed to {C.OPEN_CIDR} by ", F.coalesce("user", "actor"), ".")
+    changed = _text("IAM Change After Login Failure: ", F.col("action"), " by ", F.coalesce("user", "ip"), " which had recent console-login failures.")
+    return _decided(df, (opened, "T1562.007", F.when(data, 0.95).otherwise(0.9), by_whom), (F.coalesce("after_failure", F.lit(False)), "T1098", 0.8, changed))
 
 
 def rule_verdicts(units: DataFrame, cfg: RuleConfig = RuleConfig(), failures: DataFrame | None = None) -> DataFrame:
     """(unit_id, is_incident, technique, confidence, reason) for every unit; labels are never read."""
-    df = units.select("id", "source", "timestamp", "actor", "action", "target", "status", "raw")
-    df = df.join(preceded_by_burst(units, cfg), "id", "left").join(preceded_by_failure(units, failures), "id", "left")
-    df = df.withColumns({"_paths": candidate_paths(), "_raw_paths": candidate_paths(False), "_agents": candidate_agents(), "_statuses": statuses()})
-    benign = verdict(False, None, 0.5, "No rule matched.")
-    return df.select(F.col("id").alias("unit_id"), F.coalesce(*[rule(cfg) for rule in ORDER], benign).alias("v")).select("unit_id", "v.*")
+    of = lambda source: units.filter(F.col("source") == source)
+    rest = _decided(units.filter(~F.coalesce(F.col("source").isin(*C.SOURCES), F.lit(False))).select("id"), (F.lit(False), "", 0.5, F.lit("")))
+    out = auth_verdicts(of("linux_auth"), cfg).unionByName(web_verdicts(of("nginx_access"), cfg)).unionByName(windows_verdicts(of("windows_security"), cfg))
+    return out.unionByName(cloud_verdicts(of("cloud_audit"), cfg, failures)).unionByName(rest)
 
 
 def label_blind(labelled: DataFrame) -> DataFrame:

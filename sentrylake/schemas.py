@@ -11,7 +11,7 @@ EVENT_FIELDS = (
 )
 EVENT = "struct<" + ",".join(f"{f}:string" for f in EVENT_FIELDS) + ">"
 RAW_FIELDS = {
-    "count": "bigint", "window_start": "timestamp", "window_end": "timestamp", "sample_lines": "array<string>", "distinct_users": "array<string>",
+    "count": "bigint", "window_start": "timestamp", "window_end": "timestamp", "sample_lines": "array<string>", "distinct_users": "array<string>", "distinct_targets": "array<string>",
     "user_agents": "array<string>", "sample_paths": "array<string>", "status_sequence": "array<string>", "final_status": "string", "line": "string",
     "path": "string", "user_agent": "string", "command": "string", "event_code": "string", "host": "string", "event": EVENT,
     "events": f"array<{EVENT}>", "source": "string", "synthetic": "boolean",

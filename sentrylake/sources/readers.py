@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake import config as C
-from sentrylake.schemas import EVENT_FIELDS, LABELED, PREDICTION
+from sentrylake.schemas import EVENT_FIELDS, LABELED, PREDICTION, UNIT_FIELDS
+
+
+def _named() -> Column:
+    """The name of a row's file, or of its folder where Spark wrote the file as a part."""
+    file, folder = F.col("_metadata.file_name"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return F.when(file.startswith("part-"), F.regexp_replace(folder, "^run_key=", "")).otherwise(file)
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -15,7 +21,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     line_no rises with the order in each file split; give files with their own
     order column to the parsers directly where exact order across splits matters.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(_named().alias("file"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
     return lines.filter(F.length("line") > 0)
 
 
@@ -38,8 +44,22 @@ def json_records(lines: DataFrame) -> DataFrame:
 
 
 def labelled_units(spark: SparkSession, path: str) -> DataFrame:
-    """The labelled units; a corrupt line or an empty table is an error."""
-    df = spark.read.schema(LABELED).option("mode", "FAILFAST").json(path)
+    """The labelled units; a corrupt line, an unknown field, an empty action, an unknown source or label, or an empty table is an error."""
+    lines = spark.read.text(path)
+    row = lambda c, kind: F.from_json(c, kind, {"mode": "FAILFAST"})
+    parsed = lines.select(row(F.col("value"), LABELED).alias("r"), F.map_keys(F.from_json("value", "map<string,string>")).alias("k"), F.map_keys(F.from_json(F.get_json_object("value", "$.event"), "map<string,string>")).alias("e"))
+    known = F.array(*[F.lit(f) for f in ("unit_id", "event", "label", "technique", "rationale")])
+    fields = F.array(*[F.lit(f) for f in ("id", *(f for f in UNIT_FIELDS if f != "line_no"))])
+    event = F.col("r.event")
+    wrong = (
+        F.when(F.size(F.array_except("k", known)) > 0, F.concat(F.lit("unknown field "), F.array_join(F.array_except("k", known), ", ")))
+        .when(F.size(F.array_except("e", fields)) > 0, F.concat(F.lit("unknown field of an event "), F.array_join(F.array_except("e", fields), ", ")))
+        .when(F.coalesce(F.trim(event["action"]), F.lit("")) == "", "empty action")
+        .when(~F.coalesce(event["source"].isin(*C.SOURCES), F.lit(False)), "unknown source")
+        .when(~F.coalesce(F.col("r.label").isin("incident", "benign"), F.lit(False)), "unknown label")
+    )
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(" in unit "), F.coalesce("r.unit_id", F.lit("?")))).cast("string")).otherwise(F.col("r.unit_id"))
+    df = parsed.select(checked.alias("unit_id"), "r.event", "r.label", "r.technique", "r.rationale")
     if df.isEmpty():
         raise ValueError(f"no labelled units in {path}")
     return df
@@ -48,7 +68,7 @@ def labelled_units(spark: SparkSession, path: str) -> DataFrame:
 def prediction_runs(spark: SparkSession, path: str) -> DataFrame:
     """All runs of a folder: (run_key, line_no, unit_id, is_incident, technique); the run is the file's stem."""
     df = spark.read.schema(PREDICTION).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
-    return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("run_key"), F.monotonically_increasing_id().alias("line_no"), "unit_id", "is_incident", "technique")
+    return df.select(F.regexp_extract(_named(), r"^(.*?)(\.[^.]*)?$", 1).alias("run_key"), F.monotonically_increasing_id().alias("line_no"), "unit_id", "is_incident", "technique")
 
 
 def stored_responses(spark: SparkSession, path: str) -> DataFrame:
