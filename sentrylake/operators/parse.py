@@ -15,7 +15,8 @@ def groups(line: Column, pattern: str, many: int) -> Column:
     A line is matched once, whatever the number of groups. Groups are parted by line
     ends, which no line holds.
     """
-    return F.split(F.regexp_replace(line, pattern, "\n".join(f"${i}" for i in range(1, many + 1))), "\n")
+    parts = F.split(F.regexp_replace(line, pattern, "\n".join(f"${i}" for i in range(1, many + 1))), "\n")
+    return F.explode(F.array(parts))  # one row; later filters can't bring the match back into themselves
 
 
 def auth_records(lines: DataFrame, year: int = 2026) -> DataFrame:

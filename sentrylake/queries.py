@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.config import Scenario
 from sentrylake.functions import text as T
 from sentrylake.operators import bursts, correlate, disagree, heuristic, hybrid, labelling, numbering, parse, responses, rules, scoring
+from sentrylake.plans.detection import detect
+from sentrylake.sources import readers, writers
 from sentrylake.sources.readers import json_records
+from sentrylake.sources.scratch import scratch_path
 from sentrylake.sources.writers import complete_predictions
 from sentrylake.streaming import alerts
 
@@ -121,8 +125,6 @@ def auth_units(spark, sf_dir):
 
 
 def auth_units_two_pass(spark, sf_dir):
-    from sentrylake.sources.scratch import scratch_path
-
     u = bursts.auth_units(parse.auth_records(auth_lines(spark, sf_dir), YEAR))
     u = numbering.number_units_at_scale(u, 16, scratch_path(spark, "units"))
     return u.select("id", _sec(), "actor", "action", "target", "status", F.col("raw.count").alias("n"))
@@ -138,9 +140,69 @@ def auth_heuristic(spark, sf_dir):
     return v.groupBy("is_incident", "technique", "confidence", "reason").agg(F.count("*").alias("n"))
 
 
+#: Addresses of the derived logs as known attackers.
+KNOWN = Scenario(
+    ssh=(("10.0.0.1", "T1110.001", "a"), ("10.0.0.2", "T1110.001", "b")), compromised=(("10.0.0.1", "T1078", "c"),), scanners=(("10.0.0.3", "T1595.002", "d"),),
+    web_logins=(("10.0.0.5", "T1110", "e"),), logons=(("H1", "10.0.0.1", "T1110.001", "f"),),
+)
+
+
+def _auth_labelled(spark, sf_dir):
+    return labelling.assembled(labelling.label_auth(parse.auth_records(auth_lines(spark, sf_dir), YEAR), scenario=KNOWN))
+
+
 def auth_labels(spark, sf_dir):
-    rows = labelling.assembled(labelling.label_auth(parse.auth_records(auth_lines(spark, sf_dir), YEAR)))
-    return rows.groupBy(F.col("event.action").alias("action"), "label").agg(F.count("*").alias("n"), F.min("unit_id").alias("first_id"))
+    return _auth_labelled(spark, sf_dir).groupBy(F.col("event.action").alias("action"), "label", "technique").agg(F.count("*").alias("n"), F.min("unit_id").alias("first_id"))
+
+
+def _label_counts(labelled, *by):
+    return labelled.groupBy("action", *by, "label", "technique").agg(F.count("*").alias("n"))
+
+
+def access_labels(spark, sf_dir):
+    return _label_counts(labelling.label_access(parse.access_records(access_lines(spark, sf_dir)), scenario=KNOWN))
+
+
+def login_labels(spark, sf_dir):
+    return _label_counts(labelling.label_login_posts(parse.access_records(access_lines(spark, sf_dir)), scenario=KNOWN), "status")
+
+
+def windows_labels(spark, sf_dir):
+    return _label_counts(labelling.label_windows(json_records(windows_lines(spark, sf_dir)), scenario=KNOWN))
+
+
+def cloud_labels(spark, sf_dir):
+    return _label_counts(labelling.label_cloud(_cloud_records(spark, sf_dir)))
+
+
+def label_blind_verdicts(spark, sf_dir):
+    """Rules over labelled rows see the units alone."""
+    v = rules.rule_verdicts(rules.label_blind(_auth_labelled(spark, sf_dir)))
+    return v.groupBy("is_incident", "technique", "reason").agg(F.count("*").alias("n"))
+
+
+def detected_folder(spark, sf_dir):
+    """Rules over a folder of log files of all four sources."""
+    folder = scratch_path(spark, "logs")
+    for name, lines in (("linux_auth.log", auth_lines), ("nginx_access.log", access_lines), ("windows_security.jsonl", windows_lines), ("cloud_audit.jsonl", cloud_lines)):
+        lines(spark, sf_dir).select("line").write.text(f"{folder}/{name}")
+    units, verdicts = detect(spark, folder, year=YEAR)
+    v = verdicts.join(units.select(F.col("id").alias("unit_id"), "source", "action"), "unit_id")
+    return v.groupBy("source", "action", "is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
+
+
+def left_to_judge(spark, sf_dir):
+    u = _auth_units(spark, sf_dir)
+    return hybrid.left_to_judge(u, rules.rule_verdicts(u)).groupBy("action").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def first_ids(spark, sf_dir):
+    return disagree.first_units(_auth_units(spark, sf_dir), 20).select("id", "action")
+
+
+def burst_evidence(spark, sf_dir):
+    u = _auth_units(spark, sf_dir).filter("action = 'ssh_failed_password'")
+    return u.select("id", T.evidence(F.struct("id", "source", "timestamp", "actor", "action", "target", "status", "raw")).alias("block"))
 
 
 def access_records(spark, sf_dir):
@@ -244,7 +306,7 @@ def cloud_units(spark, sf_dir):
 def cloud_rules(spark, sf_dir):
     records = _cloud_records(spark, sf_dir)
     u = numbering.number_units(bursts.cloud_units(records))
-    v = rules.rule_verdicts(u, failures=_cloud_failures(records))
+    v = rules.rule_verdicts(u, failures=correlate.console_failures(u, records))
     return v.join(u.select(F.col("id").alias("unit_id"), "actor", _sec()), "unit_id").filter("is_incident").select("actor", "sec", "technique", "confidence")
 
 
@@ -274,7 +336,8 @@ def _runs(spark, sf_dir):
     first = d.filter("doc_id % 10 <> 9").select(F.col("doc_id").cast("string").alias("unit_id"), F.explode(each).alias("r"), F.lit(1).alias("line_no"), (F.col("doc_id") % 2).alias("tech"))
     again = first.filter(F.col("unit_id").cast("long") % 7 == 0).withColumn("line_no", F.lit(2))
     rows = first.unionByName(again).select("unit_id", "r.run_key", "line_no", F.when(F.col("line_no") == 2, ~F.col("r.said")).otherwise(F.col("r.said")).alias("is_incident"), _s(" t", F.col("tech"), " ").alias("technique"))
-    return rows.unionByName(rows.limit(50).withColumn("unit_id", _s("x", F.col("unit_id"))))
+    unknown = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(_s("x", F.col("conv_id"), "-", F.col("turn")).alias("unit_id"), F.lit("rules").alias("run_key"), F.lit(1).alias("line_no"), F.lit(True).alias("is_incident"), F.lit("t1").alias("technique"))
+    return rows.unionByName(unknown)
 
 
 RUNS_SQL = """WITH l AS (SELECT CAST(b.doc_id AS VARCHAR) AS unit_id, b.doc_id, d.source, b.toxic = 1 AS truth, CASE WHEN b.toxic = 1 AND b.doc_id % 4 <> 0 THEN 'T' || (b.doc_id % 3) END AS technique,
@@ -339,7 +402,39 @@ def disagreements(spark, sf_dir):
 
 def disagreement_examples(spark, sf_dir):
     x = disagree.example_sets(_labelled(spark, sf_dir), _run(spark, sf_dir, "rules"), _run(spark, sf_dir, "llm_v1"))
-    return x.select("set", "place", "class", "unit_id", "source", "truth")
+    path = scratch_path(spark, "examples")
+    writers.write_examples(x, path)
+    return spark.read.schema(x.schema).json(path).withColumn("raw", F.array_join("raw", "|"))
+
+
+def strict_labels(spark, sf_dir):
+    """Labelled units, written and read back by the strict reader."""
+    path = scratch_path(spark, "labelled")
+    writers.write_corpus(_auth_labelled(spark, sf_dir), path)
+    rows = readers.labelled_units(spark, path)
+    return rows.groupBy(F.col("event.source").alias("source"), F.col("event.action").alias("action"), "label").agg(F.count("*").alias("n"), F.min("unit_id").alias("first_id"))
+
+
+def stored_runs(spark, sf_dir):
+    """Runs, written as prediction files and read back by name."""
+    path = scratch_path(spark, "runs")
+    for name in ("rules", "hybrid"):
+        writers.write_predictions(_labels(spark, sf_dir), _run(spark, sf_dir, name), name, f"{path}/{name}")
+    return readers.prediction_runs(spark, path).groupBy("run_key", "is_incident", "technique").agg(F.count("*").alias("n"))
+
+
+def report_tables(spark, sf_dir):
+    """Scores, written as CSV and JSON and read back."""
+    path = scratch_path(spark, "report")
+    writers.write_report(scoring.scores(_judged(spark, sf_dir)).select("run_key", "tp", "fp", "fn", "tn"), path)
+    kind = "run_key string, tp long, fp long, fn long, tn long"
+    return spark.read.schema(kind).option("header", True).csv(f"{path}/csv").join(spark.read.schema("run_key string, tp long").json(f"{path}/json").withColumnRenamed("tp", "tp_json"), "run_key")
+
+
+def run_names(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = _s(F.col("lang"), ":7b-", F.col("doc_id") % 3)
+    return d.select("doc_id", T.model_key(F.col("source"), model).alias("model_key"), T.run_key(F.col("source"), model, F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("3")).alias("run_key"))
 
 
 def hybrid_run(spark, sf_dir):
@@ -376,7 +471,7 @@ def parsed_responses(spark, sf_dir):
 def free_text_alarms(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     p = responses.parse_responses(c.select("conv_id", "turn", "text"), "text")
-    return p.filter("text not like '%{%'").groupBy("is_incident", F.round("confidence", 3).alias("confidence")).agg(F.count("*").alias("n"))
+    return p.groupBy("is_incident", F.round("confidence", 3).alias("confidence")).agg(F.count("*").alias("n"))
 
 
 def prompt_keys(spark, sf_dir):
@@ -388,7 +483,10 @@ def prompt_keys(spark, sf_dir):
 def responses_matched(spark, sf_dir):
     u = _auth_units(spark, sf_dir).filter("action = 'ssh_failed_password'")
     asked = responses.prompts(u, {"v1": "Judge:\n{event}"}, "local", "m")
-    stored = asked.filter(F.pmod(F.crc32(F.col("unit_id").cast("binary")), F.lit(2)) == 0).select("key", F.lit('{"is_incident": true, "technique": "T1110", "confidence": 0.5}').alias("response"))
+    known = asked.filter(F.col("unit_id").rlike("[02468]$")).select("provider", "model", "prompt_version", "key", "unit_id", F.lit('{"is_incident": true, "technique": "T1110", "confidence": 0.5}').alias("response"))
+    path = scratch_path(spark, "responses")
+    writers.append_responses(None, known, path)
+    stored = readers.stored_responses(spark, path)
     answer = lambda texts: ['{"is_incident": false}' for _ in texts]
     v = responses.classify(asked, stored, answer)
     return v.groupBy("is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
@@ -401,8 +499,8 @@ def url_payloads(spark, sf_dir):
 
 
 def clipped_texts(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
-    return d.select("doc_id", F.length(T.clipped(F.col("text"), 160)).alias("len"), F.sha2(T.squeezed(F.col("text")), 256).alias("squeezed"), T.slug(F.substring("text", 1, 20)).alias("slug"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.length(T.clipped(F.col("text"), 160)).alias("len"), F.sha2(T.squeezed(F.col("text")), 256).alias("squeezed"), F.sha2(T.slug(F.col("text")), 256).alias("slug"))
 
 
 def ssh_alerts(spark, sf_dir):
@@ -425,10 +523,17 @@ QUERIES = {
         accounts_after_failed_logons, cloud_units, cloud_rules, cloud_failures_by_user, changes_by_failed_users, run_scores, run_summary, f1_matrix, error_breakdown,
         top_errors, disagreements, disagreement_examples, hybrid_run, complete_run, run_drift, unit_counts, parsed_responses, free_text_alarms, prompt_keys,
         responses_matched, url_payloads, clipped_texts, ssh_alerts, accounts_after_alerts,
+        access_labels, login_labels, windows_labels, cloud_labels, label_blind_verdicts, detected_folder, left_to_judge, first_ids, burst_evidence, strict_labels,
+        stored_runs, report_tables, run_names,
     )
 }
 
-_CONF = "CASE WHEN n >= 100 THEN {} WHEN n >= 30 THEN {} ELSE {} END"
+LABELLED_SQL = ", lab AS (SELECT *, CASE WHEN action = 'ssh_failed_password' AND actor IN ('10.0.0.1', '10.0.0.2') THEN 'T1110.001' WHEN action = 'ssh_accepted_password' AND actor = '10.0.0.1' THEN 'T1078' END AS technique FROM units) "
+WEB_RULED_SQL = """, v AS (
+            SELECT CASE WHEN target LIKE '%UNION%' THEN 'T1190' WHEN action = 'http_post' AND n > 20 AND contains(seq, '401') THEN 'T1110'
+                WHEN u.actor IN (SELECT ip FROM p WHERE ua = 'nikto/2.1') THEN 'T1595.002' WHEN status = '404' AND n > 30 THEN 'S' WHEN target = '/admin' THEN 'T1083' END AS c, n, action FROM units u)
+        """
+CONF = "CASE WHEN n >= 100 THEN {} WHEN n >= 30 THEN {} ELSE {} END"
 ORACLES = {
     "auth_records": "WITH " + E_SQL + """
         SELECT event_id AS line_no, CASE t WHEN 'error' THEN CASE WHEN k < 10 THEN 'ssh_invalid' ELSE 'ssh_fail' END WHEN 'click' THEN 'ssh_accepted' WHEN 'view' THEN 'sudo_command' ELSE 'sudo_denied' END AS kind,
@@ -438,20 +543,59 @@ ORACLES = {
     "ssh_bursts": AUTH_SQL + "SELECT ip AS actor, n, t0, t1, array_to_string(users, ',') AS users, CAST(least(n, 4) AS INTEGER) AS samples, n > 4 AS cut FROM g",
     "auth_units": AUTH_SQL + "SELECT * FROM units",
     "auth_units_two_pass": AUTH_SQL + "SELECT * FROM units",
-    "ssh_brute_force": AUTH_SQL + "SELECT id AS unit_id, 'T1110.001' AS technique, CAST(" + _CONF.format(0.99, 0.9, 0.75) + """ AS DOUBLE) AS confidence,
+    "ssh_brute_force": AUTH_SQL + "SELECT id AS unit_id, 'T1110.001' AS technique, CAST(" + CONF.format(0.99, 0.9, 0.75) + """ AS DOUBLE) AS confidence,
         'SSH Brute Force: ' || n || ' failed SSH password attempts from ' || actor || ' (> 10 in window); target users ' || target || '.' AS reason FROM units WHERE n > 10""",
     "auth_heuristic": AUTH_SQL + """, v AS (SELECT CASE WHEN action = 'ssh_failed_password' THEN CASE WHEN n >= 8 THEN 1 ELSE 2 END WHEN action = 'ssh_accepted_password' THEN 3 WHEN action = 'sudo_not_in_sudoers' THEN 4 ELSE 5 END AS c FROM units)
         SELECT c = 1 AS is_incident, CASE WHEN c = 1 THEN 'T1110.001' END AS technique, CAST(CASE c WHEN 1 THEN 0.85 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 ELSE 0.5 END AS DOUBLE) AS confidence,
-            '[mock] ' || CASE c WHEN 1 THEN 'sustained SSH failed-password burst from one IP' WHEN 2 THEN 'few SSH failures: below a brute-force bar' WHEN 3 THEN 'successful SSH login with no visible prior guessing'
-            WHEN 4 THEN 'single denied sudo: suspicious but not conclusive alone' ELSE 'no incident signal for action ''sudo_command''' END AS reason, count(*) AS n FROM v GROUP BY c""",
-    "auth_labels": AUTH_SQL + "SELECT action, 'benign' AS label, count(*) AS n, min(id) AS first_id FROM units GROUP BY action",
+            '[mock] ' || CASE c WHEN 1 THEN 'eight or more rejected SSH passwords by one client' WHEN 2 THEN 'a handful of rejected SSH passwords' WHEN 3 THEN 'an SSH login, no guessing in view'
+            WHEN 4 THEN 'one refused sudo call proves little' ELSE 'no branch looks at action ''sudo_command''' END AS reason, count(*) AS n FROM v GROUP BY c""",
+    "auth_labels": AUTH_SQL + LABELLED_SQL + "SELECT action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n, min(id) AS first_id FROM lab GROUP BY action, technique",
+    "strict_labels": AUTH_SQL + LABELLED_SQL + "SELECT 'linux_auth' AS source, action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, count(*) AS n, min(id) AS first_id FROM lab GROUP BY 1, 2, 3",
+    "label_blind_verdicts": AUTH_SQL + """SELECT coalesce(n > 10, FALSE) AS is_incident, CASE WHEN n > 10 THEN 'T1110.001' END AS technique,
+        CASE WHEN n > 10 THEN 'SSH Brute Force: ' || n || ' failed SSH password attempts from ' || actor || ' (> 10 in window); target users ' || target || '.' ELSE 'No rule matched.' END AS reason, count(*) AS n FROM units GROUP BY 1, 2, 3""",
+    "left_to_judge": AUTH_SQL + "SELECT action, count(*) AS n, min(id) AS first_id FROM units WHERE coalesce(n <= 10, TRUE) GROUP BY action",
+    "first_ids": AUTH_SQL + "SELECT id, action FROM units ORDER BY id LIMIT 20",
+    "burst_evidence": AUTH_SQL + """, ln AS (SELECT ip, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn, strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (u % 3) || ' sshd[7]: '
+            || CASE WHEN k < 10 THEN 'Invalid user ' || who || ' from ' || ip || ' port 22' ELSE 'Failed password for ' || who || ' from ' || ip || ' port 22 ssh2' END AS line FROM f),
+        sm AS (SELECT ip, string_agg('  - ' || line, chr(10) ORDER BY rn) AS txt FROM ln JOIN g USING (ip) WHERE rn <= CASE WHEN g.n > 4 THEN 3 ELSE 4 END GROUP BY ip)
+        SELECT id, 'source: linux_auth' || chr(10) || 'action: ssh_failed_password' || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: failure' || chr(10)
+            || 'window: ' || strftime(make_timestamp(t0 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 .. ' || strftime(make_timestamp(t1 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || 'count: ' || g.n || chr(10)
+            || 'targets: ' || array_to_string(users[1:6], ', ') || CASE WHEN len(users) > 6 THEN ', ... (+' || (len(users) - 6) || ' more)' ELSE '' END || chr(10)
+            || 'sample_lines:' || chr(10) || txt || CASE WHEN g.n > 4 THEN chr(10) || '  - ... (+' || (g.n - 3) || ' more lines)' ELSE '' END AS block
+        FROM units un JOIN g ON g.ip = un.actor JOIN sm ON sm.ip = g.ip WHERE action = 'ssh_failed_password'""",
+    "access_labels": WEB_SQL + """, q AS (SELECT *, payload AS tech FROM p),
+        pf AS (SELECT ip, bool_or(tech IS NOT NULL) AS attack, count(*) AS n, bool_and(status = '404') AS lost, arg_min(ua, (sec, event_id)) AS ua0 FROM q GROUP BY ip),
+        rt AS (SELECT ip, CASE WHEN ip = '10.0.0.3' THEN 'scan' WHEN attack THEN 'requests' WHEN lost AND n >= 20 AND ua0 LIKE 'Mozilla%' THEN 'crawl' ELSE 'plain' END AS way FROM pf),
+        z AS (SELECT 'http_get' AS action, CASE WHEN way = 'scan' THEN 'T1595.002' END AS technique FROM rt WHERE way IN ('scan', 'crawl') UNION ALL SELECT 'http_' || lower(method), tech FROM q JOIN rt USING (ip) WHERE way IN ('requests', 'plain'))
+        SELECT action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
+    "login_labels": WEB_SQL + """, z AS (SELECT 'http_post' AS action, '401' AS status, 'T1110' AS technique FROM p WHERE ip = '10.0.0.5' GROUP BY ip UNION ALL SELECT 'http_' || lower(method), status, NULL FROM p WHERE ip <> '10.0.0.5')
+        SELECT action, status, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
+    "windows_labels": WINDOWS_SQL + """, z AS (SELECT 'logon_failure' AS action, 'T1110.001' AS technique FROM r WHERE code = '4625' AND host = 'H1' AND src = '10.0.0.1' GROUP BY host
+            UNION ALL SELECT 'logon_failure', NULL FROM r WHERE code = '4625' AND NOT (host = 'H1' AND coalesce(src, '') = '10.0.0.1')
+            UNION ALL SELECT CASE code WHEN '4624' THEN 'logon_success' WHEN '4688' THEN 'process_creation' ELSE 'user_account_created' END, CASE WHEN code = '4720' THEN 'T1136.001' END FROM r WHERE code IN ('4624', '4688', '4720'))
+        SELECT action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
+    "cloud_labels": CLOUD_SQL + """, z AS (SELECT 'console_login' AS action, NULL AS technique FROM r WHERE t = 'error' HAVING count(*) > 0
+            UNION ALL SELECT action, CASE WHEN action = 'security_group_rule_added' AND cidr = '0.0.0.0/0' AND port IN (22, 3306) THEN 'T1562.007' WHEN action = 'iam_policy_changed' AND who IN (SELECT who FROM r WHERE t = 'error') THEN 'T1098' END FROM r WHERE t <> 'error')
+        SELECT action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
+    "detected_folder": "SELECT source, action, technique IS NOT NULL AS is_incident, technique, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n FROM (SELECT 'linux_auth' AS source, * FROM (" + AUTH_SQL + """
+            SELECT action, CASE WHEN n > 10 THEN 'T1110.001' END AS technique, CASE WHEN n > 10 THEN """ + CONF.format(0.99, 0.9, 0.75) + """ ELSE 0.5 END AS confidence FROM units)
+        UNION ALL SELECT 'nginx_access', * FROM (""" + WEB_SQL + WEB_RULED_SQL + """SELECT action, CASE WHEN c = 'S' THEN 'T1595.002' ELSE c END, CASE WHEN c = 'T1190' THEN 0.95 WHEN c = 'T1110' THEN """ + CONF.format(0.97, 0.9, 0.8) + """
+            WHEN c = 'T1595.002' THEN 0.9 WHEN c = 'S' THEN """ + CONF.format(0.95, 0.85, 0.7) + """ WHEN c = 'T1083' THEN 0.75 ELSE 0.5 END FROM v)
+        UNION ALL SELECT 'windows_security', * FROM (""" + WINDOWS_SQL + """, m AS (SELECT action, code = '4720' AND EXISTS (SELECT 1 FROM units b WHERE b.code = '4625' AND b.n > 3 AND b.host = u.host AND u.sec - b.sec BETWEEN 0 AND 3600) AS hit FROM units u)
+            SELECT action, CASE WHEN hit THEN 'T1136.001' END, CASE WHEN hit THEN 0.9 ELSE 0.5 END FROM m)
+        UNION ALL SELECT 'cloud_audit', * FROM (""" + CLOUD_SQL + """, m AS (SELECT action, CASE WHEN t = 'click' AND cidr = '0.0.0.0/0' AND port IN (22, 3306) THEN 'T1562.007'
+                WHEN action = 'iam_policy_changed' AND EXISTS (SELECT 1 FROM r f WHERE f.t = 'error' AND f.sec <= c.sec AND (f.who = c.who OR f.ip = c.ip)) THEN 'T1098' END AS x, port FROM r c WHERE t <> 'error'
+                UNION ALL SELECT 'console_login', NULL, NULL FROM r WHERE t = 'error' HAVING count(*) > 0)
+            SELECT action, x, CASE WHEN x = 'T1098' THEN 0.8 WHEN x IS NULL THEN 0.5 WHEN port = 3306 THEN 0.95 ELSE 0.9 END FROM m)) GROUP BY ALL""",
+    "responses_matched": AUTH_SQL + """SELECT regexp_matches(id, '[02468]$') AS is_incident, CASE WHEN regexp_matches(id, '[02468]$') THEN 'T1110' END AS technique, CAST(0.5 AS DOUBLE) AS confidence, count(*) AS n FROM units WHERE action = 'ssh_failed_password' GROUP BY 1, 2""",
+    "stored_runs": RUNS_SQL + "SELECT run_key, said AS is_incident, said_technique AS technique, count(*) AS n FROM j WHERE run_key IN ('rules', 'hybrid') GROUP BY ALL",
+    "report_tables": RUNS_SQL + "SELECT run_key, tp, fp, fn, tn, tp AS tp_json FROM c",
+    "run_names": """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(source, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '__' || lang || '_7b_' || (doc_id % 3) AS mk FROM documents)
+        SELECT doc_id, mk AS model_key, mk || CASE WHEN doc_id % 2 = 0 THEN '__v1' ELSE '__v3' END AS run_key FROM n""",
     "access_records": WEB_SQL + "SELECT event_id AS line_no, ip, sec, method, path, status, ua, payload, path = '/login' AS login FROM p",
     "web_units": WEB_SQL + "SELECT * FROM units",
-    "web_rules": WEB_SQL + """, v AS (
-            SELECT CASE WHEN target LIKE '%UNION%' THEN 'T1190' WHEN action = 'http_post' AND n > 20 AND contains(seq, '401') THEN 'T1110'
-                WHEN u.actor IN (SELECT ip FROM p WHERE ua = 'nikto/2.1') THEN 'T1595.002' WHEN status = '404' AND n > 30 THEN 'S' WHEN target = '/admin' THEN 'T1083' END AS c, n FROM units u)
-        SELECT c IS NOT NULL AS is_incident, CASE WHEN c = 'S' THEN 'T1595.002' ELSE c END AS technique, CAST(CASE WHEN c = 'T1190' THEN 0.95 WHEN c = 'T1110' THEN """ + _CONF.format(0.97, 0.9, 0.8) + """
-            WHEN c = 'T1595.002' THEN 0.9 WHEN c = 'S' THEN """ + _CONF.format(0.95, 0.85, 0.7) + " WHEN c = 'T1083' THEN 0.75 ELSE 0.5 END AS DOUBLE) AS confidence, count(*) AS n FROM v GROUP BY 1, 2, 3",
+    "web_rules": WEB_SQL + WEB_RULED_SQL + """SELECT c IS NOT NULL AS is_incident, CASE WHEN c = 'S' THEN 'T1595.002' ELSE c END AS technique, CAST(CASE WHEN c = 'T1190' THEN 0.95 WHEN c = 'T1110' THEN """ + CONF.format(0.97, 0.9, 0.8) + """
+            WHEN c = 'T1595.002' THEN 0.9 WHEN c = 'S' THEN """ + CONF.format(0.95, 0.85, 0.7) + " WHEN c = 'T1083' THEN 0.75 ELSE 0.5 END AS DOUBLE) AS confidence, count(*) AS n FROM v GROUP BY 1, 2, 3",
     "windows_units": WINDOWS_SQL + "SELECT sec, actor, action, target, n FROM units",
     "accounts_after_failed_logons": WINDOWS_SQL + """SELECT target, sec, 'T1136.001' AS technique, CAST(0.9 AS DOUBLE) AS confidence,
             'Account Created After Failed Logons: new account ''' || target || ''' on ' || host || ' within 60m of a failed-logon burst.' AS reason
@@ -461,7 +605,7 @@ ORACLES = {
         UNION ALL SELECT arg_min(sec, event_id), arg_min(ip, event_id), 'console_login', arg_min(who, event_id), 'failure', least(count(*), 1000000) FROM r WHERE t = 'error' HAVING count(*) > 0""",
     "cloud_rules": CLOUD_SQL + """SELECT ip AS actor, sec, 'T1562.007' AS technique, CAST(CASE WHEN port = 3306 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM r WHERE t = 'click' AND cidr = '0.0.0.0/0' AND port IN (22, 3306)
         UNION ALL SELECT ip, sec, 'T1098', CAST(0.8 AS DOUBLE) FROM r c WHERE action = 'iam_policy_changed' AND EXISTS (SELECT 1 FROM r f WHERE f.t = 'error' AND f.sec <= c.sec AND (f.who = c.who OR f.ip = c.ip))""",
-    "cloud_failures_by_user": CLOUD_SQL + "SELECT arg_min(ip, event_id) AS actor, who AS target, count(*) AS n, CAST(least(count(*), 1000) AS INTEGER) AS nested, arg_min(sec, event_id) AS sec FROM r WHERE t = 'error' GROUP BY who",
+    "cloud_failures_by_user": CLOUD_SQL + "SELECT arg_min(ip, event_id) AS actor, who AS target, count(*) AS n, CAST(count(*) AS INTEGER) AS nested, arg_min(sec, event_id) AS sec FROM r WHERE t = 'error' GROUP BY who",
     "changes_by_failed_users": CLOUD_SQL + "SELECT event_id AS line_no, who AS username FROM r c WHERE action = 'iam_policy_changed' AND who IN (SELECT who FROM r WHERE t = 'error')",
     "run_scores": RUNS_SQL + """SELECT run_key, n_units, n_incidents, n_benign, n_predicted, n_missing, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
         round(fp / n_units * 1000, 6) AS fp_per_1000, round(good / nullif(known, 0), 6) AS technique_accuracy FROM m""",
@@ -481,8 +625,12 @@ ORACLES = {
         f AS (SELECT *, row_number() OVER (PARTITION BY class, source ORDER BY unit_id) AS rn FROM d WHERE class IS NOT NULL),
         p AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY rn > 1, source, unit_id) AS pick FROM f),
         o AS (SELECT *, CASE WHEN class = 'rules_miss' THEN 'helps' ELSE 'misfires' END AS "set" FROM p WHERE pick <= 3),
-        n AS (SELECT *, row_number() OVER (PARTITION BY "set" ORDER BY class <> 'false_alarm', pick) AS place FROM o)
-        SELECT "set", CAST(place AS INTEGER) AS place, class, unit_id, source, CASE WHEN truth THEN 'incident' ELSE 'benign' END AS truth FROM n WHERE place <= 3""",
+        n AS (SELECT *, row_number() OVER (PARTITION BY "set" ORDER BY class <> 'false_alarm', pick) AS place FROM o),
+        t AS (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS q FROM n JOIN (SELECT unit_id, text, technique FROM l) USING (unit_id) WHERE place <= 3),
+        y AS (SELECT *, coalesce(nullif(regexp_extract(q, '^(.+?[.!?])(\\s|$)', 1), ''), q) AS sentence FROM t)
+        SELECT "set", CAST(place AS INTEGER) AS place, class, unit_id, source, CASE WHEN truth THEN 'incident' ELSE 'benign' END AS truth, technique, 'read' AS action, source AS actor,
+            class = 'second_miss' AS rules_is_incident, class <> 'second_miss' AS llm_is_incident, CASE WHEN length(sentence) <= 200 THEN sentence ELSE rtrim(substr(sentence, 1, 199)) || '…' END AS why,
+            CASE WHEN length(q) <= 160 THEN q ELSE rtrim(substr(q, 1, 159)) || '…' END AS raw FROM y""",
     "hybrid_run": """WITH d AS (SELECT CASE WHEN doc_id % 7 = 0 THEN n_chars % 3 <> 0 ELSE n_chars % 3 = 0 END AS r, CASE WHEN doc_id % 7 = 0 THEN n_chars % 2 <> 0 ELSE n_chars % 2 = 0 END AS s FROM documents WHERE doc_id % 10 <> 9)
         SELECT r OR s AS is_incident, CASE WHEN r THEN '[hybrid:rules] rules' ELSE '[hybrid:llm] llm_v1' END AS reason, count(*) AS n FROM d GROUP BY 1, 2""",
     "complete_run": RUNS_SQL + "SELECT unit_id, said AS is_incident, said_technique AS technique FROM j WHERE run_key = 'rules'",
@@ -496,7 +644,7 @@ ORACLES = {
             round(CAST(CASE WHEN t IN ('error', 'click') THEN CASE WHEN k > 1 THEN k / 100 ELSE k END WHEN t = 'purchase' THEN 0.2 ELSE 0.3 END AS DOUBLE), 6) AS confidence,
             CAST(CASE WHEN t IN ('error', 'click') THEN length('r' || k) WHEN t = 'view' THEN length('unparseable model output; {"is_incident": tru') WHEN t = 'signup' THEN length('unparseable model output; The attack is plain to see.')
             ELSE length('unparseable model output; empty response') END AS INTEGER) AS len FROM e""",
-    "free_text_alarms": """WITH a AS (SELECT regexp_matches(lower(text), 'not an incident|benign|no incident|false') AS clear, regexp_matches(lower(text), 'incident|malicious|attack|brute|exploit') AS alarm FROM conversations WHERE text NOT LIKE '%{%')
+    "free_text_alarms": """WITH a AS (SELECT regexp_matches(lower(text), 'not an incident|benign|no incident|false') AS clear, regexp_matches(lower(text), 'incident|malicious|attack|brute|exploit') AS alarm FROM conversations)
         SELECT alarm AND NOT clear AS is_incident, CAST(CASE WHEN alarm AND NOT clear THEN 0.3 ELSE 0.2 END AS DOUBLE) AS confidence, count(*) AS n FROM a GROUP BY 1, 2""",
     "prompt_keys": AUTH_SQL + """, b AS (SELECT u.id, 'source: linux_auth' || chr(10) || 'action: ssh_accepted_password' || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: success' || chr(10)
             || 'sample_line: ' || strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (CAST(substr(target, 5) AS INTEGER) % 3) || ' sshd[7]: Accepted password for ' || target || ' from ' || actor || ' port 22 ssh2' AS block
@@ -504,9 +652,9 @@ ORACLES = {
         p AS (SELECT id, 'v1' AS v, 'Judge:' || chr(10) || block AS txt FROM b UNION ALL SELECT id, 'v2', 'Judge' || chr(10) || chr(10) || block FROM b)
         SELECT id AS unit_id, v AS prompt_version, sha256('local' || chr(10) || 'm:1' || chr(10) || v || chr(10) || id || chr(10) || txt) AS key, CAST(length(txt) AS INTEGER) AS len FROM p""",
     "url_payloads": """SELECT page_id, url || ' x%zz+' || CASE WHEN page_id % 5 = 0 THEN '../etc' ELSE '' END AS decoded, CASE WHEN page_id % 5 = 0 THEN 'T1190' END AS payload FROM pages""",
-    "clipped_texts": r"""WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM documents WHERE lang = 'en')
+    "clipped_texts": r"""WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM documents)
         SELECT doc_id, CAST(CASE WHEN length(q) <= 160 THEN length(q) ELSE length(rtrim(substr(q, 1, 159))) + 1 END AS INTEGER) AS len, sha256(q) AS squeezed,
-            regexp_replace(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM s""",
+            sha256(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM s""",
     "ssh_alerts": "WITH " + E_SQL + "SELECT 'host' || (u % 3) AS host, CAST(sec // 21600 * 21600 AS BIGINT) AS t0, count(*) AS n, min(sec) AS first FROM e WHERE t = 'error' GROUP BY 1, 2 HAVING count(*) > 6",
     "accounts_after_alerts": "WITH " + E_SQL + """, a AS (SELECT 'H' || (u % 5) AS host, sec // 21600 AS w, count(*) AS n, min(sec) AS first FROM e WHERE t = 'error' GROUP BY 1, 2 HAVING count(*) > 3)
         SELECT a.host, 'acct' || event_id AS account, sec, first AS burst, n AS burst_n FROM e JOIN a ON a.host = 'H' || (u % 5) AND sec BETWEEN first AND first + 7200 WHERE t = 'signup' AND k < 20""",

@@ -139,7 +139,8 @@ def test_security_group(spark, port, cidr, confidence):
 
 def test_numbering_both_ways(spark, tmp_path):
     u = bursts.auth_units(parse.auth_records(lines(spark, [ssh(i % 60, f"10.0.{i % 9}.{i}") for i in range(200)])))
-    a = {r.id: r.actor for r in numbering.number_units(u).collect()}
+    a = {r.id: r.actor for r in numbering.number_units_in_window(u).collect()}
+    assert a == {r.id: r.actor for r in numbering.number_units(u).collect()}
     b = {r.id: r.actor for r in numbering.number_units_at_scale(u, 5, str(tmp_path / "t")).collect()}
     assert a == b and len(a) == 200 and "lx-0001" in a
 
@@ -257,6 +258,39 @@ def test_no_nested_loops_in_correlations(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+ROW = {"unit_id": "a", "event": {"id": "a", "source": "linux_auth", "action": "x", "raw": {}}, "label": "benign"}
+
+
+@pytest.mark.parametrize(
+    ("row", "what"),
+    [(ROW | {"odd": 1}, "unknown field odd"), (ROW | {"event": ROW["event"] | {"odd": 1}}, "unknown field of an event odd"), (ROW | {"event": ROW["event"] | {"action": "  "}}, "empty action"), (ROW | {"event": ROW["event"] | {"source": "x"}}, "unknown source"), (ROW | {"label": "bad"}, "unknown label"), (ROW, None)],
+)
+def test_strict_labels(spark, tmp_path, row, what):
+    (tmp_path / "l.json").write_text(json.dumps(row) + "\n")
+    if what is None:
+        assert readers.labelled_units(spark, str(tmp_path / "l.json")).first().event.action == "x"
+    else:
+        with pytest.raises(Exception, match=what):
+            readers.labelled_units(spark, str(tmp_path / "l.json")).collect()
+
+
+def test_responses_that_break_parsers(spark):
+    texts = ["{" * 5000 + "}" * 5000, '{"a": ' * 300000 + "1" + "}" * 300000, '{"is_incident": true, "confidence": ' + "9" * 400 + "}", '{"is_incident": true, "reason": "\\ud800 x", "technique": "\\udfff"}', '{"is_incident": [1], "confidence": -1e999}', 'said "{" then {"is_incident": "yes"}', '"open \\']
+    got = [tuple(r) for r in responses.parse_responses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, response string")).orderBy("i").select("is_incident", "confidence").collect()]
+    assert got == [(False, 0.2), (False, 0.2), (True, 1.0), (True, 0.5), (True, 0.0), (True, 0.5), (False, 0.2)]
+
+
+def test_plan_of_the_rules_is_small(spark):
+    u = units_of(auth=lines(spark, [ssh(1, "192.0.2.1")]), access=lines(spark, [web("1.1.1.1", "/", 200)]))
+    plan = rules.rule_verdicts(u).filter("is_incident")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
+
+
+def test_distinct_targets_stand_in_for_users(spark):
+    df = spark.range(1).select(F.struct(*[F.lit("x").alias(c) for c in ("id", "source", "actor", "action", "target", "status")], raw(distinct_targets=F.array(F.lit("a"), F.lit("b"))).alias("raw")).alias("u"))
+    assert "targets: a, b" in df.select(T.evidence(F.col("u"))).first()[0]
+
+
 def test_strict_readers(spark, tmp_path):
     (tmp_path / "l.json").write_text("")
     with pytest.raises(ValueError, match="no labelled units"):
