@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import buffers, held_out, places, sliced
+from sentrylake.llm.text import buffers, held_out, places, sliced, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -128,6 +128,7 @@ def identify_language(docs: DataFrame, train_on=None) -> DataFrame:
     Null text and text without a letter give ``und`` with score 0; so does every
     text if nothing can be learned from. Repeated rows each return a row.
     """
+    small_batches(docs.sparkSession)
     train_on = ~held_out("doc_id", 3, 1) if train_on is None else train_on
     known = docs.filter(train_on & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}

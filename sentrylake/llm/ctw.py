@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import LOWER, SEPARATOR, buffers, cut, held_out, kept_here, release, sliced, word_hashes
+from sentrylake.llm.text import LOWER, SEPARATOR, buffers, cut, held_out, kept_here, release, sliced, small_batches, word_hashes
 
 DEPTH = 6
 #: Bytes of context that a bucket's subtrees share.
@@ -397,6 +397,7 @@ def score_texts(docs: DataFrame, learn_from=None, depth: int = DEPTH) -> DataFra
     Depth is TOP to 7 bytes.
     """
     learn_from = ~held_out("doc_id", 7, 2) if learn_from is None else learn_from
+    small_batches(docs.sparkSession)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     share = {r["lang"]: r["n"] for r in docs.filter(learn_from).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(x for x in share if x is not None) + [None] * (None in share or not share)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import SEPARATOR, bit_filter, buffers, cut, inside, places, signed, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import SEPARATOR, bit_filter, buffers, cut, inside, places, signed, sliced, small_batches, window_hashes, word_hashes, words_of
 
 K = 20
 GRAM = 8
@@ -98,6 +98,7 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
     th is a hash of the text; with doc_id it names the row.
     """
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import SEPARATOR, as_strings, buffers, cut, places, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import SEPARATOR, as_strings, buffers, cut, places, sliced, small_batches, window_hashes, word_hashes, words_of
 
 #: Words that make a language's word histogram.
 COMMON = 40
@@ -118,6 +118,7 @@ def language_references(docs: DataFrame) -> tuple[list[str], list[list[str]], np
     Each task adds up some chunks' counts of (language, word) before the shuffle; a
     language's COMMON words are ranked by their whole counts.
     """
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

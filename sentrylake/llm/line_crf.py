@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import buffers, held_out, sliced, word_hashes, words_of
+from sentrylake.llm.text import buffers, held_out, sliced, small_batches, word_hashes, words_of
 
 #: Bounds of the training sample: documents of each label, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6000
@@ -200,6 +200,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list
     documents are ignored; of contradictory ones 0 holds. `carry` adds columns of
     docs. Repeated rows each return a row.
     """
+    small_batches(docs.sparkSession)
     train_on = ~held_out("doc_id", 5, 0) if train_on is None else train_on
     rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in training_sample(docs, labels, train_on).limit(4 * SAMPLE_DOCS).collect()))
     model = train([t for _, t, _ in rows], [q for *_, q in rows]) if len({q for *_, q in rows}) == 2 else None

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import LOWER, as_strings, cut, places, sliced, words_of
+from sentrylake.llm.text import LOWER, as_strings, cut, places, release, sliced, small_batches, words_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -68,8 +68,11 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def _joined(self, tokenizer, words: list[str], between: str = " ", end: str = "") -> np.ndarray:
-        texts = [between.join(words[i : i + 1024]) + end for i in range(0, len(words), 1024)]
-        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        got = [np.zeros(0, np.uint32)]
+        for i in range(0, len(words), 16384):  # an encoding is many times its ids, so few are held at once
+            texts = [between.join(words[j : j + 1024]) + end for j in range(i, min(i + 16384, len(words)), 1024)]
+            got += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(got)
 
     def _runs(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self._joined(tokenizer, words)
@@ -129,6 +132,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             ids, at, sizes = encoder(coded.chunk(0).dictionary.to_pylist())
             for doc_ids, n, codes in zip(held, counts, coded.chunks, strict=True):
                 yield from pieces_of(doc_ids, n, np.asarray(codes.indices), ids, at, sizes)
+        encoder = block = batch = chunks = held = coded = codes = ids = at = sizes = None  # noqa: F841  not to be kept by the worker
+        release()
 
     def pieces_of(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         group, place = places(sizes[codes])
@@ -149,6 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             names.append("ids")
         yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
 
 

@@ -20,9 +20,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pool keeps what it frees; a worker lives on between tasks and shares its executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are turned into arrays at a time; bounds what a task holds beside its batch.
 CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 #: Bits of the filters that are broadcast: 8 MB, whatever the input. A full filter only lets more rows through.
 FILTER_BITS = 1 << 26
 SEPARATOR = np.zeros(256, bool)
@@ -40,6 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that go to Python workers; a bound on rows alone lets long texts make huge ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

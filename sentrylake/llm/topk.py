@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import cut
+from sentrylake.llm.text import cut, small_batches
 
 #: Queries that one pass over the vectors takes; a bound on what is broadcast.
 QUERY_BLOCK = 4096
@@ -113,6 +113,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = SCALE)
     vectors: the LONGEST vectors give each query a first threshold, tasks then skip
     what can't reach it.
     """
+    small_batches(vectors.sparkSession)
     x = whole_vectors(vectors, scale)
     spread = F.xxhash64("vec_id")
     rows = cut(x.repartitionByRange(F.desc("norm"), spread).sortWithinPartitions(F.desc("norm"), spread))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import bit_filter, cut, inside, mix64, places, rows_of, sliced, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import bit_filter, cut, inside, mix64, places, release, rows_of, sliced, small_batches, window_hashes, word_hashes, words_of
 
 N = 4
 PERCENT = 85
@@ -43,6 +43,8 @@ BLOCK, GROUP = 256, 512
 MORE = 8
 #: Most words of 64 bits in a parity; longer ones would tell no more of sets of usual size.
 PARITY_WORDS = 1024
+#: Most ids that are broadcast, 8 bytes each.
+BROADCAST_ROWS = 1 << 20
 _TOP = np.uint64(1 << 63)
 
 
@@ -192,6 +194,7 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
     prefix too. class: 128-bit hash of the set; meets: the prefix keys that others
     have too (and perhaps some that none has); at: their places in the order.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("text").filter(F.col("text").isNotNull())
     none = np.zeros((2, 0), np.uint64)
 
@@ -258,6 +261,8 @@ def verified(docs: DataFrame, stored: DataFrame, asked: DataFrame, n: int, perce
                     for j in trie.search(sets[i], percent):
                         a.append(ids[i])
                         b.append(ids[others[j]])
+        sets = trie = None  # noqa: F841  not to be kept by the worker
+        release()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     parts = stored.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -334,5 +339,6 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The document of least doc_id of each component, with the columns it came with."""
-    first = jaccard_components(docs, n, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = cut(jaccard_components(docs, n, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= BROADCAST_ROWS  # else the texts are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
