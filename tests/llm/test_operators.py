@@ -397,3 +397,44 @@ def test_byte_cnn_learns_every_language_from_whole_texts(spark):
     langs = sorted({r[2] for r in rows})
     got = byte_cnn.sample(docs, langs, dict.fromkeys(langs, 2)).collect()
     assert {r.lang for r in got} == set(langs) and sum(r.text == "z" * byte_cnn.WINDOW for r in got) >= 140
+
+
+def test_mixing_dual_by_bisection(spark):
+    """Rates of a small table are those of the dual solved by hand: min(cap, exp(lam size / scale)), tokens as asked."""
+    r = np.random.default_rng(12)
+    sizes = {"a": r.integers(1, 60, 40), "b": r.integers(1, 200, 25), "c": r.integers(5, 30, 3)}
+    rows = [(i, " ".join(["w"] * int(n)), s) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, own in sizes.items():
+        mine = [g for g in got if g.source == s]
+        target, scale = mine[0].target, float((own * own).sum() / own.sum())
+        lo, hi = -200.0, 200.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (own * np.minimum(2, np.exp(np.minimum(mid * own / scale, 50)))).sum() < target else (lo, mid)
+        for g in mine:
+            want = min(2.0, math.exp(min(lo * g.size / scale, 50)))
+            assert math.isclose(g.rate, want, rel_tol=0.02), (s, g.rate, want)
+        assert len({round(g.rate, 6) for g in mine}) > 1 or target >= 2 * own.sum() * (1 - 1e-9)
+        assert abs(sum(g.taken for g in mine) - target) <= max(own)
+
+
+def test_url_filter_rejects_a_purely_bad_template(spark):
+    """Deep templates of a host whose labelled pages are all blocked are rejected; those beside allowed ones aren't."""
+    urls = [f"http://bad.com/de/shop/{i}" for i in range(8)] + ["http://bad.com/en/shop/7/x", "http://good.com/en/shop/1/x"] + [f"http://good.com/fr/{i}" for i in range(8)] + [f"http://bad.com{'/a' * 300}"]
+    df = spark.createDataFrame([(i, u, "h", "t") for i, u in enumerate(urls)], "page_id long, url string, host string, template string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df.unionByName(df.filter("page_id = 8"))).collect()}
+    assert (got[8].rule, got[8].verdict, got[8].template) == (None, "block", "/en/shop/*/x") and got[9].verdict == "allow"
+    assert got[18].verdict == "block" and got[18].template == "/a" * 300 and len(got) == len(urls)
+
+
+def test_parity_never_parts_sets_that_link(spark):
+    r = np.random.default_rng(13)
+    rows = []
+    for n in (3, 40, 500, 3000):
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - len(a) // 20], r.integers(0, 1 << 62, len(a) // 20).astype(np.uint64)]))
+        other = np.unique(r.integers(0, 1 << 62, 2 * n).astype(np.uint64))
+        rows += [(len(np.setxor1d(a, x)), trie_join.parity(a).tolist(), trie_join.parity(x).tolist()) for x in (b, other)]
+    got = spark.createDataFrame(rows, "d long, a array<long>, b array<long>").select("d", trie_join.differing(F.col("a"), F.col("b")).alias("h")).collect()
+    assert all(g.h <= g.d for g in got) and got[-1].h > 1000
