@@ -438,3 +438,19 @@ def test_parity_never_parts_sets_that_link(spark):
         rows += [(len(np.setxor1d(a, x)), trie_join.parity(a).tolist(), trie_join.parity(x).tolist()) for x in (b, other)]
     got = spark.createDataFrame(rows, "d long, a array<long>, b array<long>").select("d", trie_join.differing(F.col("a"), F.col("b")).alias("h")).collect()
     assert all(g.h <= g.d for g in got) and got[-1].h > 1000
+
+
+def test_debruijn_verifies_words_when_hashes_meet(docs, rows, spark):
+    """With one bit of each window's hash, chance meetings abound, yet no word goes that has no earlier equal window."""
+    hand = dedup_by_hand(rows)
+    got = {r.doc_id: r.n_removed for r in debruijn.dedup_report(docs, mask=1).collect()}
+    assert sum(got.values()) and all(got[i] <= sum(g) for i, (_, g) in hand.items())
+
+
+def test_debruijn_rows_of_one_doc_id(spark):
+    """Rows that repeat an id are one place in the order; rows without an id are compared with themselves only."""
+    r = np.random.default_rng(8)
+    a, b = (" ".join(rng_words(r, 60)) for _ in range(2))
+    table = [(5, a), (5, a), (5, b), (7, a + " " + b), (None, a), (None, b + " " + b), (9, b)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in debruijn.dedup_report(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert got == [(0, 60, 0), (0, 120, 60), (5, 60, 0), (5, 60, 0), (5, 60, 0), (7, 120, 120), (9, 60, 60)]
