@@ -132,7 +132,8 @@ def _compacted(pieces: DataFrame, paths: DataFrame) -> DataFrame:
     firsts = firsts.withColumn("goes_on", goes_on).withColumn("unit", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(order))
     end = F.max(F.col("place") + F.col("n")).over(Window.partitionBy("doc_id", "th", "unit"))
     sources = cut(firsts.withColumn("n", end - F.col("place")).filter("not goes_on").select("one", "two", "doc_id", "th", "place", "n"))
-    whole = sources.groupBy("one", "two").agg(F.max("n").alias("n"))
+    # written first: a small table is then broadcast, of a large one hot keys can be split
+    whole = cut(sources.groupBy("one", "two").agg(F.max("n").alias("n")))
     again = met.filter("later").drop("n").join(whole, ["one", "two"]).select("one", "two", "doc_id", "th", "place", "n")
     return again.withColumn("later", F.lit(True)).unionByName(sources.withColumn("later", F.lit(False)))
 
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, k: int = K, mask: int = FULL) -> DataFrame:
             )
 
     single = named.mapInArrow(edges, "one long, two int, doc_id long, th int, place int, n int, again boolean, next long")
-    crossed = _compacted(single, _paths(single))
+    crossed = _compacted(single, cut(_paths(single).filter("times > 1")))
     return _verified(docs, cut(straight.unionByName(crossed)), k)
 
 
