@@ -129,6 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 counts.append(n)
                 held.append(batch.column("doc_id"))
             coded = pa.chunked_array(chunks).dictionary_encode()
+            chunks = body = bounds = batch = None  # the words are in the dictionary now
             ids, at, sizes = encoder(coded.chunk(0).dictionary.to_pylist())
             for doc_ids, n, codes in zip(held, counts, coded.chunks, strict=True):
                 yield from pieces_of(doc_ids, n, np.asarray(codes.indices), ids, at, sizes)
