@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.llm.text import buffers, held_out, sliced, small_batches, word_hashes, words_of
 
-#: Bounds of the training sample: documents of each label, characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6000
+#: Bounds of the training sample, for each label: documents, and bytes of their whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 4 << 20
 STEPS, ROUNDS = 100, 2
 THRESHOLD = 0.3
 
@@ -77,43 +77,50 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.hstack([own, before, after, np.ones((len(own), 1), np.float32)]), length, counts
 
 
+def _products(m: np.ndarray, most: int) -> np.ndarray:
+    """For each place of a row of 2 x 2 matrices (2, 2, n) the product of the `most` matrices, or more, that end there, to a factor."""
+    span = 1
+    while span < most:
+        left, right = m[:, :, :-span], m[:, :, span:]
+        both = left[:, 0, None] * right[None, 0] + left[:, 1, None] * right[None, 1]
+        m = np.concatenate([m[:, :, :span], both / both.sum((0, 1))], 2)
+        span *= 2
+    return m
+
+
 class Chains:
-    """Lines of many texts side by side, longest text first, for passes over all chains at once."""
+    """Lines of many texts one after another, for passes over all chains at once."""
 
     def __init__(self, counts: np.ndarray):
-        self.order = np.argsort(-counts, kind="stable")
-        self.counts = counts[self.order]
-        self.begin = (np.cumsum(counts) - counts)[self.order]
-        self.live = np.searchsorted(-self.counts, -np.arange(self.counts[0] if len(counts) else 0), "left")
+        self.most = int(counts.max(initial=0))
+        self.first = np.cumsum(counts) - counts
+        self.inner = np.ones(int(counts.sum()), bool)  # all lines that follow one of their text
+        self.inner[self.first] = False
 
     def marginals(self, node: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward with two states: P(good) of each line; expected transitions, 2 x 2.
 
         node: log score of good over bad for each line; trans: log score of (from, to).
+        Messages are products of one matrix a line, formed over spans that double. A
+        text's first matrix has equal rows, so nothing comes over from the text before.
         """
-        good = np.zeros(len(node))
         if not len(node):
-            return good, np.zeros((2, 2))
+            return np.zeros(0), np.zeros((2, 2))
         t = np.exp(trans)
-        e = np.stack([1 / (1 + np.exp(np.clip(node, -30, 30))), 1 / (1 + np.exp(-np.clip(node, -30, 30)))], 1)
-        fwd = np.empty((len(node), 2))
-        at = self.begin[: self.live[0]]
-        fwd[at] = e[at] / e[at].sum(1, keepdims=True)
-        for i in range(1, len(self.live)):
-            at = self.begin[: self.live[i]] + i
-            a = (fwd[at - 1] @ t) * e[at]
-            fwd[at] = a / a.sum(1, keepdims=True)
-        back = np.ones((len(node), 2))
-        pairs = np.zeros((2, 2))
-        for i in range(len(self.live) - 1, 0, -1):
-            at = self.begin[: self.live[i]] + i
-            b = e[at] * back[at]
-            joint = fwd[at - 1][:, :, None] * t[None] * b[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            b = b @ t.T
-            back[at - 1] = b / b.sum(1, keepdims=True)
+        x = np.clip(node, -30, 30)
+        e = np.stack([1 / (1 + np.exp(x)), 1 / (1 + np.exp(-x))])
+        step = t[:, :, None] * e[None]
+        step[:, :, self.first] = e[None, :, self.first]
+        fwd = _products(step, self.most)[0]
+        last = np.append(~self.inner[1:], True)
+        behind = np.ones_like(step)
+        behind[:, :, :-1] = step[:, :, 1:]
+        behind[:, :, last] = 1.0
+        back = _products(behind.transpose(1, 0, 2)[:, :, ::-1], self.most)[0, :, ::-1]
         p = fwd * back
-        return p[:, 1] / p.sum(1), pairs
+        i = np.flatnonzero(self.inner)
+        joint = fwd[:, None, i - 1] * step[:, :, i] * back[None, :, i]
+        return p[1] / p.sum(0), (joint / joint.sum((0, 1))).sum(2)
 
 
 class LineCrf:
@@ -176,33 +183,42 @@ def train(texts: list[str | None], labels: list[int]) -> LineCrf:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, train_on, most: int = SAMPLE_DOCS) -> DataFrame:
-    """About `most` labelled documents of each label, those of least hash, cut to SAMPLE_CHARS."""
+def training_sample(docs: DataFrame, labels: DataFrame, train_on, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, quality): whole texts of labelled documents, of each label those of least hash.
+
+    At most `most` rows of a label, as many as start within `most_bytes` of text: fewer
+    where texts are long. A text that is longer than that by itself isn't sampled.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(train_on)
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    part = {q: int(min(1.0, most / n) * (1 << 30)) for q, n in counts.items()}
+    part = {q: int(min(1.0, 2 * most / n) * (1 << 30)) for q, n in counts.items()}  # about twice as many, then exactly
     keep = F.lit(False)
     for q, p in part.items():
         keep = keep | ((F.col("quality") == q) & (h < p))
-    near = docs.filter(h < max(part.values(), default=0)).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return near.join(known.filter(keep), "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    near = docs.filter(h < max(part.values(), default=0)).select("doc_id", "text", size.alias("_size")).filter(F.col("_size") <= most_bytes)
+    order = Window.partitionBy("quality").orderBy(h, "doc_id", F.xxhash64("text"))
+    ranked = near.join(known.filter(keep), "doc_id").withColumn("_rank", F.row_number().over(order))
+    ranked = ranked.withColumn("_before", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    return ranked.filter((F.col("_rank") <= most) & (F.col("_before") < most_bytes)).select("doc_id", "text", "quality")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """score, predicted and counts of lines for every whole text.
 
     Learns from documents that `labels` marks and `train_on` allows (default:
-    crc32(doc_id) mod 5 is not 0), at most about SAMPLE_DOCS of each label, which
-    bounds what the driver holds. score: the length-weighted mean of the lines'
+    crc32(doc_id) mod 5 is not 0), of each label at most SAMPLE_DOCS and about
+    SAMPLE_BYTES, whole texts, which bounds what the driver holds. score: the length-weighted mean of the lines'
     P(good), mapped to a probability. Null and empty texts are one empty line. If
     no label of both kinds can be learned from, score is 0.5. Labels for unknown
     documents are ignored; of contradictory ones 0 holds. `carry` adds columns of
-    docs. Repeated rows each return a row.
+    docs. Repeated rows each return a row; an empty table gives an empty result.
+    Very long texts are scored whole, as one chain.
     """
     small_batches(docs.sparkSession)
     train_on = ~held_out("doc_id", 5, 0) if train_on is None else train_on
-    rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in training_sample(docs, labels, train_on).limit(4 * SAMPLE_DOCS).collect()))
+    rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in training_sample(docs, labels, train_on).collect()))
     model = train([t for _, t, _ in rows], [q for *_, q in rows]) if len({q for *_, q in rows}) == 2 else None
     carry = list(carry or [])
     text = f"_c{carry.index('text')}" if "text" in carry else "_text"  # one copy of a text in a batch

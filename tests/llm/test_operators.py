@@ -454,3 +454,38 @@ def test_debruijn_rows_of_one_doc_id(spark):
     table = [(5, a), (5, a), (5, b), (7, a + " " + b), (None, a), (None, b + " " + b), (9, b)]
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in debruijn.dedup_report(spark.createDataFrame(table, "doc_id long, text string")).collect())
     assert got == [(0, 60, 0), (0, 120, 60), (5, 60, 0), (5, 60, 0), (5, 60, 0), (7, 120, 120), (9, 60, 60)]
+
+
+def test_line_crf_samples_whole_texts_within_bytes(spark):
+    long = "a line of words\n" * 1000 + "the end"
+    df = spark.createDataFrame([(i, long) for i in range(40)] + [(7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    whole = line_crf.training_sample(df, labels, F.lit(True)).collect()
+    assert len(whole) == 41 and {r.text for r in whole} == {long, "again"}
+    some = line_crf.training_sample(df, labels, F.lit(True), most_bytes=4 * len(long)).groupBy("quality").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert len(some) == 2 and all(3 * len(long) < r.n <= 4 * len(long) + 5 for r in some)
+    few = line_crf.training_sample(df, labels, F.lit(True), most=3).groupBy("quality").count().collect()
+    assert [r["count"] for r in few] == [3, 3]
+
+
+def test_crf_marginals_of_long_chains():
+    """Against the recursion, line by line."""
+    r = np.random.default_rng(2)
+    counts = np.array([700, 1, 33])
+    node, trans = r.normal(size=734) * 8, r.normal(size=(2, 2))
+    p, pairs = line_crf.Chains(counts).marginals(node, trans)
+    t, want, total, at = np.exp(trans), [], np.zeros((2, 2)), 0
+    for n in counts:
+        e = np.stack([1 / (1 + np.exp(node[at : at + n])), 1 / (1 + np.exp(-node[at : at + n]))], 1)
+        f, b = [e[0] / e[0].sum()], [np.ones(2)]
+        for j in range(1, n):
+            x = f[-1] @ t * e[j]
+            f.append(x / x.sum())
+            y = t @ (e[n - j] * b[0])
+            b.insert(0, y / y.sum())
+        want += [f[j][1] * b[j][1] / (f[j] @ b[j]) for j in range(n)]
+        for j in range(1, n):
+            both = f[j - 1][:, None] * t * (e[j] * b[j])[None]
+            total += both / both.sum()
+        at += n
+    assert np.allclose(p, want) and np.allclose(pairs, total)
