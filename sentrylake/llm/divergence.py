@@ -96,9 +96,10 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end); spans do not touch where a line end lies between."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     bounds = np.stack([starts, ends], 1).ravel()
-    last = bounds[-1] if len(bounds) else 0
-    return word_hashes(data[:last], bounds)[::2]
+    return word_hashes(data[: bounds[-1]], bounds)[::2]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:

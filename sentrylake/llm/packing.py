@@ -128,12 +128,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 chunks.append(as_strings(body, bounds))
                 counts.append(n)
                 held.append(batch.column("doc_id"))
-            coded = pa.chunked_array(chunks).dictionary_encode()
+            coded = pa.concat_arrays(chunks).dictionary_encode()  # one array: of chunked ones those without words would go
             chunks = body = bounds = batch = None  # the words are in the dictionary now
-            ids, at, sizes = encoder(coded.chunk(0).dictionary.to_pylist())
-            for doc_ids, n, codes in zip(held, counts, coded.chunks, strict=True):
-                yield from pieces_of(doc_ids, n, np.asarray(codes.indices), ids, at, sizes)
-        encoder = block = batch = chunks = held = coded = codes = ids = at = sizes = None  # noqa: F841  not to be kept by the worker
+            ids, at, sizes = encoder(coded.dictionary.to_pylist())
+            codes = np.asarray(coded.indices)
+            cuts = np.cumsum([int(n.sum()) for n in counts])[:-1]
+            for doc_ids, n, own in zip(held, counts, np.split(codes, cuts), strict=True):
+                yield from pieces_of(doc_ids, n, own, ids, at, sizes)
+        encoder = block = batch = chunks = held = coded = codes = own = ids = at = sizes = None  # noqa: F841  not to be kept by the worker
         release()
 
     def pieces_of(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
