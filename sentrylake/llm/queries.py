@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, line_crf, mixing, packing, topk, trie_join, url_filter
+from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, line_crf, merkle, mixing, packing, topk, trie_join, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,7 +60,19 @@ def op10_byte_cnn_language(spark, sf_dir):
     return byte_cnn.identify_language(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language)}
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.merkle_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op12_licence_index(spark, sf_dir):
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op13_rollup_collocations(spark, sf_dir):
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language, op11_merkle_manifest)}
 ORACLES: dict[str, str] = {
     "op5_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
@@ -120,4 +132,29 @@ ORACLES: dict[str, str] = {
         SELECT q.page_id, q.host, q.path, q.rule, coalesce(ruled, CASE WHEN pu.p >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(named.g, '/') AS template, pu.p AS purity
         FROM q JOIN named ON named.host = q.host AND named.seg = q.seg JOIN pu ON pu.host = named.host AND pu.g = named.g AND pu.i = len(named.g)
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE v AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS nc,
+            list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) & 1 AS odd FROM documents),
+        f AS (SELECT doc_id, source, text, odd = 1 AS even, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(nc) || ':' || nc, '-') AS head,
+            CASE WHEN odd = 1 THEN replace(text, chr(10), '') ELSE text END AS now FROM v),
+        l AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        lv AS (SELECT tree, 0 AS level, pos, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM p
+            UNION ALL SELECT tree, any_value(level) + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM lv WHERE n > 1 GROUP BY tree, pos // 3),
+        sub AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+        tv AS (SELECT 0 AS level, pos, subroot AS d, n FROM sub UNION ALL SELECT any_value(level) + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM tv WHERE n > 1 GROUP BY pos // 3),
+        nodes AS (SELECT tree, level, pos, d, n FROM lv WHERE n > 1 UNION ALL SELECT '', level, pos, d, n FROM tv WHERE n > 1),
+        runs AS (SELECT tree, level, pos // 3 AS up, list(d ORDER BY pos) AS ds FROM nodes GROUP BY ALL),
+        sides AS (SELECT nodes.tree, nodes.level, nodes.pos, array_to_string(ds[1 : pos % 3], '') AS a, array_to_string(ds[pos % 3 + 2 : 3], '') AS b FROM nodes JOIN runs ON runs.tree = nodes.tree AND runs.level = nodes.level AND runs.up = nodes.pos // 3),
+        w AS (SELECT doc_id, tree AS own, leaf, pos AS place, tree, 0 AS level, pos, now AS h, '' AS proof FROM p
+            UNION ALL SELECT doc_id, own, leaf, place, w.tree, w.level + 1, w.pos // 3, sha256(a || h || b), proof || a || b FROM w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.pos = w.pos),
+        top AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY own, place ORDER BY level DESC) = 1),
+        x AS (SELECT doc_id, own, leaf, place, '' AS tree, 0 AS level, sub.pos AS pos, h, proof, subroot FROM top JOIN sub ON sub.tree = own
+            UNION ALL SELECT doc_id, own, leaf, place, '', x.level + 1, x.pos // 3, sha256(a || h || b), proof || a || b, subroot FROM x JOIN sides s ON s.tree = '' AND s.level = x.level AND s.pos = x.pos),
+        z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY own, place ORDER BY level DESC) = 1),
+        r AS (SELECT d AS root FROM tv WHERE n = 1), o AS (SELECT tree, min(place) AS lowest, count(*) AS n FROM (SELECT tree, pos AS place FROM p) GROUP BY tree),
+        g AS (SELECT tree, coalesce(sum(n) OVER (ORDER BY tree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM o)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified, CAST(off + place AS BIGINT) AS leaf_rank, CAST(length(proof) // 64 AS INTEGER) AS proof_length FROM z, r JOIN g ON TRUE WHERE g.tree = z.own
+    """,
 }
