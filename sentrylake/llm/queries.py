@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, line_crf, merkle, mixing, packing, topk, trie_join, url_filter
+from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, licences, line_crf, merkle, mixing, packing, topk, trie_join, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -72,7 +72,36 @@ def op13_rollup_collocations(spark, sf_dir):
     return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language, op11_merkle_manifest)}
+def _licence_sql() -> str:
+    """Templates and phrases as rows; alignments by a join of all words, without an index."""
+    rows = lambda items: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in items)
+    templates = [(t, x.label, i, w) for t, x in enumerate(licences.TEMPLATES) for i, w in enumerate(x.words.split())]
+    keys = [(t, k) for t, x in enumerate(licences.TEMPLATES) for k in x.keys]
+    phrases = [(p, j, w, len(p.split())) for p in dict.fromkeys([*licences.PHRASES, *(k for _, k in keys)]) for j, w in enumerate(p.split())]
+    return rf"""
+        WITH t(tid, label, i, word) AS (VALUES {rows(templates)}), k(tid, phrase) AS (VALUES {rows(keys)}), p(phrase, j, word, len) AS (VALUES {rows(phrases)}), b(phrase, label) AS (VALUES {rows(licences.PHRASES.items())}),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        w AS (SELECT rid, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM d),
+        v AS (SELECT word FROM t UNION SELECT word FROM p),
+        f AS (SELECT v.word, count(DISTINCT rid) AS df FROM v LEFT JOIN w USING (word) GROUP BY v.word),
+        g AS (SELECT word, 1 + CAST(round(1024 * log2(((SELECT count(*) FROM documents) + 1) / (df + 1))) AS BIGINT) AS weight FROM f),
+        total AS (SELECT tid, any_value(label) AS label, sum(weight) AS total, count(*) AS len FROM t JOIN g USING (word) GROUP BY tid),
+        al AS (SELECT rid, tid, pos - i AS s, sum(weight) AS matched FROM w JOIN t USING (word) JOIN g USING (word) GROUP BY ALL),
+        good AS (SELECT rid, tid, s, matched, label, total, len FROM al JOIN total USING (tid) WHERE 100 * matched >= {licences.LEAST_SHARE} * total),
+        occ AS (SELECT rid, phrase, pos - j AS at0, any_value(len) AS n FROM w JOIN p USING (word) GROUP BY rid, phrase, pos - j HAVING count(*) = any_value(len)),
+        kept AS (SELECT * FROM good x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.tid = x.tid AND NOT EXISTS
+            (SELECT 1 FROM occ WHERE occ.rid = x.rid AND occ.phrase = k.phrase AND at0 >= x.s - {licences.SLACK} AND at0 + n <= x.s + x.len + {licences.SLACK}))),
+        base AS (SELECT rid, count(*) AS n_base, min(at0) AS first_word, max(at0) AS last_word FROM occ JOIN b USING (phrase) GROUP BY rid),
+        names AS (SELECT rid, label, TRUE AS own FROM occ JOIN b USING (phrase) UNION SELECT rid, label, FALSE FROM kept),
+        said AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (own) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM names GROUP BY rid),
+        best AS (SELECT rid, max(matched / total) AS score FROM kept GROUP BY rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+            CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END AS DOUBLE) AS score
+        FROM d LEFT JOIN base USING (rid) LEFT JOIN said USING (rid) LEFT JOIN best USING (rid)
+    """
+
+
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language, op11_merkle_manifest, op12_licence_index)}
 ORACLES: dict[str, str] = {
     "op5_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
@@ -157,4 +186,5 @@ ORACLES: dict[str, str] = {
         g AS (SELECT tree, coalesce(sum(n) OVER (ORDER BY tree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM o)
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified, CAST(off + place AS BIGINT) AS leaf_rank, CAST(length(proof) // 64 AS INTEGER) AS proof_length FROM z, r JOIN g ON TRUE WHERE g.tree = z.own
     """,
+    "op12_licence_index": _licence_sql(),
 }
