@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, licences, line_crf, merkle, mixing, packing, topk, trie_join, url_filter
+from sentrylake.llm import byte_cnn, collocations, ctw, debruijn, divergence, licences, line_crf, merkle, mixing, packing, topk, trie_join, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -101,7 +101,7 @@ def _licence_sql() -> str:
     """
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language, op11_merkle_manifest, op12_licence_index)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_line_crf, op3_best_fit_packing, op4_debruijn_dedup, op5_topk_search, op6_context_tree, op7_trie_jaccard, op8_url_filter, op9_entropy_mixing, op10_byte_cnn_language, op11_merkle_manifest, op12_licence_index, op13_rollup_collocations)}
 ORACLES: dict[str, str] = {
     "op5_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
@@ -187,4 +187,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified, CAST(off + place AS BIGINT) AS leaf_rank, CAST(length(proof) // 64 AS INTEGER) AS proof_length FROM z, r JOIN g ON TRUE WHERE g.tree = z.own
     """,
     "op12_licence_index": _licence_sql(),
+    "op13_rollup_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+        p AS (SELECT lang, unnest(ps) AS piece FROM t), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        u AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        f AS (SELECT lang, ws[i : i + k - 1] AS ph, k, count(*) AS f FROM u, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, ph, k, f AS a, array_to_string(ph, ' ') AS phrase FROM f WHERE k > 1 AND f >= 100),
+        s AS (SELECT lang, ph, k, a, phrase, unnest(range(1, k)) AS j FROM c),
+        x AS (SELECT s.lang, s.phrase, s.k, s.a, s.j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * s.a * n.n) // (l.f::HUGEINT * r.f) AS score
+            FROM s JOIN f l ON l.lang = s.lang AND l.ph = s.ph[1 : s.j] JOIN f r ON r.lang = s.lang AND r.ph = s.ph[s.j + 1 :] JOIN n ON n.lang = s.lang),
+        m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = m.lang AND c.k > m.k AND 100 * c.a >= 100 * m.a AND contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' '))),
+        o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k)
+        SELECT * FROM o WHERE rank <= 2000
+    """,
 }
