@@ -90,6 +90,7 @@ class ShapeConfig:
     scan: int = 10
     samples: int = 4
     sample_paths: int = 6
-    #: None keeps the full list of statuses of a login burst
-    max_sequence: int | None = None
-    max_nested: int = 1000
+    #: whether a login burst's unit also holds all its statuses one by one, beside their runs
+    full_sequences: bool = False
+    #: stretch of time whose statuses are put into runs together, before runs of one address meet
+    run_minutes: int = 10

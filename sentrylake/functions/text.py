@@ -132,6 +132,20 @@ def listed(c: Column, most: int = 6) -> Column:
     return F.concat(F.array_join(F.slice(c, 1, most), ", "), F.when(F.size(c) > most, more).otherwise(F.lit("")))
 
 
+def status_sequence(raw: Column) -> Column:
+    """All statuses of a login burst in order, from its runs; or the list that the unit holds."""
+    spread = F.flatten(F.transform(raw["status_runs"], lambda r: F.array_repeat(r["status"], r["n"].cast("int"))))
+    return F.coalesce(raw["status_sequence"], spread)
+
+
+def listed_runs(runs: Column, most: int = 6) -> Column:
+    """As listed() over the statuses of runs, of which no more are spread than are shown."""
+    shown = F.slice(F.flatten(F.transform(F.slice(runs, 1, most), lambda r: F.array_repeat(r["status"], F.least(r["n"], F.lit(most)).cast("int")))), 1, most)
+    n = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    more = F.concat(F.lit(", ... (+"), (n - most).cast("string"), F.lit(" more)"))
+    return F.concat(F.array_join(shown, ", "), F.when(n > most, more).otherwise(F.lit("")))
+
+
 def evidence(u: Column) -> Column:
     """A unit as a block of text; u: a unit struct."""
     raw = u["raw"]
@@ -143,7 +157,10 @@ def evidence(u: Column) -> Column:
             values = F.when(F.size(raw[key]) > 0, raw[key])
             if key == "distinct_users":
                 values = F.coalesce(values, F.when(F.size(raw["distinct_targets"]) > 0, raw["distinct_targets"]))
-            head.append(F.concat(F.lit(f"{name}: "), listed(values)))
+            text = listed(values)
+            if key == "status_sequence":
+                text = F.coalesce(text, listed_runs(F.when(F.size(raw["status_runs"]) > 0, raw["status_runs"])))
+            head.append(F.concat(F.lit(f"{name}: "), text))
         else:
             head.append(F.concat(F.lit(f"{name}: "), filled(raw[key].cast("string"))))
     head += [F.concat(F.lit(f"{k}: "), filled(raw["event"][k])) for k in NESTED_EVIDENCE]

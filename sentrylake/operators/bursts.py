@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.config import ShapeConfig
-from sentrylake.functions.text import filled, iso_time, login_like, web_payload
+from sentrylake.functions.text import filled, iso_time, login_like, status_sequence, web_payload
+from sentrylake.operators.numbering import numbered
 from sentrylake.schemas import raw, unit
-from sentrylake.sources.scratch import stored
+from sentrylake.sources.scratch import scratch_path, stored
 
 
 def leading(records: DataFrame, keys: list[str], most: int, *columns: str, order: tuple = ("ts", "line_no")) -> DataFrame:
@@ -78,24 +79,36 @@ def web_point(source: Column = None) -> list[Column]:
     )
 
 
+def status_runs(records: DataFrame, minutes: int = 10) -> DataFrame:
+    """(ip, status_runs): each address's statuses in order of time, as runs of equal ones.
+
+    Runs are found in stretches of `minutes` first, so that an address's records spread
+    over tasks; an address's runs then meet, and those that go on over a border are joined.
+    """
+    starts = lambda w: F.coalesce((~F.lag("status").over(w).eqNullSafe(F.col("status"))).cast("int"), F.lit(1))
+    w = Window.partitionBy("ip", "_stretch").orderBy("ts", "line_no")
+    r = records.select("ip", "ts", "line_no", "status", F.floor(F.unix_timestamp("ts") / (60 * minutes)).alias("_stretch")).withColumn("_run", F.sum(starts(w)).over(w))
+    r = r.groupBy("ip", "_stretch", "_run").agg(F.min("status").alias("status"), F.count("*").alias("n"))
+    w = Window.partitionBy("ip").orderBy("_stretch", "_run")
+    r = r.withColumn("_all", F.sum(starts(w)).over(w)).groupBy("ip", "_all").agg(F.min("status").alias("status"), F.sum("n").alias("n"))
+    return r.groupBy("ip").agg(F.transform(F.array_sort(F.collect_list(F.struct("_all", "status", "n"))), lambda x: F.struct(x["status"].alias("status"), x["n"].alias("n"))).alias("status_runs"))
+
+
 def login_bursts(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
-    """One unit for each address of records that are all login posts, with all statuses in order."""
+    """One unit for each address of records that are all login posts, with its statuses in order as runs."""
     at = F.struct("ts", "line_no")
     g = records.groupBy("ip").agg(
         F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min_by("path", at).alias("path"),
         F.min_by("status", at).alias("first"), F.max_by("status", at).alias("last"), F.min("line_no").alias("line_no"),
     )
     g = g.join(leading(records, ["ip"], shape.samples, "line"), "ip")
-    if shape.max_sequence:
-        seq = leading(records, ["ip"], shape.max_sequence, "status").withColumnRenamed("first_status", "seq")
-    else:  # the whole list: what a burst's statuses are is part of its unit
-        seq = records.groupBy("ip").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "line_no", "status"))), lambda x: x["status"]).alias("seq"))
-    g = g.join(seq, "ip")
+    g = g.join(status_runs(records, shape.run_minutes), "ip")
+    spread = status_sequence(F.struct(F.lit(None).cast("array<string>").alias("status_sequence"), "status_runs")) if shape.full_sequences else F.lit(None)
     source = F.lit("nginx_access")
     return g.select(
         *unit(
             source=source, timestamp=F.col("t0"), actor=F.col("ip"), action=F.lit("http_post"), target=F.col("path"), status=F.col("first"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("first_line"), F.col("n"), shape.samples), status_sequence=F.col("seq"), final_status=F.col("last"), source=source),
+            raw=raw(count=F.col("n"), window_start=F.col("t0"), window_end=F.col("t1"), sample_lines=samples(F.col("first_line"), F.col("n"), shape.samples), status_sequence=spread, status_runs=F.col("status_runs"), final_status=F.col("last"), source=source),
         )
     )
 
@@ -177,33 +190,59 @@ def console_failure(record: Column) -> Column:
     return F.coalesce((record["action"] == "console_login") & (record["status"] == "failure"), F.lit(False))
 
 
-def cloud_failure_unit(records: DataFrame, shape: ShapeConfig = ShapeConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """All failed console logins as one unit (or one for each of `keys`, event fields).
+def cloud_failures(records: DataFrame) -> DataFrame:
+    """(line_no, at, username, source_ip, event) of every failed console login: the records behind the aggregated unit."""
+    e = F.col("event")
+    return records.filter(console_failure(e)).select("line_no", iso_time(e["timestamp"]).alias("at"), e["username"].alias("username"), e["source_ip"].alias("source_ip"), "event")
+
 
-    A unit for each key lists all its records; the one unit of all lists the first
-    `shape.max_nested`, for display, and counts the rest. detect(), label_cloud() and
-    cloud_rules correlate with the failure records themselves.
+def cloud_failure_unit(failures: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All failed console logins as one unit (or one for each of `keys`, event fields), with its first record; cloud_members lists all.
+
+    failures: from cloud_failures.
     """
     source = F.lit("cloud_audit")
-    failed = records.filter(console_failure(F.col("event")))
-    by = [F.col(f"event.{k}").alias(f"k_{k}") for k in keys]
-    first = lambda f: F.min_by(f"event.{f}", "line_no")
-    g = failed.groupBy(*by).agg(F.count("*").alias("n"), first("timestamp").alias("t"), first("source_ip").alias("ip"), first("username").alias("user"), F.min("line_no").alias("line_no")).filter("n > 0")
-    nested = failed if keys else failed.orderBy("line_no").limit(shape.max_nested)
-    events = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "event"))), lambda x: x["event"]).alias("events")
-    nested = nested.groupBy(*[F.col(f"event.{k}").alias(f"m_{k}") for k in keys]).agg(events)
-    on = [F.col(f"k_{k}").eqNullSafe(F.col(f"m_{k}")) for k in keys]
-    g = g.join(nested, on) if keys else g.crossJoin(nested)  # a row and a row
+    first = F.min_by("event", "line_no")
+    by = [F.col("event")[k].alias(f"k_{k}") for k in keys]
+    g = failures.groupBy(*by).agg(F.count("*").alias("n"), first.alias("e"), F.min("line_no").alias("line_no")).filter("n > 0")
+    e = F.col("e")
     return g.select(
         *unit(
-            source=source, timestamp=iso_time(F.col("t")), actor=F.col("ip"), action=F.lit("console_login"), target=F.col("user"), status=F.lit("failure"), line_no=F.col("line_no"),
-            raw=raw(count=F.col("n"), events=F.col("events"), source=source),
+            source=source, timestamp=iso_time(e["timestamp"]), actor=e["source_ip"], action=F.lit("console_login"), target=e["username"], status=F.lit("failure"), line_no=F.col("line_no"),
+            raw=raw(count=F.col("n"), events=F.array(e), source=source),
         )
     )
 
 
+def cloud_members(units: DataFrame, failures: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(unit_id, place, line_no, at, username, source_ip, event): every record of each aggregated unit of numbered units, places from 1 in file order.
+
+    failures and keys: those the units were made from.
+    """
+    spark = units.sparkSession
+    made = units.filter((F.col("source") == "cloud_audit") & (F.col("action") == "console_login") & (F.col("raw.count").isNotNull()))
+    own = lambda e: F.to_json(F.array(*[e[k] for k in keys])) if keys else F.lit("")
+    made = made.select(F.col("id").alias("unit_id"), own(F.get("raw.events", F.lit(0))).alias("_key"))
+    owned = failures.withColumn("_key", own(F.col("event"))).join(made, "_key").drop("_key")
+    return numbered(owned, "unit_id", ("line_no",), "place", int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, "members"))
+
+
+def with_first_failure(changes: DataFrame, failures: DataFrame, user: Column, ip: Column) -> DataFrame:
+    """Adds first_failure: the earliest failed login (at, username, source_ip) of the change's user or from its address; null if none.
+
+    "Or" is split into two earliest-failure tables, so both joins are on equal keys and
+    keep one row for each change. Empty and missing users and addresses match nothing.
+    """
+    first = lambda key: failures.filter(filled(F.col(key)).isNotNull()).groupBy(F.col(key).alias(f"_{key}")).agg(F.min("at").alias(f"_by_{key}"))
+    df = changes.withColumn("_u", user).withColumn("_ip", ip)
+    df = df.join(first("username"), F.col("_u") == F.col("_username"), "left").join(first("source_ip"), F.col("_ip") == F.col("_source_ip"), "left")
+    return df.withColumn("first_failure", F.least("_by_username", "_by_source_ip")).drop("_u", "_ip", "_username", "_source_ip", "_by_username", "_by_source_ip")
+
+
 def cloud_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
+    """One unit for each record but the failed console logins, which are one; an IAM change carries when its user or address first failed to log in."""
     records = stored(records, "cloud")
+    failures = cloud_failures(records)
     e = F.col("event")
     target = (
         F.when(e["action"] == "security_group_rule_added", F.concat(F.lit("port "), F.coalesce(e["port"], F.lit("None")), F.lit(" <- "), F.coalesce(e["cidr"], F.lit("None"))))
@@ -211,10 +250,13 @@ def cloud_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataF
         .otherwise(e["username"])
     )
     source = F.lit("cloud_audit")
-    points = records.filter(~console_failure(e)).select(
+    points = lambda df, **more: df.select(
         *unit(
             source=source, timestamp=iso_time(e["timestamp"]), actor=F.coalesce(filled(e["source_ip"]), e["username"]), action=F.coalesce(filled(e["action"]), F.lit("unknown")),
-            target=target, status=F.coalesce(e["status"], F.lit("unknown")), line_no=F.col("line_no"), raw=raw(event=e, source=source),
+            target=target, status=F.coalesce(e["status"], F.lit("unknown")), line_no=F.col("line_no"), raw=raw(event=e, source=source, **more),
         )
     )
-    return points.unionByName(cloud_failure_unit(records, shape))
+    change = F.coalesce(e["action"] == "iam_policy_changed", F.lit(False))
+    changes = with_first_failure(records.filter(change), failures, e["username"], e["source_ip"])
+    changes = points(changes, facts=F.struct("first_failure"))
+    return points(records.filter(~console_failure(e) & ~change)).unionByName(changes).unionByName(cloud_failure_unit(failures))

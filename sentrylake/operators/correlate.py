@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.config import RuleConfig
 from sentrylake.functions.text import filled, iso_time
-from sentrylake.operators.bursts import console_failure
 
 
 def windows_field(raw: Column, name: str) -> Column:
@@ -15,54 +13,40 @@ def windows_field(raw: Column, name: str) -> Column:
     return F.coalesce(raw[name], raw["event"][name]) if name in ("event_code", "host") else raw["event"][name]
 
 
-def preceded_by_burst(units: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """(id, after_burst): whether a burst of failed logons on the same host came at most the set minutes before, or just then.
+def after_bursts(rows: DataFrame, minutes: int) -> DataFrame:
+    """Of rows (host, at in microseconds, burst, made, ...) those made, with after_burst: a burst on the same host came at most `minutes` before, or just then.
 
-    A running maximum over each host's timeline in place of a join; missing hosts
-    are one host. Only bursts and account creations enter.
+    Each host's timeline is cut into buckets of that many minutes, so a busy host is many
+    groups. A burst that counts lies in the same bucket, earlier, or is the last of the
+    bucket before, which is carried over as a row of its own. Missing hosts are one
+    host; rows without a time follow nothing.
     """
-    r = F.col("raw")
-    code = windows_field(r, "event_code")
-    burst = (code == "4625") & (F.coalesce(r["count"], F.lit(1)) > config.windows)
-    line = units.filter((F.col("source") == "windows_security") & (burst | (code == "4720"))).select("id", windows_field(r, "host").alias("host"), F.unix_micros("timestamp").alias("at"), burst.alias("burst"), (code == "4720").alias("made"))
-    w = Window.partitionBy("host").orderBy("at").rangeBetween(-config.account_minutes * 60_000_000, 0)
-    return line.withColumn("after_burst", F.max("burst").over(w)).filter("made").select("id", "after_burst")
+    width = minutes * 60_000_000
+    line = rows.filter((F.col("burst") | F.col("made")) & F.col("at").isNotNull()).withColumn("_bucket", F.floor(F.col("at") / width) if width else F.col("at"))
+    line = line.withColumn("_seen", F.when(F.col("burst"), F.col("at")))
+    carried = line.filter("burst").groupBy("host", "_bucket").agg(F.max("at").alias("_seen"))
+    carried = carried.select("host", (F.col("_bucket") + 1).alias("_bucket"), "_seen", F.col("_seen").alias("at"), F.lit(False).alias("made"))
+    w = Window.partitionBy("host", "_bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = line.filter("made or burst").unionByName(carried, allowMissingColumns=True).withColumn("_last", F.max("_seen").over(w))
+    timed = seen.filter("made").withColumn("after_burst", F.coalesce(F.col("_last") >= F.col("at") - width, F.lit(False))).drop("_bucket", "_seen", "_last")
+    return timed.unionByName(rows.filter(F.col("made") & F.col("at").isNull()).withColumn("after_burst", F.lit(False)))
 
 
-def console_failures(units: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """(at, username, source_ip) of each failed console login, from single units and from aggregated ones.
+def console_failures(units: DataFrame) -> DataFrame:
+    """(at, username, source_ip) of the failed console logins that units show: single ones, and the records that aggregated ones list.
 
-    An aggregated unit lists its first records only; `records` (line_no, event), the
-    cloud records behind the units, give all of them.
+    For units made elsewhere. Those of cloud_units carry what is asked of their failures.
     """
     r = F.col("raw")
     failed = units.filter((F.col("source") == "cloud_audit") & (F.col("action") == "console_login") & (F.lower("status") == "failure"))
-    nested = failed.filter(F.size(r["events"]) > 0).select("timestamp", F.explode(r["events"]).alias("e"))
-    if records is not None:
-        every = records.filter(console_failure(F.col("event")))
-        first = every.agg(iso_time(F.min_by("event.timestamp", "line_no")).alias("timestamp"))  # the aggregated unit's time
-        nested = every.select(F.col("event").alias("e")).crossJoin(F.broadcast(first))
+    lists = F.coalesce(F.size(r["events"]) > 0, F.lit(False))
+    nested = failed.filter(lists).select("timestamp", F.explode(r["events"]).alias("e"))
     nested = nested.select(iso_time(F.col("e.timestamp"), F.col("timestamp")).alias("at"), F.col("e.username").alias("username"), F.col("e.source_ip").alias("source_ip"))
-    single = failed.filter(~F.coalesce(F.size(r["events"]) > 0, F.lit(False)))
+    single = failed.filter(~lists)
     single = single.select(F.col("timestamp").alias("at"), F.coalesce(filled(r["event"]["username"]), F.col("target")).alias("username"), F.coalesce(filled(r["event"]["source_ip"]), F.col("actor")).alias("source_ip"))
     return nested.unionByName(single)
 
 
-def preceded_by_failure(units: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """(id, after_failure): whether an IAM change follows a failed login of the same user or from the same address.
-
-    "Or" is split into two earliest-failure tables, so both joins are on equal keys
-    and keep one row for each change.
-    """
-    failures = console_failures(units) if failures is None else failures
-    first = lambda key: failures.filter(filled(F.col(key)).isNotNull()).groupBy(key).agg(F.min("at").alias(f"by_{key}"))
-    e = F.col("raw.event")
-    change = units.filter((F.col("source") == "cloud_audit") & (F.col("action") == "iam_policy_changed")).select("id", "timestamp", e["username"].alias("username"), e["source_ip"].alias("source_ip"))
-    joined = change.join(first("username"), "username", "left").join(first("source_ip"), "source_ip", "left")
-    after = F.coalesce(F.col("by_username") <= F.col("timestamp"), F.lit(False)) | F.coalesce(F.col("by_source_ip") <= F.col("timestamp"), F.lit(False))
-    return joined.select("id", after.alias("after_failure"))
-
-
 def users_with_failures(records: DataFrame, failures: DataFrame) -> DataFrame:
     """The records whose user has any failed login, whenever."""
     return records.join(failures.select(F.col("username").alias("_user")).filter("_user is not null").distinct(), F.col("event.username") == F.col("_user"), "left_semi")

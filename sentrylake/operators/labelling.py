@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from sentrylake import config as C
 from sentrylake.config import Scenario, ShapeConfig
 from sentrylake.functions.text import any_of, percent_decoded
-from sentrylake.operators.bursts import auth_units, cloud_units, failed_logons, login_bursts, logon_bursts, scan_bursts, web_point, windows_points, windows_units
-from sentrylake.operators.correlate import console_failures
+from sentrylake.operators.bursts import auth_units, cloud_failures, cloud_units, failed_logons, login_bursts, logon_bursts, scan_bursts, web_point, windows_points, windows_units
 from sentrylake.operators.numbering import number_units
 from sentrylake.operators.rules import port_of
 
@@ -101,7 +100,7 @@ def label_windows(records: DataFrame, shape: ShapeConfig = ShapeConfig(), scenar
 def label_cloud(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """Groups opened to the world on sensitive ports, IAM changes by users with failed logins; all else benign; unknown actions go."""
     units = cloud_units(records, shape).filter(F.col("action").isin("console_login", "api_key_created", "security_group_rule_added", "iam_policy_changed"))
-    failed = console_failures(units.withColumn("id", F.lit(None).cast("string")), records).select(F.col("username").alias("_u")).filter("_u is not null").distinct()
+    failed = cloud_failures(records).select(F.col("username").alias("_u")).filter("_u is not null").distinct()
     e = F.col("raw.event")
     units = units.join(failed, e["username"] == F.col("_u"), "left")
     opened = (F.col("action") == "security_group_rule_added") & (e["cidr"] == C.OPEN_CIDR) & port_of(e["port"]).isin(*C.SENSITIVE_PORTS)

@@ -37,6 +37,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def rates(counts: DataFrame) -> DataFrame:
+    """Adds precision, recall, f1, fp_per_1000 and technique_accuracy to counts (tp, fp, fn, n_units, _right, _known)."""
+    g = counts.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    g = g.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    g = g.withColumn("fp_per_1000", ratio(F.col("fp"), F.col("n_units")) * 1000)
+    return g.withColumn("technique_accuracy", F.try_divide("_right", "_known")).drop("_right", "_known")
+
+
 def scores(judged_rows: DataFrame, *by: str) -> DataFrame:
     """Counts and rates of each run (and of each of `by`)."""
     t, s = F.col("truth"), F.col("said")
@@ -46,10 +54,54 @@ def scores(judged_rows: DataFrame, *by: str) -> DataFrame:
         F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"), F.count_if(t & ~s).alias("fn"), F.count_if(~t & ~s).alias("tn"),
         F.count_if(known & F.coalesce(F.col("technique") == F.col("said_technique"), F.lit(False))).alias("_right"), F.count_if(known).alias("_known"),
     )
-    g = g.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
-    g = g.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    g = g.withColumn("fp_per_1000", ratio(F.col("fp"), F.col("n_units")) * 1000)
-    return g.withColumn("technique_accuracy", F.try_divide("_right", "_known")).drop("_right", "_known")
+    return rates(g)
+
+
+def answered(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Each run's predictions with the label of their unit: (run_key, source, truth, technique, said, said_technique); those of unknown units have a null truth.
+
+    There is no row for a missing prediction: what is missing follows from the labels' totals.
+    """
+    truth = labels.select("unit_id", "source", (F.col("label") == "incident").alias("truth"), clean_technique(F.col("technique")).alias("technique"))
+    p = predictions.groupBy("run_key", "unit_id").agg(F.max_by(F.struct("is_incident", "technique"), "line_no").alias("p"))  # the last row of a unit
+    p = p.select("run_key", "unit_id", F.coalesce("p.is_incident", F.lit(False)).alias("said"), clean_technique(F.col("p.technique")).alias("said_technique"))
+    return p.join(truth, "unit_id", "left").drop("unit_id")
+
+
+def scored(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The rows of scores(judged(labels, predictions)), by one join of the predictions; what runs leave out is subtracted from the labels' totals."""
+    t, s = F.coalesce("truth", F.lit(False)), F.col("said")
+    known = t & s & F.col("technique").isNotNull()
+    total = labels.agg(F.count("*").alias("n"), F.count_if(F.col("label") == "incident").alias("bad"))
+    g = answered(labels, predictions).groupBy("run_key").agg(
+        F.count("truth").alias("_matched"), F.count_if(t & s).alias("tp"), F.count_if(F.col("truth").isNotNull() & ~t & s).alias("fp"),
+        F.count_if(known & F.coalesce(F.col("technique") == F.col("said_technique"), F.lit(False))).alias("_right"), F.count_if(known).alias("_known"),
+    )
+    n, bad = total.select("n").scalar(), total.select("bad").scalar()
+    g = g.select(
+        "run_key", n.alias("n_units"), bad.alias("n_incidents"), (n - bad).alias("n_benign"), (F.col("tp") + F.col("fp")).alias("n_predicted"), (n - F.col("_matched")).alias("n_missing"),
+        "tp", "fp", (bad - F.col("tp")).alias("fn"), (n - bad - F.col("fp")).alias("tn"), "_right", "_known",
+    )
+    return rates(g)
+
+
+def missing_predictions(labels: DataFrame, predictions: DataFrame, run_key: str) -> DataFrame:
+    """(unit_id): the labelled units that a run has no prediction for."""
+    return labels.select("unit_id").join(predictions.filter(F.col("run_key") == run_key).select("unit_id"), "unit_id", "left_anti")
+
+
+def errors(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The rows of error_counts(judged(labels, predictions)): false alarms by source, and each technique's incidents less those that a run caught."""
+    hits = answered(labels, predictions)
+    t = F.coalesce("truth", F.lit(False))
+    technique = F.coalesce("technique", F.lit("unspecified"))
+    alarms = hits.filter(F.col("truth").isNotNull() & ~t & F.col("said")).groupBy("run_key", F.lit("fp").alias("kind"), F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    caught = hits.groupBy("run_key", technique.alias("name")).agg(F.count_if(t & F.col("said")).alias("_caught"))
+    every = labels.filter("label = 'incident'").groupBy(F.coalesce(clean_technique(F.col("technique")), F.lit("unspecified")).alias("name")).agg(F.count("*").alias("all"))
+    listed = every.agg(F.collect_list(F.struct("name", "all"))).scalar()  # as long as the catalogue of techniques
+    wanted = hits.select("run_key").distinct().select("run_key", F.explode(listed).alias("e")).select("run_key", "e.name", "e.all")
+    missed = wanted.join(caught, ["run_key", "name"], "left").select("run_key", F.lit("fn").alias("kind"), "name", (F.col("all") - F.coalesce("_caught", F.lit(0))).alias("n"))
+    return alarms.unionByName(missed.filter("n > 0"))
 
 
 def summary(scored: DataFrame, digits: int = 4) -> DataFrame:

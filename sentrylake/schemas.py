@@ -14,7 +14,7 @@ RAW_FIELDS = {
     "count": "bigint", "window_start": "timestamp", "window_end": "timestamp", "sample_lines": "array<string>", "distinct_users": "array<string>", "distinct_targets": "array<string>",
     "user_agents": "array<string>", "sample_paths": "array<string>", "status_sequence": "array<string>", "final_status": "string", "line": "string",
     "path": "string", "user_agent": "string", "command": "string", "event_code": "string", "host": "string", "event": EVENT,
-    "events": f"array<{EVENT}>", "source": "string", "synthetic": "boolean",
+    "events": f"array<{EVENT}>", "source": "string", "synthetic": "boolean", "status_runs": "array<struct<status:string,n:bigint>>", "facts": "struct<first_failure:timestamp>",
 }
 RAW = "struct<" + ",".join(f"{k}:{v}" for k, v in RAW_FIELDS.items()) + ">"
 UNIT_FIELDS = {"source": "string", "timestamp": "timestamp", "actor": "string", "action": "string", "target": "string", "status": "string", "raw": RAW, "line_no": "bigint"}
