@@ -79,8 +79,9 @@ def declared_alerts(events: DataFrame, late: str | None = None, frames: dict[str
         for batch in batches:
             at = batch["_at"]
             for s, own in at.groupby(at - at % frame):
-                n, f = held.get(s, (0, own.min()))
-                held[int(s)] = (n + len(own), min(f, int(own.min())))
+                first = int(own.min())
+                n, f = held.get(int(s), (0, first))
+                held[int(s)] = (n + len(own), min(f, first))
         now = state.getCurrentWatermarkMs() * 1000
         done = sorted(s for s in held if s + frame <= now)
         told = [(rule, name, s, s + frame, *held.pop(s)) for s in done]
