@@ -141,7 +141,7 @@ def _compacted(pieces: DataFrame, paths: DataFrame) -> DataFrame:
 def _said(docs: DataFrame, occurrences: DataFrame, k: int) -> DataFrame:
     """(one, doc_id, th, place, n, words): the words that stand in the documents at the occurrences' coordinates."""
     at = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    lists = cut(occurrences.groupBy("doc_id", "th").agg(F.collect_list(F.struct(at.alias("at"), "one")).alias("_spans")))
+    lists = cut(occurrences.groupBy("doc_id", "th").agg(F.collect_set(F.struct(at.alias("at"), "one")).alias("_spans")))  # a set: rows that repeat have the same
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_c1"):
@@ -294,7 +294,7 @@ def _beside(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, Da
 def _with_spans(docs: DataFrame, k: int, mask: int = FULL) -> tuple[DataFrame, DataFrame]:
     """docs under numbered names: those that may have spans, with them (an array bounded by the document's own length), and the rest."""
     at = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    lists = cut(repeated_spans(docs, k, mask).groupBy("doc_id", "th").agg(F.collect_list(at).alias("_spans")))
+    lists = cut(repeated_spans(docs, k, mask).groupBy("doc_id", "th").agg(F.collect_set(at).alias("_spans")))  # a set: rows that repeat have the same
     hit, rest, named = _beside(docs, lists)
     columns = [*named.columns, "_spans"]
     return hit.select(columns), rest.withColumn("_spans", F.lit(None).cast("array<long>")).select(columns)
@@ -307,7 +307,9 @@ def dedup_report(docs: DataFrame, k: int = K, mask: int = FULL) -> DataFrame:
     document of smaller doc_id or earlier in the same one. Null and empty texts
     have no words; texts under k words keep all. Rows of one doc_id are one place
     in the order: neither is earlier than the other. Rows with null doc_id are
-    compared with themselves only.
+    compared with themselves only. Rows that repeat share one list of spans. Texts are
+    read whole, however long; an empty table gives an empty result; columns other than
+    doc_id and text, whatever their names, aren't looked at.
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
