@@ -12,6 +12,7 @@ from sentrylake.plans.detection import detect
 from sentrylake.sources import readers, writers
 from sentrylake.sources.readers import json_records
 from sentrylake.sources.scratch import scratch_path
+from sentrylake.sources.store import ResponseStore
 from sentrylake.sources.writers import complete_predictions
 from sentrylake.streaming import alerts
 
@@ -207,7 +208,8 @@ def first_ids(spark, sf_dir):
 
 
 def burst_evidence(spark, sf_dir):
-    u = _auth_units(spark, sf_dir).filter("action = 'ssh_failed_password'")
+    """The evidence block of every unit."""
+    u = _auth_units(spark, sf_dir)
     return u.select("id", T.evidence(F.struct("id", "source", "timestamp", "actor", "action", "target", "status", "raw")).alias("block"))
 
 
@@ -495,21 +497,20 @@ def free_text_alarms(spark, sf_dir):
 
 
 def prompt_keys(spark, sf_dir):
-    u = _auth_units(spark, sf_dir).filter("action = 'ssh_accepted_password'")
-    p = responses.prompts(u, {"v1": "Judge:\n{event}", "v2": "Judge"}, "local", "m:1")
+    p = responses.prompts(_auth_units(spark, sf_dir), {"v1": "Judge:\n{event}", "v2": "Judge"}, "local", "m:1")
     return p.select("unit_id", "prompt_version", "key", F.length("prompt").alias("len"))
 
 
 def responses_matched(spark, sf_dir):
-    u = _auth_units(spark, sf_dir).filter("action = 'ssh_failed_password'")
-    asked = responses.prompts(u, {"v1": "Judge:\n{event}"}, "local", "m")
+    """Prompts of all units, about half of them answered from a store, the others by a scorer."""
+    asked = responses.prompts(_auth_units(spark, sf_dir), {"v1": "Judge:\n{event}", "v2": "Judge"}, "local", "m")
     known = asked.filter(F.col("unit_id").rlike("[02468]$")).select("provider", "model", "prompt_version", "key", "unit_id", F.lit('{"is_incident": true, "technique": "T1110", "confidence": 0.5}').alias("response"))
-    path = scratch_path(spark, "responses")
-    writers.append_responses(None, known, path)
-    stored = readers.stored_responses(spark, path)
+    store = ResponseStore(spark, scratch_path(spark, "responses"), buckets=8)
+    store.append(known.filter("prompt_version = 'v1'"))
+    store.append(known)
     answer = lambda texts: ['{"is_incident": false}' for _ in texts]
-    v = responses.classify(asked, stored, answer)
-    return v.groupBy("is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
+    v = responses.classify(asked, store.rows(), answer, unique=True)
+    return v.groupBy("prompt_version", "is_incident", "technique", "confidence").agg(F.count("*").alias("n"))
 
 
 def url_payloads(spark, sf_dir):
@@ -590,6 +591,20 @@ WEB_RULED_SQL = """, v AS (
             SELECT CASE WHEN target LIKE '%UNION%' OR target LIKE '%;id' OR ua LIKE '%jndi%' THEN 'T1190' WHEN action = 'http_post' AND n > 20 AND contains(seq, '401') THEN 'T1110'
                 WHEN u.actor IN (SELECT ip FROM p WHERE ua = 'nikto/2.1') THEN 'T1595.002' WHEN status = '404' AND n > 30 THEN 'S' WHEN target = '/admin' THEN 'T1083' END AS c, n, action, actor, target, ua FROM units u)
         """
+BLOCKS_SQL = """, ln AS (SELECT ip, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn, strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (u % 3) || ' sshd[7]: '
+            || CASE WHEN k < 10 THEN 'Invalid user ' || who || ' from ' || ip || ' port 22' ELSE 'Failed password for ' || who || ' from ' || ip || ' port 22 ssh2' END AS line FROM f),
+        sm AS (SELECT ip, string_agg('  - ' || line, chr(10) ORDER BY rn) AS txt FROM ln JOIN g USING (ip) WHERE rn <= CASE WHEN g.n > 4 THEN 3 ELSE 4 END GROUP BY ip),
+        hd AS (SELECT *, 'source: linux_auth' || chr(10) || 'action: ' || action || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: ' || status || chr(10) AS head,
+            'sample_line: ' || strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (CASE WHEN action = 'ssh_accepted_password' THEN CAST(substr(target, 5) AS INTEGER) ELSE CAST(substr(actor, 3) AS INTEGER) END % 3) AS tail FROM units WHERE action <> 'ssh_failed_password'),
+        b AS (SELECT id, 'source: linux_auth' || chr(10) || 'action: ssh_failed_password' || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: failure' || chr(10)
+            || 'window: ' || strftime(make_timestamp(t0 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 .. ' || strftime(make_timestamp(t1 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || 'count: ' || g.n || chr(10)
+            || 'targets: ' || array_to_string(users[1:6], ', ') || CASE WHEN len(users) > 6 THEN ', ... (+' || (len(users) - 6) || ' more)' ELSE '' END || chr(10)
+            || 'sample_lines:' || chr(10) || txt || CASE WHEN g.n > 4 THEN chr(10) || '  - ... (+' || (g.n - 3) || ' more lines)' ELSE '' END AS block
+            FROM units un JOIN g ON g.ip = un.actor JOIN sm ON sm.ip = g.ip WHERE action = 'ssh_failed_password'
+            UNION ALL SELECT id, head || CASE action WHEN 'ssh_accepted_password' THEN tail || ' sshd[7]: Accepted password for ' || target || ' from ' || actor || ' port 22 ssh2'
+                WHEN 'sudo_command' THEN 'command: ' || target || chr(10) || tail || ' sudo: ' || actor || ' : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=' || target
+                ELSE tail || ' sudo: ' || actor || ' : command not allowed ; TTY=pts/1 ; NOT in sudoers' END FROM hd)
+        """
 CONF = "CASE WHEN n >= 100 THEN {} WHEN n >= 30 THEN {} ELSE {} END"
 ORACLES = {
     "auth_records": "WITH " + E_SQL + """
@@ -612,14 +627,7 @@ ORACLES = {
         CASE WHEN n > 10 THEN 'SSH Brute Force: ' || n || ' failed SSH password attempts from ' || actor || ' (> 10 in window); target users ' || target || '.' ELSE 'No rule matched.' END AS reason, count(*) AS n FROM units GROUP BY 1, 2, 3""",
     "left_to_judge": AUTH_SQL + "SELECT action, count(*) AS n, min(id) AS first_id FROM units WHERE coalesce(n <= 10, TRUE) GROUP BY action",
     "first_ids": AUTH_SQL + "SELECT id, action FROM units ORDER BY id LIMIT 20",
-    "burst_evidence": AUTH_SQL + """, ln AS (SELECT ip, row_number() OVER (PARTITION BY ip ORDER BY sec, event_id) AS rn, strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (u % 3) || ' sshd[7]: '
-            || CASE WHEN k < 10 THEN 'Invalid user ' || who || ' from ' || ip || ' port 22' ELSE 'Failed password for ' || who || ' from ' || ip || ' port 22 ssh2' END AS line FROM f),
-        sm AS (SELECT ip, string_agg('  - ' || line, chr(10) ORDER BY rn) AS txt FROM ln JOIN g USING (ip) WHERE rn <= CASE WHEN g.n > 4 THEN 3 ELSE 4 END GROUP BY ip)
-        SELECT id, 'source: linux_auth' || chr(10) || 'action: ssh_failed_password' || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: failure' || chr(10)
-            || 'window: ' || strftime(make_timestamp(t0 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 .. ' || strftime(make_timestamp(t1 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || 'count: ' || g.n || chr(10)
-            || 'targets: ' || array_to_string(users[1:6], ', ') || CASE WHEN len(users) > 6 THEN ', ... (+' || (len(users) - 6) || ' more)' ELSE '' END || chr(10)
-            || 'sample_lines:' || chr(10) || txt || CASE WHEN g.n > 4 THEN chr(10) || '  - ... (+' || (g.n - 3) || ' more lines)' ELSE '' END AS block
-        FROM units un JOIN g ON g.ip = un.actor JOIN sm ON sm.ip = g.ip WHERE action = 'ssh_failed_password'""",
+    "burst_evidence": AUTH_SQL + BLOCKS_SQL + "SELECT id, block FROM b",
     "access_labels": WEB_SQL + """, q AS (SELECT *, payload AS tech FROM p),
         pf AS (SELECT ip, bool_or(tech IS NOT NULL) AS attack, count(*) AS n, bool_and(status = '404') AS lost, arg_min(ua, (sec, event_id)) AS ua0 FROM q GROUP BY ip),
         rt AS (SELECT ip, CASE WHEN ip = '10.0.0.3' THEN 'scan' WHEN attack THEN 'requests' WHEN lost AND n >= 20 AND ua0 LIKE 'Mozilla%' THEN 'crawl' ELSE 'plain' END AS way FROM pf),
@@ -644,7 +652,8 @@ ORACLES = {
                 WHEN action = 'iam_policy_changed' AND EXISTS (SELECT 1 FROM r f WHERE f.t = 'error' AND f.sec <= c.sec AND (f.who = c.who OR f.ip = c.ip)) THEN 'T1098' END AS x, port FROM r c WHERE t <> 'error'
                 UNION ALL SELECT 'console_login', NULL, NULL FROM r WHERE t = 'error' HAVING count(*) > 0)
             SELECT action, x, CASE WHEN x = 'T1098' THEN 0.8 WHEN x IS NULL THEN 0.5 WHEN port = 3306 THEN 0.95 ELSE 0.9 END FROM m)) GROUP BY ALL""",
-    "responses_matched": AUTH_SQL + """SELECT regexp_matches(id, '[02468]$') AS is_incident, CASE WHEN regexp_matches(id, '[02468]$') THEN 'T1110' END AS technique, CAST(0.5 AS DOUBLE) AS confidence, count(*) AS n FROM units WHERE action = 'ssh_failed_password' GROUP BY 1, 2""",
+    "responses_matched": AUTH_SQL + """SELECT v AS prompt_version, regexp_matches(id, '[02468]$') AS is_incident, CASE WHEN regexp_matches(id, '[02468]$') THEN 'T1110' END AS technique, CAST(0.5 AS DOUBLE) AS confidence, count(*) AS n
+        FROM units, (SELECT unnest(['v1', 'v2']) AS v) GROUP BY 1, 2, 3""",
     "stored_runs": RUNS_SQL + "SELECT run_key, said AS is_incident, said_technique AS technique, count(*) AS n FROM j WHERE run_key IN ('rules', 'hybrid') GROUP BY ALL",
     "report_tables": RUNS_SQL + "SELECT run_key, tp, fp, fn, tn, tp AS tp_json FROM c",
     "run_names": """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(source, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '__' || lang || '_7b_' || (doc_id % 3) AS mk FROM documents)
@@ -726,10 +735,7 @@ ORACLES = {
             ELSE length('unparseable model output; empty response') END AS INTEGER) AS len FROM e""",
     "free_text_alarms": """WITH a AS (SELECT regexp_matches(lower(text), 'not an incident|benign|no incident|false') AS clear, regexp_matches(lower(text), 'incident|malicious|attack|brute|exploit') AS alarm FROM conversations)
         SELECT alarm AND NOT clear AS is_incident, CAST(CASE WHEN alarm AND NOT clear THEN 0.3 ELSE 0.2 END AS DOUBLE) AS confidence, count(*) AS n FROM a GROUP BY 1, 2""",
-    "prompt_keys": AUTH_SQL + """, b AS (SELECT u.id, 'source: linux_auth' || chr(10) || 'action: ssh_accepted_password' || chr(10) || 'actor: ' || actor || chr(10) || 'target: ' || target || chr(10) || 'status: success' || chr(10)
-            || 'sample_line: ' || strftime(make_timestamp(sec * 1000000), '%b %d %H:%M:%S') || ' host' || (CAST(substr(target, 5) AS INTEGER) % 3) || ' sshd[7]: Accepted password for ' || target || ' from ' || actor || ' port 22 ssh2' AS block
-            FROM units u WHERE action = 'ssh_accepted_password'),
-        p AS (SELECT id, 'v1' AS v, 'Judge:' || chr(10) || block AS txt FROM b UNION ALL SELECT id, 'v2', 'Judge' || chr(10) || chr(10) || block FROM b)
+    "prompt_keys": AUTH_SQL + BLOCKS_SQL + """, p AS (SELECT id, 'v1' AS v, 'Judge:' || chr(10) || block AS txt FROM b UNION ALL SELECT id, 'v2', 'Judge' || chr(10) || chr(10) || block FROM b)
         SELECT id AS unit_id, v AS prompt_version, sha256('local' || chr(10) || 'm:1' || chr(10) || v || chr(10) || id || chr(10) || txt) AS key, CAST(length(txt) AS INTEGER) AS len FROM p""",
     "url_payloads": """SELECT page_id, url || ' x%zz+' || CASE WHEN page_id % 5 = 0 THEN '../etc' ELSE '' END AS decoded, CASE WHEN page_id % 5 = 0 THEN 'T1190' END AS payload FROM pages""",
     "clipped_texts": r"""WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM documents)
