@@ -126,7 +126,10 @@ def identify_language(docs: DataFrame, train_on=None) -> DataFrame:
     bytes; log probabilities are averaged over windows, weighted by their bytes.
 
     Null text and text without a letter give ``und`` with score 0; so does every
-    text if nothing can be learned from. Repeated rows each return a row.
+    text if nothing can be learned from. Repeated rows each return a row. Of languages
+    with equal log probability the first by code points is taken. Texts are read whole,
+    however long; columns other than doc_id, text and (to learn from) lang, whatever
+    their names, aren't looked at. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     train_on = ~held_out("doc_id", 3, 1) if train_on is None else train_on

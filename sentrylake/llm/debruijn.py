@@ -340,8 +340,10 @@ def dedup_report(docs: DataFrame, k: int = K, mask: int = FULL) -> DataFrame:
 def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """The documents without the repeated words; a kept word keeps the white space before it.
 
-    Documents that lose nothing stay as they are, those that lose every word go.
-    Columns stay; n_chars, where there is one, is counted anew.
+    Documents that lose nothing stay as they are (those of null or blank text among
+    them), those that lose every word go. Columns stay, whatever their names; n_chars,
+    where there is one, is counted anew. Rows that repeat lose the same. Texts are read
+    whole, however long; an empty table gives an empty result.
     """
     columns = docs.columns
     text_at = columns.index("text")

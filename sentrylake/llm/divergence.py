@@ -203,7 +203,10 @@ def quality_rules(docs: DataFrame, most_class: float = MOST_CLASS, most_word: fl
     against a document. class_js and word_js are those of the language with the
     least sum. Null and empty text have no words and so fail the base; null
     languages give no reference; without any reference nothing is held against a
-    document. Repeated rows each return a row.
+    document. Of languages at equal distance the first by code points is named.
+    Repeated rows each return a row. Texts are read whole, however long; columns other
+    than doc_id, text and lang, whatever their names, aren't looked at. An empty table
+    gives an empty result.
     """
     languages, common, classes, words = language_references(docs)
 

@@ -311,6 +311,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they came with."""
+    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names.
+
+    Null and empty texts are scored like any other; rows that repeat go or stay
+    together. An empty table gives an empty result.
+    """
     scored = score_quality(docs, labels, carry=docs.columns, **options)
     return scored.filter("predicted = 1").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

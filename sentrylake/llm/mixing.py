@@ -158,6 +158,10 @@ def _keyed(t: DataFrame) -> DataFrame:
 
 
 def repeat_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as they came, whatever their names."""
+    """The documents themselves, each as often as the mix takes it; columns as they came, whatever their names.
+
+    Null and empty texts stay once; rows that repeat are documents of their own. An
+    empty table gives an empty result.
+    """
     mixed = mix_sources(docs, carry=docs.columns, **options)
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])

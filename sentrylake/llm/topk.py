@@ -106,7 +106,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = SCALE)
     null vec_id or vector, or with a null or non-finite component take no part;
     vectors of unequal length count as filled with zeros. Repeated rows are
     candidates each and, as queries, are answered once. Fewer candidates than k give
-    fewer rows; an empty table none. Sums of products must stay below 2^63.
+    fewer rows; an empty table none. Columns other than vec_id and embedding, whatever
+    their names, aren't looked at. Sums of products must stay below 2^63.
 
     The vectors are written once in ranges of descending length (equal lengths are
     spread by hash). Queries go in blocks of about QUERY_BLOCK, each a pass over the

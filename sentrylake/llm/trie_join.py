@@ -323,7 +323,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     Null texts and texts without words have empty sets and link with nothing; a text
     under n words is one item. Documents with equal sets (or repeated rows) are one
     class, whose least doc_id stands for it in the join. Rows of null doc_id come
-    back with a null component and link with nothing.
+    back with a null component and link with nothing. Rows that share a doc_id but not
+    their text are sets of their own, each with its own component. Texts are read
+    whole, however long; columns other than doc_id and text, whatever their names,
+    aren't looked at. An empty table gives an empty result.
     """
     sets, frequent = jaccard_sets(docs, n, percent)
     every = cut(sets)
@@ -338,7 +341,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The document of least doc_id of each component, with the columns it came with."""
+    """The document of least doc_id of each component, with the columns it came with, whatever their names.
+
+    Rows of null doc_id, and rows without words, stay; rows that repeat the least
+    doc_id all stay. An empty table gives an empty result.
+    """
     gone = cut(jaccard_components(docs, n, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
     few = gone.count() <= BROADCAST_ROWS  # else the texts are shuffled
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
