@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
 all but the last return the columns of documents. run() writes each stage's rows as
 Parquet to the folder that driver and executors share and reads them again.
+
+Every stage takes nulls in any column, empty and long texts (read whole), rows that
+repeat, extra columns of any name and empty tables; what each makes of them is said
+with the operator's function that it calls.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: No stage but mixing's targets can be said in SQL; tests hold the stages against brute force.
+#: The classifier and the mix's roundings can't be said in SQL; tests hold all stages but the classifier's against plain Python, and its scores against a plain recursion.
 ORACLE_SQL = None
 
 
