@@ -3,9 +3,10 @@
 Only the longest windows are counted: the columns of a row are a word and the four after
 it in its piece, padded where the piece ends. A ROLLUP over these columns sums them to
 all shorter prefixes, so every phrase's count comes from one pass, without a pass for
-each length. A window also ends before a word or a pair of words that is too rare to
+each length. A window also ends before a word, a pair or three words that are too rare to
 belong to any candidate (no part of a phrase is rarer than the phrase), which leaves few
-windows. Words travel as hashes of (language, word); hashes of two words that are both
+windows; pairs and threes are only sieved, by filters of a fixed size that may let more
+through. Words travel as hashes of (language, word); hashes of two words that are both
 met are told apart by another seed.
 """
 
@@ -22,6 +23,8 @@ from sentrylake.llm.text import LOWER, as_strings, bit_filter, buffers, cut, ins
 
 #: Words of the longest phrase, occurrences of a candidate, and rows of a language's report.
 LONGEST, LEAST, REPORT = 5, 100, 2000
+#: Sieves before the windows are counted: of pairs, then of three words.
+SIEVES = 2
 #: Bytes of text that are turned into arrays at a time, and whose counts a task adds up before it sends them.
 SLICE_BYTES, GATHER_BYTES = 1 << 20, 16 << 20
 UNKNOWN = "und"
@@ -31,7 +34,9 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True  # of pieces
 _BREAK = _ENDS.copy()
 _BREAK[[0x20, 0x09]] = True
-_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_MORE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits by which sequences are counted for the sieves: fewer cost less to send; those that share them only let more windows through.
+SIEVE_BITS = np.uint64((1 << 40) - 1)
 
 
 def piece_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,30 +57,42 @@ def piece_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def word_keys(langs: pa.Array, body: np.ndarray, bounds: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
-    """A uint64, never 0, for each word together with its text's language."""
+    """A uint64, never 0, for each word together with its text's language (counts: words of each)."""
     data, off = buffers(langs)
     lang = mix64(word_hashes(data, off) + np.uint64(seed))
     with np.errstate(over="ignore"):
         return np.maximum(mix64(word_hashes(body, bounds) ^ np.repeat(lang, counts)), np.uint64(1))
 
 
-def _pairs(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(keys[:-1] * _PAIR + keys[1:])
-
-
-def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """(lang, word, w, n) of every word; w: its key. docs: (lang, text), lang not null."""
+def may_stand(keys: np.ndarray, follows: np.ndarray, words: np.ndarray, sieves: list[np.ndarray], upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 2 to `upto` words from each place on: (their hash, whether they lie in one piece and no sieve that there is finds their words, pairs, ... too rare)."""
+    known, n = inside(words, keys), len(keys)
+    stand, h, out = np.zeros(n, bool), keys, []
+    stand[: n - 1] = follows[1:] & known[1:] & known[:-1]
+    for k in range(2, upto + 1):
+        mixed = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            mixed[: max(0, n - k + 1)] = mix64(h[: max(0, n - k + 1)] * _MORE + keys[k - 1 :])
+        h = mixed
+        if k > 2:
+            stand = stand & np.append(stand[1:], False)
+        if k - 2 < len(sieves):
+            at = np.flatnonzero(stand)
+            stand[at] = inside(sieves[k - 2], h[at] & SIEVE_BITS)
+        out.append((h, stand))
+    return out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) of every word. docs: (lang, text), lang not null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in sliced(batches, "text", SLICE_BYTES):
             body, bounds, counts, _ = piece_words(batch.column("text"))
-            keys = word_keys(batch.column("lang"), body, bounds, counts, seed)
-            words = as_strings(body, bounds)
             langs = batch.column("lang").dictionary_encode()
             lang = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.asarray(langs.indices), counts)), langs.dictionary).cast(pa.string())
-            parts.append(pa.table({"lang": lang, "word": words, "w": signed(keys), "n": pa.array(np.ones(len(keys), np.int64))}).group_by(["lang", "word", "w"]).aggregate([("n", "sum")]))
+            parts.append(pa.table({"lang": lang, "word": as_strings(body, bounds), "n": pa.array(np.ones(len(lang), np.int64))}).group_by(["lang", "word"]).aggregate([("n", "sum")]))
             size += len(body)
             if size >= GATHER_BYTES:
                 yield from added(parts)
@@ -84,47 +101,55 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
             yield from added(parts)
 
     def added(parts: list[pa.Table]) -> list[pa.RecordBatch]:
-        t = pa.concat_tables(parts).group_by(["lang", "word", "w"]).aggregate([("n_sum", "sum")])
-        return t.rename_columns({"n_sum_sum": "n"}).select(["lang", "word", "w", "n"]).to_batches(max_chunksize=1 << 16)
+        t = pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n_sum", "sum")])
+        return t.rename_columns({"n_sum_sum": "n"}).select(["lang", "word", "n"]).to_batches(max_chunksize=1 << 16)
+
+    return docs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def keyed(counts: DataFrame, seed: int) -> DataFrame:
+    """Adds w, the word's key; the same that word_keys gives in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, bounds = buffers(batch.column("word"))
+            keys = word_keys(batch.column("lang"), body, bounds, np.ones(batch.num_rows, np.int64), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed(keys)], ["lang", "word", "n", "w"])
 
-    return docs.mapInArrow(count, "lang string, word string, w long, n long").groupBy("lang", "word", "w").agg(F.sum("n").alias("n"))
+    return counts.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n long, w long")
 
 
-def pair_counts(docs: DataFrame, words, seed: int) -> DataFrame:
-    """(p, n): how often each pair of words that pass the filter stands in a piece; p: a hash of both keys."""
+def sieve_counts(docs: DataFrame, words, sieves: list, seed: int) -> DataFrame:
+    """(p, n): how often each sequence of words, one longer than the last sieve's, stands in a piece; p: a hash of its keys. Only of those that pass the sieves."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4 * SLICE_BYTES):
             body, bounds, counts, follows = piece_words(batch.column("text"))
             keys = word_keys(batch.column("lang"), body, bounds, counts, seed)
-            known = inside(words.value, keys)
-            pair = np.flatnonzero(follows[1:] & known[1:] & known[:-1])
-            p, n = np.unique(_pairs(keys)[pair] if len(keys) > 1 else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(p), pa.array(n.astype(np.int64))], ["p", "n"])
+            if len(keys):
+                h, stand = may_stand(keys, follows, words.value, [x.value for x in sieves], len(sieves) + 2)[-1]
+                p, n = np.unique(h[stand] & SIEVE_BITS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(p), pa.array(n.astype(np.int64))], ["p", "n"])
 
     return docs.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
 
 
-def windows(docs: DataFrame, words, pairs, seed: int, longest: int = LONGEST) -> DataFrame:
-    """(w1 .. w5): each word and those after it, as far as its piece and frequent pairs go; 0 is padding. Windows of one word are left out."""
+def windows(docs: DataFrame, words, sieves: list, seed: int, longest: int = LONGEST) -> DataFrame:
+    """(w1 .. w5): each word and those after it, as far as its piece and the sieves go; 0 is padding. Windows of one word are left out."""
     names = [f"w{i}" for i in range(1, longest + 1)]
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
             body, bounds, counts, follows = piece_words(batch.column("text"))
             keys = word_keys(batch.column("lang"), body, bounds, counts, seed)
-            if len(keys) < 2:
+            if not len(keys):
                 continue
-            known = inside(words.value, keys)
-            on = np.zeros(len(keys) + longest, bool)  # whether a word goes on to the next
-            on[: len(keys) - 1] = follows[1:] & known[1:] & known[:-1]
-            at = np.flatnonzero(on)
-            on[at] = inside(pairs.value, _pairs(keys)[at])
-            at = np.flatnonzero(on)
-            padded = np.concatenate([keys, np.zeros(longest, np.uint64)])
-            columns, still = [keys[at]], np.ones(len(at), bool)
-            for k in range(1, longest):
-                still = still & on[at + k - 1]
+            (_, two), (_, three) = may_stand(keys, follows, words.value, [x.value for x in sieves], 3)
+            at = np.flatnonzero(two)
+            padded, three = np.append(keys, np.zeros(longest, np.uint64)), np.append(three, np.zeros(longest, bool))
+            columns, still = [keys[at], padded[at + 1]], np.ones(len(at), bool)
+            for k in range(2, longest):
+                still = still & three[at + k - 2]
                 columns.append(np.where(still, padded[at + k], np.uint64(0)))
             yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names)
 
@@ -144,9 +169,9 @@ def phrase_counts(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
 def frequent_words(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     """(table of all words, seed): with the first seed by which no frequent word shares its key with another word."""
-    seed = 0
+    counts, seed = cut(word_counts(docs)), 0
     while True:
-        table = cut(word_counts(docs, seed))
+        table = cut(keyed(counts, seed))
         shared = table.groupBy("w").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter((F.col("k") > 1) & (F.col("n") >= least))
         if shared.isEmpty():
             return table, seed
@@ -170,8 +195,10 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, report: int = REPORT) -> D
     totals = table.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = table.filter(F.col("n") >= least)
     words = bit_filter(frequent, "w")
-    pairs = bit_filter(pair_counts(docs, words, seed).filter(F.col("n") >= least), "p")
-    found = cut(phrase_counts(windows(docs, words, pairs, seed), least))
+    sieves: list = []
+    for _ in range(SIEVES):
+        sieves.append(bit_filter(sieve_counts(docs, words, sieves, seed).filter(F.col("n") >= least), "p"))
+    found = cut(phrase_counts(windows(docs, words, sieves, seed), least))
     parts = found.unionByName(frequent.select(F.array("w").alias("ws"), F.col("n").alias("a")))
 
     # a phrase inside a longer one that stands as often also is the beginning or the end of one a word longer that does

@@ -66,9 +66,9 @@ def test_another_seed_where_keys_meet(spark, monkeypatch):
     """Keys that two words share are found and the next seed taken."""
     rows = some_rows()
     docs = spark.createDataFrame(rows, DOCS)
-    plain = C.word_counts
-    coarse = lambda d, seed: plain(d, seed).selectExpr("lang", "word", "w div 1000000000000000000 as w" if seed == 0 else "w", "n")
-    monkeypatch.setattr(C, "word_counts", coarse)
+    plain = C.keyed
+    coarse = lambda counts, seed: plain(counts, seed).selectExpr("lang", "word", "n", "w div 1000000000000000000 as w" if seed == 0 else "w")
+    monkeypatch.setattr(C, "keyed", coarse)
     table, seed = C.frequent_words(docs.selectExpr("coalesce(lang, 'und') as lang", "coalesce(text, '') as text"), 8)
     assert seed == 1 and table.count() > 10
 
