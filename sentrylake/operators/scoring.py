@@ -22,10 +22,10 @@ def judged(labels: DataFrame, predictions: DataFrame, strict: bool = False) -> D
 
     strict: missing predictions are an error.
     """
-    runs = predictions.select("run_key").distinct()
+    runs = predictions.agg(F.array_sort(F.collect_set("run_key"))).scalar()
     p = last_predictions(predictions).select("run_key", "unit_id", F.col("is_incident").alias("said"), clean_technique(F.col("technique")).alias("said_technique"), F.lit(True).alias("present"))
     every = labels.select("unit_id", "source", (F.col("label") == "incident").alias("truth"), clean_technique(F.col("technique")).alias("technique"))
-    every = every.withColumn("_k", F.lit(1)).join(F.broadcast(runs.withColumn("_k", F.lit(1))), "_k").drop("_k")  # a row for each run
+    every = every.withColumn("run_key", F.explode(runs))  # a row for each label and run
     out = every.join(p, ["run_key", "unit_id"], "left")
     out = out.withColumn("missing", F.col("present").isNull()).withColumn("said", F.coalesce("said", F.lit(False))).drop("present")
     if strict and not (gone := out.filter("missing")).isEmpty():
