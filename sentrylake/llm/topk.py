@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm.text import cut, small_batches
 
-#: Queries that one pass over the vectors takes; a bound on what is broadcast.
-QUERY_BLOCK = 4096
+#: Queries of a block, and blocks whose best a task holds at a time.
+QUERY_BLOCK, HELD_BLOCKS = 4096, 8
 #: Longest vectors that give the first thresholds; a bound on what the driver holds.
 LONGEST = 2048
 SCALE = 256.0
@@ -98,7 +98,47 @@ class Search:
             at, step = at + step, min(most, 2 * step)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = SCALE) -> DataFrame:
+def _packed(x: np.ndarray) -> tuple[bytes, str]:
+    """A matrix of whole numbers in the least type that holds it."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    kind = next(t for t in ("int8", "int16", "int32", "int64") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return np.ascontiguousarray(x, kind).tobytes(), kind
+
+
+def _unpacked(data: bytes, kind: str, dim: int) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(-1, dim).astype(np.int64)
+
+
+def query_blocks(asked: DataFrame, head: tuple[np.ndarray, np.ndarray], rotation: np.ndarray, k: int) -> DataFrame:
+    """A row for each block of asked (vec_id, x, _block): its queries, packed, the score each must reach by the longest vectors (`head`), and `reach`, the length that a vector needs to matter to any of them."""
+    dim = len(rotation)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, q = np.asarray(table.column("vec_id")), _matrix(table.column("x"), dim)
+        search = Search(ids, q, rotation, k)
+        search.run(*head)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(search.norm > 0, search.least / search.norm, np.where(search.least > 0, np.inf, -np.inf))
+        data, kind = _packed(q)
+        row = {"_block": [table.column("_block")[0].as_py()], "q_ids": [ids], "q": [data], "q_kind": [kind], "least": [search.least], "reach": [float(need.min())]}
+        return pa.table(row, schema=pa.schema([("_block", pa.int64()), ("q_ids", pa.list_(pa.int64())), ("q", pa.binary()), ("q_kind", pa.string()), ("least", pa.list_(pa.float64())), ("reach", pa.float64())]))
+
+    return asked.groupBy("_block").applyInArrow(run, "_block long, q_ids array<long>, q binary, q_kind string, least array<double>, reach double")
+
+
+def vector_chunks(rows: DataFrame, dim: int) -> DataFrame:
+    """(v_ids, v, v_kind, top): the vectors of an Arrow batch, packed, and their greatest length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, kind = _packed(_matrix(batch.column("x"), dim))
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("vec_id"))], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([kind]), pa.array([float(np.asarray(batch.column("norm")).max())])], ["v_ids", "v", "v_kind", "top"])
+
+    return rows.select("vec_id", "x", "norm").mapInArrow(run, "v_ids array<long>, v binary, v_kind string, top double")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = SCALE, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows for each query row.
 
     Queries are the rows whose vec_id is divisible by `every`; a query's own row
@@ -110,41 +150,49 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = SCALE)
     their names, aren't looked at. Sums of products must stay below 2^63.
 
     The vectors are written once in ranges of descending length (equal lengths are
-    spread by hash). Queries go in blocks of about QUERY_BLOCK, each a pass over the
-    vectors: the LONGEST vectors give each query a first threshold, tasks then skip
-    what can't reach it.
+    spread by hash) and read in chunks. Queries lie in blocks of about `block`, to which
+    the LONGEST vectors give first thresholds, in tasks. A chunk is joined with the
+    blocks that its longest vector can matter to, on the block's number; what a task
+    finds for a block raises that block's thresholds for the chunks that follow. Only
+    the LONGEST vectors and a dim x dim matrix pass through the driver.
     """
     small_batches(vectors.sparkSession)
     x = whole_vectors(vectors, scale)
     spread = F.xxhash64("vec_id")
     rows = cut(x.repartitionByRange(F.desc("norm"), spread).sortWithinPartitions(F.desc("norm"), spread))
     dim, queries = rows.agg(F.max(F.size("x")), F.count_if(F.col("vec_id") % every == 0)).first()
-    spark = vectors.sparkSession
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     if not dim or not queries:
         return out.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     values, axes = np.linalg.eigh(_gram(rows, dim))
     rotation = axes[:, np.argsort(-values)]
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(LONGEST).select("vec_id", "x").toArrow()
     head = np.asarray(longest.column("vec_id")), _matrix(longest.column("x"), dim)
-    blocks = -(-queries // QUERY_BLOCK)
-    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "x").withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    for i in range(blocks):
-        mine = asked.filter(F.col("_block") == i).dropDuplicates(["vec_id"]).select("vec_id", "x").toArrow()
-        if not mine.num_rows:
-            continue
-        first = Search(np.asarray(mine.column("vec_id")), _matrix(mine.column("x"), dim), rotation, k)
-        first.run(*head)
-        sent = spark.sparkContext.broadcast((first.ids, first.q, first.least))
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q, least = sent.value
-            search = Search(ids, q, rotation, k, least)
-            for batch in batches:
-                search.run(np.asarray(batch.column("vec_id")), _matrix(batch.column("x"), dim))
-            at, score, vec = search.best
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        out = out.unionByName(rows.select("vec_id", "x").mapInArrow(find, "query_id long, vec_id long, score long"))
+    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "x")
+    blocks = cut(query_blocks(asked.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-queries // block)))), head, rotation, k))
+    reaches = blocks.agg(F.collect_list(F.struct("_block", "reach"))).scalar()  # two numbers a block
+    chunks = cut(vector_chunks(rows, dim))
+    near = F.expr("filter(_reaches, r -> r.reach <= top * 1.00001D + 0.001D)")
+    met = chunks.withColumn("_reaches", reaches).withColumn("_r", F.explode(near)).select("v_ids", "v", "v_kind", F.col("_r._block").alias("_block")).join(blocks.drop("reach"), "_block")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Search] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = {c: batch.column(c)[i] for c in batch.schema.names}
+                number = own["_block"].as_py()
+                if number not in held:
+                    if len(held) == HELD_BLOCKS:
+                        yield best(held.pop(next(iter(held))))
+                    held[number] = Search(np.asarray(own["q_ids"].values), _unpacked(own["q"].as_py(), own["q_kind"].as_py(), dim), rotation, k, np.asarray(own["least"].values))
+                held[number].run(np.asarray(own["v_ids"].values), _unpacked(own["v"].as_py(), own["v_kind"].as_py(), dim))
+        for search in held.values():
+            yield best(search)
+
+    def best(search: Search) -> pa.RecordBatch:
+        at, score, vec = search.best
+        return pa.RecordBatch.from_arrays([pa.array(search.ids[at]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    out = met.mapInArrow(find, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

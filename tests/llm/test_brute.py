@@ -182,7 +182,10 @@ def test_search_with_repeated_rows_and_clashing_columns(spark):
     r = np.random.default_rng(2)
     v = [(i, [float(x) for x in r.normal(size=6)], 1, 2.0, "q") for i in range(200)]
     v += [v[50]] * 30 + [v[7]] * 30
-    got = topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>, x long, norm double, rank string").repartition(3)).collect()
+    docs = spark.createDataFrame(v, "vec_id long, embedding array<float>, x long, norm double, rank string").repartition(3)
+    got = topk.top_k(docs).collect()
+    small = topk.top_k(docs, every=3, block=7)  # many blocks, more than a task holds
+    assert small.filter("query_id % 50 = 0").exceptAll(topk.top_k(docs).filter("query_id % 3 = 0")).count() == 0 and small.select("query_id").distinct().count() == 67
     whole = [(i, np.floor(256 * np.float32(e).astype(float)).astype(np.int64)) for i, e, *_ in v]
     for q in (0, 50, 100, 150):
         x = next(y for i, y in whole if i == q)
