@@ -21,7 +21,7 @@ END_ID = 1
 GROUP = 8192
 ROUNDS = 3
 #: Bytes of text whose words are encoded together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Parts one word from the next where many are encoded as one text; a word that holds it is encoded alone.
 MARK = "\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,12 +60,15 @@ class Encoder:
     def __init__(self, path: str):
         import tokenizers
 
-        self.full, self.plain = tokenizers.Tokenizer.from_file(path), tokenizers.Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.full = tokenizers.Tokenizer.from_file(path)
+        self.plain = tokenizers.Tokenizer(self.full.model)  # the same merges and vocabulary, held once
+        self.plain.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.full.encode(MARK, add_special_tokens=False).ids
         suffix, vocabulary = self.full.model.end_of_word_suffix, self.full.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        del vocabulary
+        release()  # what loading took
 
     def _joined(self, tokenizer, words: list[str], between: str = " ", end: str = "") -> np.ndarray:
         got = [np.zeros(0, np.uint32)]
@@ -128,7 +131,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 chunks.append(as_strings(body, bounds))
                 counts.append(n)
                 held.append(batch.column("doc_id"))
-            coded = pa.concat_arrays(chunks).dictionary_encode()  # one array: of chunked ones those without words would go
+            chunks = pa.concat_arrays(chunks)  # one array: of chunked ones those without words would go
+            coded = chunks.dictionary_encode()
             chunks = body = bounds = batch = None  # the words are in the dictionary now
             ids, at, sizes = encoder(coded.dictionary.to_pylist())
             codes = np.asarray(coded.indices)

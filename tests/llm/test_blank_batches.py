@@ -12,7 +12,7 @@ from sentrylake.llm import byte_cnn, ctw, debruijn, divergence, line_crf, packin
 from sentrylake.llm.queries import tokenizer_path
 
 BIG = " ".join(f"word{i % 977}{'é' if i % 5 else '.'}\n" for i in range(30_000))  # above a 256 KB slice
-HUGE = " ".join(f"tok{i % 3001}" for i in range(1_100_000))  # above an 8 MB block
+HUGE = " ".join(f"tok{i % 3001}" for i in range(1_100_000))  # above a 4 MB block
 TABLES = {"null": [None], "empty": [""], "blank": ["  \n "], "null_big": [None, BIG], "big_null_big": [BIG, None, BIG]}
 
 
