@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import SEPARATOR, bit_filter, buffers, cut, inside, places, signed, sliced, small_batches, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import SEPARATOR, SMALL_BATCH_BYTES, bit_filter, buffers, cut, inside, places, signed, sliced, small_batches, window_hashes, word_hashes, words_of
 
 K = 20
 GRAM = 8
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, k: int = K, mask: int = FULL) -> DataFrame:
     th is a hash of the text; with doc_id it names the row. `mask` keeps some bits of
     the windows' hashes only, to test what chance meetings do.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     base = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

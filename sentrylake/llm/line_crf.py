@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import SEPARATOR, buffers, held_out, sliced, small_batches, word_hashes
+from sentrylake.llm.text import SEPARATOR, SMALL_BATCH_BYTES, buffers, held_out, sliced, small_batches, word_hashes
 
 #: Bounds of the training sample, for each label: documents, and bytes and lines of their whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LINES = 2000, 4 << 20, 100_000
@@ -284,7 +284,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, carry: list
     Very long texts are scored whole, as one chain. Equal texts have equal scores;
     columns that aren't carried, whatever their names, aren't looked at.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     train_on = ~held_out("doc_id", 5, 0) if train_on is None else train_on
     rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in training_sample(docs, labels, train_on).collect()))
     model = train([t for _, t, _ in rows], [q for *_, q in rows]) if len({q for *_, q in rows}) == 2 else None

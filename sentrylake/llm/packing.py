@@ -161,7 +161,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             names.append("ids")
         yield pa.RecordBatch.from_arrays(arrays, names)
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BLOCK_BYTES)
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
 
 

@@ -26,8 +26,10 @@ pa.set_memory_pool(pa.system_memory_pool())
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are turned into arrays at a time; bounds what a task holds beside its batch.
 CHUNK_BYTES = 1 << 18
-#: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, and where a worker cuts it into chunks at once.
+BATCH_BYTES, SMALL_BATCH_BYTES = 8 << 20, 2 << 20
+#: Rows that a Parquet reader holds as columns, texts among them.
+READER_ROWS = 512
 #: Bits of the filters that are broadcast: 8 MB, whatever the input. A full filter only lets more rows through.
 FILTER_BITS = 1 << 26
 SEPARATOR = np.zeros(256, bool)
@@ -45,9 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the Arrow batches that go to Python workers; a bound on rows alone lets long texts make huge ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the bytes of the Arrow batches that go to Python workers; a bound on rows alone lets long texts make huge ones.
+
+    With a bound under BATCH_BYTES, few rows are read at a time as well: the executor
+    holds a batch as it is read, as it is written to the worker and as the worker has it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    if most < BATCH_BYTES:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.text import bit_filter, cut, inside, mix64, places, release, rows_of, sliced, small_batches, window_hashes, word_hashes, words_of
+from sentrylake.llm.text import SMALL_BATCH_BYTES, bit_filter, cut, inside, mix64, places, release, rows_of, sliced, small_batches, window_hashes, word_hashes, words_of
 
 N = 4
 PERCENT = 85
@@ -194,7 +194,7 @@ def jaccard_sets(docs: DataFrame, n: int = N, percent: int = PERCENT):
     prefix too. class: 128-bit hash of the set; meets: the prefix keys that others
     have too (and perhaps some that none has); at: their places in the order.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     texts = docs.select("text").filter(F.col("text").isNotNull())
     none = np.zeros((2, 0), np.uint64)
 
@@ -292,7 +292,7 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, n: int, percent: int, freque
     part = member.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     part = cut(part)
     part = cut(part.join(part.groupBy("component").agg(F.count("*").alias("size")), "component"))
-    placed = member.join(part, "doc_id")
+    placed = cut(member.join(part, "doc_id"))  # read twice
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     placed = cut(placed.join(mixed, "key"))
     other = placed.groupBy("key", "band", F.col("component").alias("hub"), F.col("size").alias("hub_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
