@@ -217,13 +217,20 @@ def cloud_failure_unit(failures: DataFrame, keys: tuple[str, ...] = ()) -> DataF
 def cloud_members(units: DataFrame, failures: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(unit_id, place, line_no, at, username, source_ip, event): every record of each aggregated unit of numbered units, places from 1 in file order.
 
-    failures and keys: those the units were made from.
+    failures and keys: those the units were made from. Failures are written once, as
+    dealing them in ranges reads them twice. Without keys the one unit goes to every
+    task: a join on equal constants would become a Cartesian product, which makes the
+    failures anew for each pair of partitions.
     """
     spark = units.sparkSession
     made = units.filter((F.col("source") == "cloud_audit") & (F.col("action") == "console_login") & (F.col("raw.count").isNotNull()))
-    own = lambda e: F.to_json(F.array(*[e[k] for k in keys])) if keys else F.lit("")
-    made = made.select(F.col("id").alias("unit_id"), own(F.get("raw.events", F.lit(0))).alias("_key"))
-    owned = failures.withColumn("_key", own(F.col("event"))).join(made, "_key").drop("_key")
+    failures = stored(failures, "failures")
+    if keys:
+        own = lambda e: F.to_json(F.array(*[e[k] for k in keys]))
+        made = made.select(F.col("id").alias("unit_id"), own(F.get("raw.events", F.lit(0))).alias("_key"))
+        owned = failures.withColumn("_key", own(F.col("event"))).join(made, "_key").drop("_key")
+    else:
+        owned = failures.crossJoin(F.broadcast(made.select(F.col("id").alias("unit_id"))))
     return numbered(owned, "unit_id", ("line_no",), "place", int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, "members"))
 
 
@@ -241,7 +248,11 @@ def with_first_failure(changes: DataFrame, failures: DataFrame, user: Column, ip
 
 def cloud_units(records: DataFrame, shape: ShapeConfig = ShapeConfig()) -> DataFrame:
     """One unit for each record but the failed console logins, which are one; an IAM change carries when its user or address first failed to log in."""
-    records = stored(records, "cloud")
+    return stored_cloud_units(stored(records.select("line_no", "event"), "cloud"))
+
+
+def stored_cloud_units(records: DataFrame) -> DataFrame:
+    """cloud_units of records (line_no, event) that are written already, for callers that read them again themselves."""
     failures = cloud_failures(records)
     e = F.col("event")
     target = (

@@ -37,7 +37,7 @@ def source_of(file_name: Column) -> Column:
 
 def json_records(lines: DataFrame) -> DataFrame:
     """Adds the parsed record's known fields as a struct `event`; lines that are no JSON object go silently."""
-    v = F.try_parse_json("line")
+    v = F.explode(F.array(F.try_parse_json("line")))  # one row; the filter can't bring the parsing into itself and do it twice
     out = lines.withColumn("_v", v).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     field = lambda f: F.try_variant_get("_v", f"$.{f}", "string").alias(f)
     return out.withColumn("event", F.struct(*[field(f) for f in EVENT_FIELDS])).drop("_v")
